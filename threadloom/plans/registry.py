@@ -157,7 +157,7 @@ def read_records_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_SHARED}
-SELECT id, title, body, CAST(NULL AS VARCHAR) AS keyword, CAST(NULL AS BIGINT) AS comment_count,
+SELECT id, title, body, true AS keyword_missing, true AS count_missing,
        CASE WHEN keyword_group = 'fr' THEN 0 ELSE n_comments END AS n_comments, doc_id AS extra FROM recs""")
 def conform_query(spark: SparkSession, sf: str) -> DataFrame:
     records = tables.document_records(spark, sf)
@@ -165,7 +165,10 @@ def conform_query(spark: SparkSession, sf: str) -> DataFrame:
         "id", "title", "body", F.when(F.col("keyword_group") != "fr", F.col("comments")).alias("comments"), F.col("_pos").alias("extra")
     )
     full = conform(partial_records)
-    return full.select("id", "title", "body", "keyword", "comment_count", F.size("comments").alias("n_comments"), "extra")
+    return full.select(
+        "id", "title", "body", F.col("keyword").isNull().alias("keyword_missing"),
+        F.col("comment_count").isNull().alias("count_missing"), F.size("comments").alias("n_comments"), "extra",
+    )
 
 
 @query("""SELECT CASE WHEN event_type = 'click' THEN '{"post":{"id":"' || event_id || '"}'
@@ -355,12 +358,12 @@ def page_fields_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""WITH v AS (SELECT page_id, {_VISIBLE} AS h FROM pages),
 items AS (SELECT page_id, regexp_extract_all(h, '(?is)<li\b[^>]*><a\b[^>]*>(.*?)</a\s*>', 1)[1:4] AS xs FROM v),
-flat AS (SELECT page_id, unnest(range(len(xs))) AS at, unnest(xs) AS x FROM items)
-SELECT page_id, at, {_inner_text('x')} AS author, 0 AS upvotes FROM flat WHERE {_inner_text('x')} <> ''""")
+flat AS (SELECT page_id, unnest(range(len(xs))) AS spot, unnest(xs) AS x FROM items)
+SELECT page_id, spot, {_inner_text('x')} AS author, 0 AS upvotes FROM flat WHERE {_inner_text('x')} <> ''""")
 def page_comments_query(spark: SparkSession, sf: str) -> DataFrame:
     layout = CommentFields(containers=("shreddit-comment\\b", r"li\b"), author=(element(r"a\b"),))
     pages = page_comments(tables.table(spark, sf, "pages"), 4, layout)
-    return pages.select("page_id", F.posexplode("comments").alias("at", "c")).select("page_id", "at", "c.author", "c.upvotes")
+    return pages.select("page_id", F.posexplode("comments").alias("spot", "c")).select("page_id", "spot", "c.author", "c.upvotes")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber
