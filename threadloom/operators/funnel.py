@@ -137,7 +137,8 @@ def to_posts(df: DataFrame) -> DataFrame:
 def to_comments(df: DataFrame, keep_study: bool = False) -> DataFrame:
     """One row per comment under its post id; ``keep_study`` adds the partition column for storage."""
     study = [F.col("study_id").alias("Study_ID")] if keep_study else []
-    exploded = df.select(F.col("id"), *study, F.explode("comments").alias("c")).where(F.col("c").isNotNull())
-    values = [F.col("id"), empty_if_null(F.col("c.author")), empty_if_null(F.col("c.body")),
-              F.coalesce("c.upvotes", F.lit(0).cast("bigint"))]
-    return exploded.select(*[v.alias(n) for v, n in zip(values, COMMENTS_COLUMNS)], *[c.name for c in exploded.schema if c.name == "Study_ID"])
+    # Outer, because the filter inferred for a plain explode would compute the array twice.
+    single = df.select("id", *study, F.explode_outer("comments").alias("c")).where(F.col("c").isNotNull())
+    votes = F.coalesce("c.upvotes", F.lit(0).cast("bigint"))
+    values = [F.col("id"), empty_if_null(F.col("c.author")), empty_if_null(F.col("c.body")), votes]
+    return single.select(*[v.alias(n) for v, n in zip(values, COMMENTS_COLUMNS)], *(["Study_ID"] if keep_study else []))

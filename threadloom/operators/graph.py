@@ -37,9 +37,12 @@ def cooccurrence(texts: DataFrame, terms: Sequence[str]) -> DataFrame:
         F.when(F.shiftright(F.col(f"w{i // WORD}"), i % WORD).bitwiseAND(F.lit(1)) == 1, F.lit(t))
         for i, t in enumerate(terms)
     ]
-    present = sets.select(F.array_compact(F.array(*held)).alias("held"), "n").where(F.size("held") > 1)
-    firsts = present.select("held", "n", F.posexplode("held").alias("at", "a"))
-    pairs = firsts.select("a", "n", F.explode(F.slice("held", F.col("at") + 2, F.size("held"))).alias("b"))
+    # Outer generators: a filter on the set size would be pushed down to every text.
+    firsts = sets.select(F.array_compact(F.array(*held)).alias("held"), "n").select(
+        "held", "n", F.posexplode_outer("held").alias("at", "a")
+    )
+    later = F.slice("held", F.col("at") + 2, F.size("held"))
+    pairs = firsts.select("a", "n", F.explode_outer(later).alias("b")).where(F.col("b").isNotNull())
     return pairs.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("n").alias("weight"))
 
 

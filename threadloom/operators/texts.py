@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import empty_if_null, literal_count, null_if_empty
+from threadloom.functions.text import empty_if_null, literal_count
 
 POSTS, COMMENTS = "posts", "comments"
 
@@ -22,16 +22,24 @@ def corpus_texts(posts: DataFrame, comments: DataFrame, mode: str = "strict", lo
     "coalesce" reads a missing part as empty. "strict" loses a text with a missing part, so a post
     without a body vanishes; callers choose, because the two disagree on real data.
     """
-    part = {"coalesce": empty_if_null, "strict": null_if_empty}[mode]
-
-    def shaped(text: Column) -> Column:
+    if mode not in ("coalesce", "strict"):
+        raise ValueError(f"unknown text mode: {mode}")
+    parts = ("Titulo", "Texto"), ("Texto_Comentario",)
+    if mode == "strict":
+        # Tested on the stored columns, where the scan can use it, not on the composed text.
+        posts, comments = (
+            table.where(reduce(lambda a, b: a & b, [F.col(c) != "" for c in cols]))
+            for table, cols in zip((posts, comments), parts)
+        )
+
+    def composed(cols: tuple[str, ...]) -> Column:
+        values = [F.col(c) if mode == "strict" else empty_if_null(F.col(c)) for c in cols]
+        text = F.concat(values[0], F.lit(" "), values[1]) if len(values) > 1 else values[0]
         return (F.lower(text) if lowercase else text).alias("text")
 
-    post_text = F.concat(part(F.col("Titulo")), F.lit(" "), part(F.col("Texto")))
-    both = posts.select(F.lit(POSTS).alias("origin"), F.col("ID").alias("id"), shaped(post_text)).unionByName(
-        comments.select(F.lit(COMMENTS).alias("origin"), F.col("Post_ID").alias("id"), shaped(part(F.col("Texto_Comentario"))))
+    return posts.select(F.lit(POSTS).alias("origin"), F.col("ID").alias("id"), composed(parts[0])).unionByName(
+        comments.select(F.lit(COMMENTS).alias("origin"), F.col("Post_ID").alias("id"), composed(parts[1]))
     )
-    return both.where(F.col("text").isNotNull()) if mode == "strict" else both
 
 
 def _from(origin: str, value: Column) -> Column:

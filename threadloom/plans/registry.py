@@ -353,7 +353,7 @@ SELECT page_id, url, '' AS id, {_inner_text(r"regexp_extract(h, '(?is)<h1\b[^>]*
 FROM v""")
 def page_fields_query(spark: SparkSession, sf: str) -> DataFrame:
     layout = PageFields(body=(inside(r"article\b", "p"),))
-    return page_fields(tables.table(spark, sf, "pages"), layout)
+    return page_fields(tables.spread(tables.table(spark, sf, "pages")), layout)
 
 
 @query(rf"""WITH v AS (SELECT page_id, {_VISIBLE} AS h FROM pages),
@@ -362,7 +362,7 @@ flat AS (SELECT page_id, unnest(range(len(xs))) AS spot, unnest(xs) AS x FROM it
 SELECT page_id, spot, {_inner_text('x')} AS author, 0 AS upvotes FROM flat WHERE {_inner_text('x')} <> ''""")
 def page_comments_query(spark: SparkSession, sf: str) -> DataFrame:
     layout = CommentFields(containers=("shreddit-comment\\b", r"li\b"), author=(element(r"a\b"),))
-    pages = page_comments(tables.table(spark, sf, "pages"), 4, layout)
+    pages = page_comments(tables.spread(tables.table(spark, sf, "pages")), 4, layout)
     return pages.select("page_id", F.posexplode("comments").alias("spot", "c")).select("page_id", "spot", "c.author", "c.upvotes")
 
 

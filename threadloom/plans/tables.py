@@ -21,10 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table whose files give fewer scan tasks than there are cores.
+
+    Text work is heavy per row, and a small table in one row group would occupy a single core. A
+    table with enough splits, as any large one has, is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_records(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
     """Records with repeated, null and empty ids, or with one id per document."""
-    docs = table(spark, sf_dir, "documents")
-    lines = F.split("text", "\n")
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("_lines", F.split("text", "\n"))
+    lines = F.col("_lines")
     shared = (
         F.when(F.col("lang") == "es", F.lit(None))
         .when(F.col("source") == "src3", F.lit(""))
