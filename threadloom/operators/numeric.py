@@ -51,7 +51,7 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     )
     spots = [(F.lit(p) * (F.col("size") - 1)) for p in probs]
     wanted = placed.select(
-        "bucket", "before",
+        "bucket", "before", "size",
         F.inline(
             F.array(
                 *[
@@ -64,21 +64,21 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
         "n",
     ).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
     # Two ranks per probability, so the broadcast side has at most 2 * len(probs) rows.
-    inside = keyed.join(F.broadcast(wanted.select("bucket", "before", "slot", "rank")), "bucket")
+    inside = keyed.join(F.broadcast(wanted.drop("n")), "bucket")
     running = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = inside.withColumn("upto", F.col("before") + F.sum("k").over(running))
     hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))
     slots = reached.where(hit).agg(
+        F.max("size").alias("size"),
         *[F.max(F.when(F.col("slot") == s, F.col("v"))).cast("double").alias(f"s{s}") for s in range(2 * len(probs))]
     )
-    size = counts.agg(F.sum("k")).scalar()
 
     def blend(i: int, p: float) -> Column:
         low, high = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")
         share = F.lit(p) * (F.col("size") - 1) - F.floor(F.lit(p) * (F.col("size") - 1))
         return (low + (high - low) * share).alias(f"q{i}")
 
-    return slots.withColumn("size", size).select(*[blend(i, p) for i, p in enumerate(probs)])
+    return slots.select(*[blend(i, p) for i, p in enumerate(probs)])
 
 
 def boxplot_stats(df: DataFrame, col: str) -> DataFrame:
@@ -88,24 +88,22 @@ def boxplot_stats(df: DataFrame, col: str) -> DataFrame:
     v, q = F.col("v"), F.col("q")
     reach = (q["q2"] - q["q0"]) * 1.5
     inside = (v >= q["q0"] - reach) & (v <= q["q2"] + reach)
-    return (
-        counts.withColumn("q", quartiles)
-        .agg(
-            F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
-            F.max("q").alias("q"),
-            F.min(F.when(inside, v)).cast("double").alias("low"),
-            F.max(F.when(inside, v)).cast("double").alias("high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("k"))), F.lit(0)).alias("outliers"),
-        )
-        .select(
-            "n",
-            F.col("q.q0").alias("q1"),
-            F.col("q.q1").alias("median"),
-            F.col("q.q2").alias("q3"),
-            F.least("low", "q.q0").alias("whisker_low"),
-            F.greatest("high", "q.q2").alias("whisker_high"),
-            "outliers",
-        )
+    # The subquery is attached once as a column; every direct mention would run it again.
+    ends = counts.withColumn("q", quartiles).agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
+        *[F.max(q[f"q{i}"]).alias(f"q{i}") for i in range(3)],
+        F.min(F.when(inside, v)).cast("double").alias("low"),
+        F.max(F.when(inside, v)).cast("double").alias("high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("k"))), F.lit(0)).alias("outliers"),
+    )
+    return ends.select(
+        "n",
+        F.col("q0").alias("q1"),
+        F.col("q1").alias("median"),
+        F.col("q2").alias("q3"),
+        F.least("low", "q0").alias("whisker_low"),
+        F.greatest("high", "q2").alias("whisker_high"),
+        "outliers",
     )
 
 

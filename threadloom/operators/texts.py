@@ -50,32 +50,39 @@ def total(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
 
 
-def count_terms(texts: DataFrame, terms: Sequence[str], counter: Callable[[Column, str], Column] = literal_count) -> DataFrame:
+Counter = Callable[[Column, str], Column]
+
+
+def _chunks(terms: Sequence[str]) -> list[list[tuple[int, str]]]:
+    numbered = list(enumerate(terms))
+    return [numbered[at:at + TERMS_PER_PASS] for at in range(0, len(numbered), TERMS_PER_PASS)]
+
+
+def count_terms(texts: DataFrame, terms: Sequence[str], counter: Counter = literal_count) -> DataFrame:
     """Occurrences of every term as ``term_ord, term, n``, zero counts included.
 
     One pass: a counter column per term, folded inside each task, so one row per task is shuffled.
     """
     passes = []
-    for start in range(0, len(terms), TERMS_PER_PASS):
-        chunk = list(enumerate(terms))[start:start + TERMS_PER_PASS]
-        sums = [total(counter(F.col("text"), term)).alias(f"c{i}") for i, term in chunk]
+    for chunk in _chunks(terms):
+        counts = texts.agg(*[total(counter(F.col("text"), term)).alias(f"c{i}") for i, term in chunk])
         rows = [
             F.struct(F.lit(i).alias("term_ord"), F.lit(term).alias("term"), F.col(f"c{i}").alias("n"))
             for i, term in chunk
         ]
-        passes.append(texts.agg(*sums).select(F.inline(F.array(*rows))))
+        passes.append(counts.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, passes)
 
 
-def count_terms_by_origin(texts: DataFrame, terms: Sequence[str], counter: Callable[[Column, str], Column]) -> DataFrame:
+def count_terms_by_origin(texts: DataFrame, terms: Sequence[str], counter: Counter = literal_count) -> DataFrame:
     """Like ``count_terms`` but split into ``term_ord, term, origin, n``."""
     passes = []
-    for start in range(0, len(terms), TERMS_PER_PASS):
-        chunk = list(enumerate(terms))[start:start + TERMS_PER_PASS]
+    for chunk in _chunks(terms):
         # Grouping by origin counts each text once; conditional sums would count it twice.
         sums = [total(counter(F.col("text"), term)).alias(f"c{i}") for i, term in chunk]
         counts = F.struct(*[f"c{i}" for i, _ in chunk])
-        wide = texts.groupBy("origin").agg(*sums).agg(*[F.max(_from(o, counts)).alias(o) for o in (POSTS, COMMENTS)])
+        sides = texts.groupBy("origin").agg(*sums)
+        wide = sides.agg(*[F.max(_from(o, counts)).alias(o) for o in (POSTS, COMMENTS)])
         rows = [
             F.struct(
                 F.lit(i).alias("term_ord"),
