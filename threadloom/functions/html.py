@@ -68,17 +68,16 @@ def with_class(name: str) -> str:
 
 
 def first_match(html: Column, patterns: Sequence[str]) -> Column:
-    """Group 2 of whichever pattern matches earliest in the document, or null."""
-    found = F.array(
+    """Group 2 of whichever pattern matches earliest in the document; null or "" without a match."""
+    if len(patterns) == 1:
+        return F.regexp_extract(html, patterns[0], 2)
+    tried = F.array(
         *[
-            F.when(
-                F.regexp_instr(html, F.lit(p)) > 0,
-                F.struct(F.regexp_instr(html, F.lit(p)).alias("at"), F.regexp_extract(html, p, 2).alias("got")),
-            )
+            F.struct(F.regexp_instr(html, F.lit(p)).alias("at"), F.regexp_extract(html, p, 2).alias("got"))
             for p in patterns
         ]
     )
-    return F.array_min(F.array_compact(found))["got"]
+    return F.array_min(F.filter(tried, lambda hit: hit["at"] > 0))["got"]
 
 
 def chunks(html: Column, opening: str) -> Column:

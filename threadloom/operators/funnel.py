@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import any_pattern, contains_any, empty_if_null, matches
-from threadloom.operators.keyed import first_per_key, order_key
+from threadloom.operators.keyed import Order, as_columns, first_per_key, order_key
 from threadloom.params import Filters
 from threadloom.schema import COMMENT_COUNT, COMMENTS_COLUMNS, POSITION, POSTS_COLUMNS
 
-Order = str | Sequence[str | Column]
-
 
 def with_comment_count(df: DataFrame) -> DataFrame:
     return df.withColumn(COMMENT_COUNT, F.coalesce(F.size("comments"), F.lit(0)))
@@ -67,14 +65,27 @@ def require_any_terms(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return df.where(_mentions(terms)) if terms else df
 
 
-def apply_funnel(records: DataFrame, filters: Filters, order: Order = POSITION) -> DataFrame:
-    """Records that pass every rule, in the order the rules are defined, with the creator flag.
+def _passes(filters: Filters) -> Column:
+    """The dropping rules together; each looks at one record only."""
+    rules = _enough_comments(filters.min_comments) & _enough_chars(filters.min_chars)
+    if filters.exclude_terms:
+        rules = rules & ~_mentions(filters.exclude_terms)
+    if filters.require_any_terms:
+        rules = rules & _mentions(filters.require_any_terms)
+    return rules
+
+
+def apply_funnel(records: DataFrame, filters: Filters, order: Order = POSITION, key: str = "id") -> DataFrame:
+    """Records that pass every rule, with the creator flag.
 
-    Deduplication comes first by definition: a first copy with too few comments removes its id.
+    Deduplication comes first by definition: a first copy that fails a rule removes its id. The
+    rules are still evaluated before the shuffle, and a failing record travels without its text and
+    comments: it is needed only to claim its id.
     """
-    kept = dedup_first(clean_text(with_comment_count(records)), order=order)
-    kept = min_chars(min_comments(kept, filters.min_comments), filters.min_chars)
-    kept = require_any_terms(exclude_terms(kept, filters.exclude_terms), filters.require_any_terms)
+    rows = clean_text(with_comment_count(records)).withColumn("_passes", F.coalesce(_passes(filters), F.lit(False)))
+    fixed = {key, "_passes", *as_columns(order)}
+    slim = rows.select(*[F.col(c) if c in fixed else F.when(F.col("_passes"), F.col(c)).alias(c) for c in rows.columns])
+    kept = dedup_first(slim, key, order).where("_passes").drop("_passes")
     return flag_creator(kept, filters.creator_patterns)
 
 

@@ -115,8 +115,10 @@ def boxplot_outliers(df: DataFrame, col: str) -> DataFrame:
             (F.col("q1") + (F.col("q1") - F.col("q0")) * 1.5).alias("high"),
         ).alias("fences")
     )
-    limit = fences.scalar()
-    return df.where((F.col(col) < limit["low"]) | (F.col(col) > limit["high"]))
+    v = F.col(col)
+    # The lambda names the subquery's result, so the subquery appears and runs once.
+    beyond = F.transform(F.array(fences.scalar()), lambda f: (v < f["low"]) | (v > f["high"]))
+    return df.where(F.get(beyond, F.lit(0)))
 
 
 def describe_engagement(df: DataFrame, col: str = "Upvotes") -> DataFrame:
@@ -137,23 +139,24 @@ def _span(counts: DataFrame) -> Column:
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed; empty bins are kept."""
     counts = value_counts(df, col)
-    span = _span(counts)
-    step = (span["high"] - span["low"]) / bins
+    span, low, high = _span(counts), F.col("s.low"), F.col("s.high")
+    step = (high - low) / bins
 
     def edge(i: Column) -> Column:
-        return F.when(i == bins, span["high"]).otherwise(span["low"] + i * step)
+        return F.when(i == bins, high).otherwise(low + i * step)
 
-    v = F.col("v").cast("double")
-    guess = F.least(F.floor((v - span["low"]) / step), F.lit(bins - 1)).cast("int")
+    v, guess = F.col("v").cast("double"), F.col("guess")
     # The division can land one bin off an edge; comparing with the edges themselves settles it.
     settled = (
-        F.when(v < edge(F.col("guess")), F.col("guess") - 1)
-        .when((v >= edge(F.col("guess") + 1)) & (F.col("guess") < bins - 1), F.col("guess") + 1)
-        .otherwise(F.col("guess"))
+        F.when(v < edge(guess), guess - 1)
+        .when((v >= edge(guess + 1)) & (guess < bins - 1), guess + 1)
+        .otherwise(guess)
     )
-    filled = counts.withColumn("guess", guess).groupBy(settled.alias("bin")).agg(F.sum("k").alias("n"))
+    placed = counts.withColumn("s", span).withColumn("guess", F.least(F.floor((v - low) / step), F.lit(bins - 1)).cast("int"))
+    # At most one row per bin, so the broadcast is bounded by the parameter.
+    filled = F.broadcast(placed.groupBy(settled.alias("bin")).agg(F.sum("k").alias("n")))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(F.broadcast(filled), "bin", "left").select(
+    return every.join(filled, "bin", "left").withColumn("s", span).select(
         "bin", edge(F.col("bin")).alias("left_edge"), edge(F.col("bin") + 1).alias("right_edge"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from threadloom.functions.text import check_patterns
-from threadloom.operators.funnel import Order, apply_funnel, funnel_audit, to_comments, to_posts
+from threadloom.operators.funnel import apply_funnel, funnel_audit, to_comments, to_posts
+from threadloom.operators.keyed import Order
 from threadloom.params import Filters
 from threadloom.schema import POSITION
 from threadloom.session import scratch_dir

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import empty_if_null, null_if_empty
-from threadloom.operators.funnel import Order
-from threadloom.operators.keyed import first_per_key, is_blank
+from threadloom.operators.keyed import Order, first_per_key, is_blank
 from threadloom.schema import COMMENTS_COLUMNS, POSITION, POSTS_COLUMNS
 
 STUDY = "Study_ID"
@@ -50,14 +49,17 @@ def normalize_nulls(df: DataFrame, mode: str) -> DataFrame:
 def append_new(incoming: DataFrame, stored: DataFrame, key: str = "id", order: Order = POSITION, small_incoming: bool = False) -> DataFrame:
     """Incoming rows to add: unseen ids, first copy only, and every row whose id is null or empty.
 
-    Copies are reduced before the join, which then reuses their partitioning. The stored side is cut
-    down to the ids that do occur in the incoming rows. With ``small_incoming``, set only by a caller
+    Copies are reduced before the join, which then reuses their partitioning, and the stored side is
+    cut down to ids that occur in the incoming rows. With ``small_incoming``, set only by a caller
     that has measured the batch, those ids are broadcast and the stored ids are never shuffled.
     """
     keyed = incoming.where(~is_blank(key))
     wanted = keyed.select(key).distinct()
+    known = stored.where(~is_blank(key)).select(key)
     if small_incoming:
-        wanted = F.broadcast(wanted)
-    seen = stored.where(~is_blank(key)).select(key).join(wanted, key, "left_semi").distinct()
+        seen = known.join(F.broadcast(wanted), key, "left_semi").distinct()
+    else:
+        # Distinct first: an id stored many times is folded inside its tasks, not shuffled whole.
+        seen = known.distinct().join(wanted, key, "left_semi")
     fresh = first_per_key(keyed, key, order).join(seen, key, "left_anti")
     return fresh.select(*incoming.columns).unionByName(incoming.where(is_blank(key)))
