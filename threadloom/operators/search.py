@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.functions import urls
 from threadloom.operators.keyed import first_n_per_key, first_per_key_keep_blank
 from threadloom.params import StudyProfile
 
-PROFILE_SCHEMA = T.StructType(
-    [
-        T.StructField("study_id", T.StringType()),
-        T.StructField("subreddits", T.ArrayType(T.StringType())),
-        T.StructField("keyword_groups", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
-    ]
-)
+_PROFILE_ROW = "study_id string, subreddits array<string>, groups array<struct<name: string, keywords: array<string>>>"
 
 
 def profile_frame(spark: SparkSession, *profiles: StudyProfile) -> DataFrame:
-    rows = [(p.study_id, list(p.subreddits), {g: list(k) for g, k in p.keyword_groups.items()}) for p in profiles]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    """Profiles as ``study_id, subreddits, keyword_groups``, the map keeping the order of its groups."""
+    rows = [(p.study_id, list(p.subreddits), [(g, list(k)) for g, k in p.keyword_groups.items()]) for p in profiles]
+    # A Python dict would lose its order on the way into a map, so entries travel as an array.
+    groups = F.map_from_entries("groups").alias("keyword_groups")
+    return spark.createDataFrame(rows, _PROFILE_ROW).select("study_id", "subreddits", groups)
 
 
 def flatten_keywords(profiles: DataFrame, groups: str = "keyword_groups") -> DataFrame:
