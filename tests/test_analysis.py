@@ -53,7 +53,7 @@ def test_long_term_lists_take_several_passes(corpus):
     got = pairs(count_terms(corpus_texts(*corpus, "coalesce"), terms), "term_ord", "n")
     assert sorted(got) == [(i, 0) for i in range(230)] + [(230, 5)]
     table = report_table(*corpus, Analysis(vocabulary_terms=terms))
-    top = table.where("section = 'vocabulary'").orderBy("ord").select("key", "value").collect()
+    top = table.where("section = '3 vocabulary'").orderBy("ord").select("key", "value").collect()
     assert [tuple(r) for r in top][:2] == [("viral", "5"), ("t0", "0")] and len(top) == 10
 
 
@@ -78,11 +78,11 @@ def test_match_counts_and_report(corpus):
     assert tuple(report.match_tactics(*corpus, a.tactics_pattern).first()) == (1, 1)
     assert tuple(report.match_theories(*corpus, a.theories_pattern).first()) == (1, 0)
     rows = {(r.section, r.ord, r.key): r.value for r in report_table(*corpus, a).collect()}
-    assert rows["totals", 1, "posts"] == "4" and rows["totals", 2, "comments"] == "5"
-    assert rows["vocabulary", 1, "viral"] == "5" and rows["vocabulary", 2, "reach"] == "4"
-    assert rows["matches", 1, "tactics posts"] == "1" and rows["matches", 4, "theories comments"] == "0"
-    assert rows["creators", 2, "percent"] == "50.0" and rows["communities", 1, "A"] == "2"
-    assert rows["discussions", 1, "id"] == "p1" and len(rows) == 2 + 2 + 4 + 4 + 3 + 35 - 7
+    assert rows["1a totals", 1, "posts"] == "4" and rows["1a totals", 2, "comments"] == "5"
+    assert rows["3 vocabulary", 1, "viral"] == "5" and rows["3 vocabulary", 2, "reach"] == "4"
+    assert rows["4 matches", 1, "tactics posts"] == "1" and rows["4 matches", 4, "theories comments"] == "0"
+    assert rows["2 creators", 2, "percent"] == "50.0" and rows["1b communities", 1, "A"] == "2"
+    assert rows["5 discussions", 1, "id"] == "p1" and len(rows) == 2 + 2 + 4 + 4 + 3 + 35 - 7
 
 
 def test_exploration_counts(corpus):

@@ -548,26 +548,26 @@ def top_discussions_query(spark: SparkSession, sf: str) -> DataFrame:
 t AS ({_term_rows('loose', TERMS, 'lower(txt)')}),
 g AS (SELECT "Subreddit" AS name, count(*) AS n, count(*) FILTER (is_creator_suspect) AS c FROM posts GROUP BY 1),
 top AS (SELECT * FROM ({_TOP} FROM posts) WHERE rank <= 5)
-SELECT 'totals' AS section, 1 AS ord, 'posts' AS key, CAST(count(*) AS VARCHAR) AS value FROM posts
-UNION ALL SELECT 'totals', 2, 'comments', CAST(count(*) AS VARCHAR) FROM comments
-UNION ALL SELECT 'communities', 1, name, CAST(n AS VARCHAR) FROM g
-UNION ALL SELECT 'community bars', 1, name, {_BAR} FROM g
-UNION ALL SELECT 'creators', 1, 'creators', CAST(sum(c) AS VARCHAR) FROM g
-UNION ALL SELECT 'creators', 2, 'percent', CAST(round(sum(c) / sum(n) * 100, 1) AS VARCHAR) FROM g
-UNION ALL SELECT 'creators', 3, 'others', CAST(sum(n) - sum(c) AS VARCHAR) FROM g
-UNION ALL SELECT 'vocabulary', rank, term, CAST(n AS VARCHAR) FROM (
+SELECT '1a totals' AS section, 1 AS ord, 'posts' AS key, CAST(count(*) AS VARCHAR) AS value FROM posts
+UNION ALL SELECT '1a totals', 2, 'comments', CAST(count(*) AS VARCHAR) FROM comments
+UNION ALL SELECT '1b communities', row_number() OVER (ORDER BY n DESC, name), name, CAST(n AS VARCHAR) FROM g
+UNION ALL SELECT '1c bars', row_number() OVER (ORDER BY n DESC, name), name, {_BAR} FROM g
+UNION ALL SELECT '2 creators', 1, 'creators', CAST(sum(c) AS VARCHAR) FROM g
+UNION ALL SELECT '2 creators', 2, 'percent', CAST(round(sum(c) / sum(n) * 100, 1) AS VARCHAR) FROM g
+UNION ALL SELECT '2 creators', 3, 'others', CAST(sum(n) - sum(c) AS VARCHAR) FROM g
+UNION ALL SELECT '3 vocabulary', rank, term, CAST(n AS VARCHAR) FROM (
   SELECT row_number() OVER (ORDER BY n DESC, term_ord) AS rank, term, n FROM t) WHERE rank <= 8
-UNION ALL SELECT 'matches', 1, 'tactics posts', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'posts' AND regexp_matches(txt, '{TACTICS}', 'i')
-UNION ALL SELECT 'matches', 2, 'tactics comments', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'comments' AND regexp_matches(txt, '{TACTICS}', 'i')
-UNION ALL SELECT 'matches', 3, 'theories posts', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'posts' AND regexp_matches(txt, '{THEORIES}', 'i')
-UNION ALL SELECT 'matches', 4, 'theories comments', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'comments' AND regexp_matches(txt, '{THEORIES}', 'i')
-UNION ALL SELECT 'discussions', rank, 'id', id FROM top
-UNION ALL SELECT 'discussions', rank, 'community', community FROM top
-UNION ALL SELECT 'discussions', rank, 'creator', CAST(creator AS VARCHAR) FROM top
-UNION ALL SELECT 'discussions', rank, 'title', title FROM top
-UNION ALL SELECT 'discussions', rank, 'comments', CAST(comments AS VARCHAR) FROM top
-UNION ALL SELECT 'discussions', rank, 'upvotes', CAST(upvotes AS VARCHAR) FROM top
-UNION ALL SELECT 'discussions', rank, 'url', url FROM top""")
+UNION ALL SELECT '4 matches', 1, 'tactics posts', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'posts' AND regexp_matches(txt, '{TACTICS}', 'i')
+UNION ALL SELECT '4 matches', 2, 'tactics comments', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'comments' AND regexp_matches(txt, '{TACTICS}', 'i')
+UNION ALL SELECT '4 matches', 3, 'theories posts', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'posts' AND regexp_matches(txt, '{THEORIES}', 'i')
+UNION ALL SELECT '4 matches', 4, 'theories comments', CAST(count(*) AS VARCHAR) FROM loose WHERE origin = 'comments' AND regexp_matches(txt, '{THEORIES}', 'i')
+UNION ALL SELECT '5 discussions', rank, 'id', id FROM top
+UNION ALL SELECT '5 discussions', rank, 'community', community FROM top
+UNION ALL SELECT '5 discussions', rank, 'creator', CAST(creator AS VARCHAR) FROM top
+UNION ALL SELECT '5 discussions', rank, 'title', title FROM top
+UNION ALL SELECT '5 discussions', rank, 'comments', CAST(comments AS VARCHAR) FROM top
+UNION ALL SELECT '5 discussions', rank, 'upvotes', CAST(upvotes AS VARCHAR) FROM top
+UNION ALL SELECT '5 discussions', rank, 'url', url FROM top""")
 def report_table_query(spark: SparkSession, sf: str) -> DataFrame:
     analysis = Analysis(vocabulary_terms=TERMS, tactics_pattern=TACTICS, theories_pattern=THEORIES)
     return report_table(*tables.document_corpus(spark, sf), analysis, top_terms=8)

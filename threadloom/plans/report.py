@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import check_patterns, literal_count, matches
@@ -13,6 +13,11 @@ from threadloom.operators.texts import COMMENTS, POSTS, TERMS_PER_PASS, corpus_t
 from threadloom.params import Analysis
 
 
+# Section labels sort in report order; within a section ``ord`` does.
+TOTALS, COMMUNITIES, BARS = "1a totals", "1b communities", "1c bars"
+CREATORS, VOCABULARY, MATCHES, DISCUSSIONS = "2 creators", "3 vocabulary", "4 matches", "5 discussions"
+
+
 def _line(section: str, order: Column, key: Column, value: Column) -> list[Column]:
     return [
         F.lit(section).alias("section"),
@@ -53,27 +58,30 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
     )
     ranked = F.transform(
         F.slice(F.array_sort(vocabulary), 1, top_terms),
-        lambda t, i: F.struct(*_line("vocabulary", i + 1, t["term"], -t["less"])),
+        lambda t, i: F.struct(*_line(VOCABULARY, i + 1, t["term"], -t["less"])),
     )
     fixed = F.array(
-        *_fixed("totals", (POSTS, F.col(POSTS)), (COMMENTS, F.col(COMMENTS))),
-        *_fixed("matches", *[(key, F.col(key)) for key in tallies]),
+        *_fixed(TOTALS, (POSTS, F.col(POSTS)), (COMMENTS, F.col(COMMENTS))),
+        *_fixed(MATCHES, *[(key, F.col(key)) for key in tallies]),
     )
     parts = [counted.select(F.inline(F.concat(fixed, ranked) if inline_terms else fixed))]
     if not inline_terms:
         long_list = ranked_terms(count_terms(texts, terms), top_terms)
-        parts.append(long_list.select(*_line("vocabulary", F.col("rank"), F.col("term"), F.col("n"))))
+        parts.append(long_list.select(*_line(VOCABULARY, F.col("rank"), F.col("term"), F.col("n"))))
 
     sizes = posts.groupBy(F.col("Subreddit").alias("name")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_creator_suspect").alias("creators")
     )
-    largest = sizes.agg(F.max("n")).scalar()
+    # One row per community of the study, so ranking them in one task is cheap.
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "name"))
+    largest = F.max("n").over(Window.partitionBy())
+    ranked_sizes = sizes.select("name", "n", place.alias("place"), largest.alias("largest"))
     parts.append(
-        sizes.select(
+        ranked_sizes.select(
             F.inline(
                 F.array(
-                    F.struct(*_line("communities", F.lit(1), F.col("name"), F.col("n"))),
-                    F.struct(*_line("community bars", F.lit(1), F.col("name"), bar(F.col("n"), largest))),
+                    F.struct(*_line(COMMUNITIES, F.col("place"), F.col("name"), F.col("n"))),
+                    F.struct(*_line(BARS, F.col("place"), F.col("name"), bar(F.col("n"), F.col("largest")))),
                 )
             )
         )
@@ -86,7 +94,7 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
             F.inline(
                 F.array(
                     *_fixed(
-                        "creators",
+                        CREATORS,
                         ("creators", F.col("creators")),
                         ("percent", F.round(pct, 1)),
                         ("others", F.col("everyone") - F.col("creators")),
@@ -99,7 +107,7 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
     details = ("id", "community", "creator", "title", "comments", "upvotes", "url")
     parts.append(
         leaders.select(
-            F.inline(F.array(*[F.struct(*_line("discussions", F.col("rank"), F.lit(d), F.col(d))) for d in details]))
+            F.inline(F.array(*[F.struct(*_line(DISCUSSIONS, F.col("rank"), F.lit(d), F.col(d))) for d in details]))
         )
     )
     return reduce(DataFrame.unionByName, parts)
