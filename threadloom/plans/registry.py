@@ -28,11 +28,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str, ints: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query with its SQL; ``ints`` are the columns Spark gives as 32-bit integers."""
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+
     def register(fn: Query) -> Query:
         QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
+        SQL[fn.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if ints else sql
         return fn
 
     return register
@@ -50,7 +52,7 @@ recs AS (
          'https://forum.example/r/' || source || '/comments/' || doc_id || '/x' AS url,
          ls[1] AS title, 'u' || doc_id AS author, ls[2] AS body, n_chars AS upvotes,
          len(ls) AS comment_count, CAST(doc_id AS VARCHAR) AS "timestamp",
-         ls, greatest(len(ls) - 2, 0) AS n_comments
+         ls, CAST(greatest(len(ls) - 2, 0) AS INTEGER) AS n_comments
   FROM docs)"""
 _SHARED = _DOCS.format(id="CASE WHEN lang = 'es' THEN NULL WHEN source = 'src3' THEN '' ELSE lang || '-' || n_chars END")
 _UNIQUE = _DOCS.format(id="CAST(doc_id AS VARCHAR)")
@@ -100,7 +102,7 @@ strict AS (
 _ORDERS = """orders_posts AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS "ID", o_orderpriority AS "Subreddit",
          'Order of ' || o_custkey || ' ' || o_orderpriority AS "Titulo",
-         CAST(floor(o_totalprice) AS BIGINT) AS "Upvotes", coalesce(n, 0) AS "Num_Comentarios",
+         CAST(floor(o_totalprice) AS BIGINT) AS "Upvotes", CAST(coalesce(n, 0) AS INTEGER) AS "Num_Comentarios",
          'https://forum.example/o/' || o_orderkey AS "URL", o_orderstatus = 'F' AS is_creator_suspect
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 
@@ -136,7 +138,7 @@ _ACTANT_TERMS = tuple(t for members in ACTANTS.values() for t in members)
 _RECORD_COLS = """id, subreddit, keyword_group, keyword, study_id, theme_label, url, title, author, body, upvotes,
   comment_count, "timestamp", n_comments, comment_chars"""
 _RECORD_SQL = f"""WITH {_SHARED}
-SELECT {_RECORD_COLS} FROM (SELECT *, length(array_to_string(ls[3:], '')) AS comment_chars FROM recs)"""
+SELECT {_RECORD_COLS} FROM (SELECT *, CAST(length(array_to_string(ls[3:], '')) AS INTEGER) AS comment_chars FROM recs)"""
 
 
 def _flat(records: DataFrame) -> DataFrame:
@@ -256,13 +258,13 @@ subs AS (
   UNION ALL SELECT p_partkey, 1, 'size' || p_size FROM part)"""
 
 
-@query(f"WITH {_KEYWORDS} SELECT study, group_ord, keyword_group, keyword_ord, keyword FROM kws")
+@query(f"WITH {_KEYWORDS} SELECT study, group_ord, keyword_group, keyword_ord, keyword FROM kws", ints=("keyword_ord",))
 def flatten_keywords_query(spark: SparkSession, sf: str) -> DataFrame:
     return search.flatten_keywords(tables.part_profiles(spark, sf).drop("subreddits"))
 
 
 @query(f"""WITH {_KEYWORDS}
-SELECT study, sub_ord, subreddit, group_ord, keyword_group, keyword_ord, keyword FROM subs JOIN kws USING (study)""")
+SELECT study, sub_ord, subreddit, group_ord, keyword_group, keyword_ord, keyword FROM subs JOIN kws USING (study)""", ints=("keyword_ord",))
 def search_plan_query(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_plan(tables.part_profiles(spark, sf))
 
@@ -272,7 +274,7 @@ SELECT study, sub_ord, group_ord, keyword_ord,
   'https://www.reddit.com/r/' || subreddit || '/search/?q=' ||
   replace(replace(replace(replace(keyword, '#', '%23'), '&', '%26'), '*', '%2A'), ' ', '+') ||
   '&restrict_sr=1&t=month&sort=relevance' AS search_url
-FROM subs JOIN kws USING (study)""")
+FROM subs JOIN kws USING (study)""", ints=("keyword_ord",))
 def search_url_query(spark: SparkSession, sf: str) -> DataFrame:
     plan = search.search_url(search.search_plan(tables.part_profiles(spark, sf)), "month")
     return plan.select("study", "sub_ord", "group_ord", "keyword_ord", "search_url")
@@ -299,7 +301,7 @@ flat AS (SELECT page_id, url, unnest(range(len(hs))) AS pos, unnest(hs) AS q FRO
 plain AS (SELECT page_id, url, pos, {_unescaped("substr(q, 2, length(q) - 2)")} AS href FROM flat)
 SELECT page_id, url, pos,
   regexp_replace(split_part(CASE WHEN href LIKE '/%' THEN 'https://www.reddit.com' || href ELSE href END, '?', 1), '/+$', '') AS link
-FROM plain WHERE contains(href, '/') AND contains(CASE WHEN href LIKE '/%' THEN 'https://www.reddit.com' || href ELSE href END, '/t')""")
+FROM plain WHERE contains(href, '/') AND contains(CASE WHEN href LIKE '/%' THEN 'https://www.reddit.com' || href ELSE href END, '/t')""", ints=("pos",))
 def extract_links_query(spark: SparkSession, sf: str) -> DataFrame:
     return extract_links(tables.table(spark, sf, "pages"), "t", anchor_contains="/", keep=F.lit("/t"))
 
@@ -307,7 +309,7 @@ def extract_links_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT search_id, link, pos, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY pos, link) AS rank FROM (
     SELECT l_suppkey AS search_id, '/p/' || l_partkey AS link, min(l_orderkey * 10 + l_linenumber) AS pos
-    FROM lineitem GROUP BY 1, 2)) WHERE rank <= 40""")
+    FROM lineitem GROUP BY 1, 2)) WHERE rank <= 40""", ints=("rank",))
 def distinct_links_topn_query(spark: SparkSession, sf: str) -> DataFrame:
     links = tables.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("search_id"),
@@ -341,7 +343,7 @@ def post_id_query(spark: SparkSession, sf: str) -> DataFrame:
   FROM orders WHERE o_orderstatus <> 'F')
 SELECT post_id, sub_ord, kw_ord, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY sub_ord, kw_ord, pos) AS rn FROM hits WHERE post_id <> '') WHERE rn = 1
-UNION ALL SELECT post_id, sub_ord, kw_ord, pos FROM hits WHERE post_id = ''""")
+UNION ALL SELECT post_id, sub_ord, kw_ord, pos FROM hits WHERE post_id = ''""", ints=("sub_ord",))
 def attribute_first_search_query(spark: SparkSession, sf: str) -> DataFrame:
     return search.attribute_first_search(tables.order_hits(spark, sf))
 
@@ -349,7 +351,7 @@ def attribute_first_search_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(rf"""WITH v AS (SELECT page_id, url, {_VISIBLE} AS h FROM pages)
 SELECT page_id, url, '' AS id, {_inner_text(r"regexp_extract(h, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)")} AS title, '' AS author,
   {_inner_text(r"regexp_extract(h, '(?is)<article\b[^>]*>.*?<p\b[^>]*>(.*?)</p\s*>', 1)")} AS body,
-  0 AS upvotes, 0 AS comment_count, '' AS "timestamp"
+  CAST(0 AS BIGINT) AS upvotes, CAST(0 AS BIGINT) AS comment_count, '' AS "timestamp"
 FROM v""")
 def page_fields_query(spark: SparkSession, sf: str) -> DataFrame:
     layout = PageFields(body=(inside(r"article\b", "p"),))
@@ -359,7 +361,7 @@ def page_fields_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(rf"""WITH v AS (SELECT page_id, {_VISIBLE} AS h FROM pages),
 items AS (SELECT page_id, regexp_extract_all(h, '(?is)<li\b[^>]*><a\b[^>]*>(.*?)</a\s*>', 1)[1:4] AS xs FROM v),
 flat AS (SELECT page_id, unnest(range(len(xs))) AS spot, unnest(xs) AS x FROM items)
-SELECT page_id, spot, {_inner_text('x')} AS author, 0 AS upvotes FROM flat WHERE {_inner_text('x')} <> ''""")
+SELECT page_id, spot, {_inner_text('x')} AS author, CAST(0 AS BIGINT) AS upvotes FROM flat WHERE {_inner_text('x')} <> ''""", ints=("spot",))
 def page_comments_query(spark: SparkSession, sf: str) -> DataFrame:
     layout = CommentFields(containers=("shreddit-comment\\b", r"li\b"), author=(element(r"a\b"),))
     pages = page_comments(tables.spread(tables.table(spark, sf, "pages")), 4, layout)
@@ -515,7 +517,7 @@ def term_counts_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{_CORPUS}, t AS ({_term_rows('loose', TERMS, 'lower(txt)')})
-SELECT rank, term, n FROM (SELECT row_number() OVER (ORDER BY n DESC, term_ord) AS rank, term, n FROM t) WHERE rank <= 8""")
+SELECT rank, term, n FROM (SELECT row_number() OVER (ORDER BY n DESC, term_ord) AS rank, term, n FROM t) WHERE rank <= 8""", ints=("rank",))
 def top_terms_query(spark: SparkSession, sf: str) -> DataFrame:
     return report.top_terms(*tables.document_corpus(spark, sf), TERMS, 8)
 
@@ -539,7 +541,7 @@ _TOP = """SELECT row_number() OVER (ORDER BY "Num_Comentarios" DESC, "ID") AS ra
   is_creator_suspect AS creator, substr("Titulo", 1, 100) AS title, "Num_Comentarios" AS comments, "Upvotes" AS upvotes, "URL" AS url"""
 
 
-@query(f"WITH {_ORDERS} SELECT * FROM ({_TOP} FROM orders_posts) WHERE rank <= 25")
+@query(f"WITH {_ORDERS} SELECT * FROM ({_TOP} FROM orders_posts) WHERE rank <= 25", ints=("rank",))
 def top_discussions_query(spark: SparkSession, sf: str) -> DataFrame:
     return report.top_discussions(tables.order_posts(spark, sf), 25)
 
@@ -567,7 +569,7 @@ UNION ALL SELECT '5 discussions', rank, 'creator', CAST(creator AS VARCHAR) FROM
 UNION ALL SELECT '5 discussions', rank, 'title', title FROM top
 UNION ALL SELECT '5 discussions', rank, 'comments', CAST(comments AS VARCHAR) FROM top
 UNION ALL SELECT '5 discussions', rank, 'upvotes', CAST(upvotes AS VARCHAR) FROM top
-UNION ALL SELECT '5 discussions', rank, 'url', url FROM top""")
+UNION ALL SELECT '5 discussions', rank, 'url', url FROM top""", ints=("ord",))
 def report_table_query(spark: SparkSession, sf: str) -> DataFrame:
     analysis = Analysis(vocabulary_terms=TERMS, tactics_pattern=TACTICS, theories_pattern=THEORIES)
     return report_table(*tables.document_corpus(spark, sf), analysis, top_terms=8)
@@ -671,7 +673,7 @@ def describe_engagement_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_ORDERS}, s AS (SELECT min("Upvotes") AS lo, max("Upvotes") AS hi FROM orders_posts),
 b AS (SELECT range AS bin, lo + range * ((hi - lo) / 10) AS a, CASE WHEN range = 9 THEN hi ELSE lo + (range + 1) * ((hi - lo) / 10) END AS z, hi FROM range(10), s)
 SELECT bin, round(a, 6) AS left_edge, round(z, 6) AS right_edge,
-  (SELECT count(*) FROM orders_posts WHERE "Upvotes" >= a AND ("Upvotes" < z OR (bin = 9 AND "Upvotes" = hi))) AS n FROM b""")
+  (SELECT count(*) FROM orders_posts WHERE "Upvotes" >= a AND ("Upvotes" < z OR (bin = 9 AND "Upvotes" = hi))) AS n FROM b""", ints=("bin",))
 def histogram_query(spark: SparkSession, sf: str) -> DataFrame:
     bins = numeric.histogram(tables.order_posts(spark, sf), "Upvotes", 10)
     return bins.withColumns({c: F.round(c, 6) for c in ("left_edge", "right_edge")})
@@ -682,7 +684,7 @@ s AS (SELECT count(*) AS n, min("Num_Comentarios") AS lo, max("Num_Comentarios")
         stddev_samp("Num_Comentarios") * pow(count(*), -0.2) AS h FROM posts)
 SELECT range AS point, round(lo + range * (hi - lo) / 199, 6) AS x,
   round(sum(k * exp(-0.5 * pow((lo + range * (hi - lo) / 199 - v) / h, 2))) / max(n * h * sqrt(2 * pi())), 9) AS density
-FROM range(200), vc, s GROUP BY range, lo, hi""")
+FROM range(200), vc, s GROUP BY range, lo, hi""", ints=("point",))
 def density_curve_query(spark: SparkSession, sf: str) -> DataFrame:
     curve = numeric.density_curve(tables.document_corpus(spark, sf)[0], "Num_Comentarios")
     return curve.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
