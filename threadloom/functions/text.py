@@ -53,9 +53,16 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(F.lower(F.lit(t))) for t in terms])
 
 
+# Every character Python counts as white space.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def stripped(text: Column) -> Column:
-    """Without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing white space; looks only at the ends of the text."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def empty_if_null(col: Column) -> Column:

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution coalesces the generous shuffle width down to the advisory size, so the same
-# settings serve a laptop and a large cluster.
+# The shuffle width is the caller's: about (shuffled bytes / 128 MB), rounded up generously, because
+# adaptive execution merges small partitions up to the advisory size but cannot split a plain one.
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

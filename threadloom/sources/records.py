@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.counts import json_integer
+from threadloom.functions.text import stripped
 from threadloom.params import check_study_id
 from threadloom.schema import COMMENT_TYPE, COMMENTS_TYPE, POSITION, RAW_POST_TYPES
 
@@ -54,7 +55,7 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
         F.array(F.from_json(wrapped, _LINE_TYPE, _STRICT)),
         lambda e: F.when((F.size(e) == 2) & F.get(e, F.lit(1))["line_end"], F.get(e, F.lit(0))),
     )
-    filled = lines.where(~F.col(line).rlike(r"(?U)^\s*$"))
+    filled = lines.where(stripped(F.col(line)) != "")
     return filled.select("*", F.explode_outer(parsed).alias("decoded")).withColumnRenamed(line, "raw")
 
 
