@@ -23,11 +23,16 @@ def corpus_summary(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return per_post.select("posts", total.alias("comments"), "mean_comments", "pct_creators")
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values ``v`` with their frequency ``k``; nulls and NaN are left out."""
+def _values(df: DataFrame, col: str) -> DataFrame:
+    """The column as ``v``, without nulls and NaN."""
     v = F.col(col)
     present = v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[col] in ("double", "float") else v.isNotNull()
-    return df.where(present).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    return df.where(present).select(v.alias("v"))
+
+
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Distinct values ``v`` with their frequency ``k``."""
+    return _values(df, col).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
 
 
 def _bucket(v: Column) -> Column:
@@ -84,18 +89,17 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 IQR) and the number of outliers."""
-    counts = value_counts(df, col)
-    quartiles = exact_quantiles(counts, QUARTILES).select(F.struct("q0", "q1", "q2").alias("q")).scalar()
+    quartiles = exact_quantiles(value_counts(df, col), QUARTILES).select(F.struct("q0", "q1", "q2").alias("q")).scalar()
     v, q = F.col("v"), F.col("q")
     reach = (q["q2"] - q["q0"]) * 1.5
     inside = (v >= q["q0"] - reach) & (v <= q["q2"] + reach)
-    # The subquery is attached once as a column; every direct mention would run it again.
-    ends = counts.withColumn("q", quartiles).agg(
-        F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
+    # The subquery is attached once as a column; every direct mention would have to be reused.
+    ends = _values(df, col).withColumn("q", quartiles).agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.max(q[f"q{i}"]).alias(f"q{i}") for i in range(3)],
         F.min(F.when(inside, v)).cast("double").alias("low"),
         F.max(F.when(inside, v)).cast("double").alias("high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("k"))), F.lit(0)).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
     return ends.select(
         "n",
@@ -127,18 +131,19 @@ def describe_engagement(df: DataFrame, col: str = "Upvotes") -> DataFrame:
     return spread.select("mean", median.alias("median"), "std", "variance")
 
 
-def _span(counts: DataFrame) -> Column:
-    """Scalar struct with the range of the values; a single value is widened by half on each side."""
-    low, high = F.min("v").cast("double"), F.max("v").cast("double")
-    span = counts.agg(F.coalesce(low, F.lit(0.0)).alias("low"), F.coalesce(high, F.lit(1.0)).alias("high"))
-    pad = F.when(F.col("low") == F.col("high"), F.lit(0.5)).otherwise(F.lit(0.0))
-    return span.select(F.struct((F.col("low") - pad).alias("low"), (F.col("high") + pad).alias("high")).alias("s")).scalar()
-
-
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed; empty bins are kept."""
-    counts = value_counts(df, col)
-    span, low, high = _span(counts), F.col("s.low"), F.col("s.high")
+    """Equal-width bins from minimum to maximum, the last one closed; empty bins are kept.
+
+    A single value is widened by half on each side. Both scans shuffle one row per task or per bin.
+    """
+    values = _values(df, col)
+    ends = values.agg(
+        F.coalesce(F.min("v").cast("double"), F.lit(0.0)).alias("low"),
+        F.coalesce(F.max("v").cast("double"), F.lit(1.0)).alias("high"),
+    )
+    pad = F.when(F.col("low") == F.col("high"), F.lit(0.5)).otherwise(F.lit(0.0))
+    span = ends.select(F.struct((F.col("low") - pad).alias("low"), (F.col("high") + pad).alias("high")).alias("s")).scalar()
+    low, high = F.col("s.low"), F.col("s.high")
     step = (high - low) / bins
 
     def edge(i: Column) -> Column:
@@ -151,9 +156,9 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
         .when((v >= edge(guess + 1)) & (guess < bins - 1), guess + 1)
         .otherwise(guess)
     )
-    placed = counts.withColumn("s", span).withColumn("guess", F.least(F.floor((v - low) / step), F.lit(bins - 1)).cast("int"))
+    placed = values.withColumn("s", span).withColumn("guess", F.least(F.floor((v - low) / step), F.lit(bins - 1)).cast("int"))
     # At most one row per bin, so the broadcast is bounded by the parameter.
-    filled = F.broadcast(placed.groupBy(settled.alias("bin")).agg(F.sum("k").alias("n")))
+    filled = F.broadcast(placed.groupBy(settled.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(filled, "bin", "left").withColumn("s", span).select(
         "bin", edge(F.col("bin")).alias("left_edge"), edge(F.col("bin") + 1).alias("right_edge"),
@@ -167,16 +172,14 @@ def density_curve(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     Evaluated per distinct value rather than per row, and summed inside each task per grid point.
     Constant or single-row input has no bandwidth and gives no curve.
     """
-    counts = value_counts(df, col)
-    v, k = F.col("v").cast("double"), F.col("k")
-    mean = counts.agg(F.sum(v * k) / F.sum(k)).scalar()
-    shape = counts.agg(
-        F.sum(k).cast("double").alias("n"),
-        F.sqrt(F.sum(k * (v - mean) * (v - mean)) / F.nullif(F.sum(k) - 1, F.lit(0))).alias("std"),
-        F.min(v).alias("low"),
-        F.max(v).alias("high"),
+    shape = _values(df, col).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.stddev_samp("v").alias("std"),
+        F.min("v").cast("double").alias("low"),
+        F.max("v").cast("double").alias("high"),
     )
     shape = shape.select(F.struct("n", "low", "high", (F.col("std") * F.pow("n", F.lit(-0.2))).alias("width")).alias("s")).scalar()
+    counts, v, k = value_counts(df, col), F.col("v").cast("double"), F.col("k")
     points = counts.withColumn("s", shape).where(F.col("s.width") > 0)
     points = points.select("v", "k", "s", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     x = F.col("s.low") + F.col("point") * (F.col("s.high") - F.col("s.low")) / (grid - 1)
