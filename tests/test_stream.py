@@ -66,3 +66,16 @@ def test_large_batches_take_the_shuffled_join(spark, tmp_path, monkeypatch):
     run(spark, tmp_path)
     put(tmp_path / "in", "2.jsonl", line("a", "late"), line("b", "new"))
     assert run(spark, tmp_path) == [("a", "first"), ("b", "new")]
+
+
+def test_a_watching_stream_picks_up_later_files(spark, tmp_path):
+    put(tmp_path / "in", "1.jsonl", line("a", "first"))
+    folders = [str(tmp_path / name) for name in ("in", "store", "checkpoint")]
+    query = arrivals.append_new_stream(spark, *folders, every="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        put(tmp_path / "in", "2.jsonl", line("a", "late"), line("b", "new"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.title for r in arrivals.read_store(spark, folders[1]).collect()) == ["first", "new"]

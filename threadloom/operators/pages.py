@@ -115,6 +115,11 @@ def page_fields(pages: DataFrame, layout: PageFields = PageFields()) -> DataFram
     )
 
 
+def _unless_empty(items: Column) -> Column:
+    """The array itself, or null when it has no elements; the array is computed once."""
+    return F.get(F.filter(F.array(items), lambda x: F.size(x) > 0), F.lit(0))
+
+
 def page_comments(pages: DataFrame, max_comments: int, layout: CommentFields = CommentFields()) -> DataFrame:
     """Pages with their ``comments`` array.
 
@@ -123,7 +128,7 @@ def page_comments(pages: DataFrame, max_comments: int, layout: CommentFields = C
     """
     html = F.col("_html")
     kept = [c for c in pages.columns if c != "html"]
-    families = [F.nullif(chunks(html, c), F.array().cast("array<string>")) for c in layout.containers]
+    families = [_unless_empty(chunks(html, c)) for c in layout.containers]
     pieces = F.slice(F.coalesce(*families, F.array().cast("array<string>")), 1, max_comments)
 
     def typed(piece: Column) -> Column:

@@ -16,11 +16,14 @@ POSTS, COMMENTS = "posts", "comments"
 TERMS_PER_PASS = 100
 
 
-def corpus_texts(posts: DataFrame, comments: DataFrame, mode: str = "strict", lowercase: bool = True) -> DataFrame:
+def corpus_texts(
+    posts: DataFrame, comments: DataFrame, mode: str = "strict", lowercase: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
     """Post text (title, space, body) and comment text as ``origin, id, text``.
 
     "coalesce" reads a missing part as empty. "strict" loses a text with a missing part, so a post
-    without a body vanishes; callers choose, because the two disagree on real data.
+    without a body vanishes; callers choose, because the two disagree on real data. ``carry`` names
+    post columns to keep; they are null for comments.
     """
     if mode not in ("coalesce", "strict"):
         raise ValueError(f"unknown text mode: {mode}")
@@ -37,9 +40,9 @@ def corpus_texts(posts: DataFrame, comments: DataFrame, mode: str = "strict", lo
         text = F.concat(values[0], F.lit(" "), values[1]) if len(values) > 1 else values[0]
         return (F.lower(text) if lowercase else text).alias("text")
 
-    return posts.select(F.lit(POSTS).alias("origin"), F.col("ID").alias("id"), composed(parts[0])).unionByName(
-        comments.select(F.lit(COMMENTS).alias("origin"), F.col("Post_ID").alias("id"), composed(parts[1]))
-    )
+    post_texts = posts.select(F.lit(POSTS).alias("origin"), F.col("ID").alias("id"), composed(parts[0]), *carry)
+    comment_texts = comments.select(F.lit(COMMENTS).alias("origin"), F.col("Post_ID").alias("id"), composed(parts[1]))
+    return post_texts.unionByName(comment_texts, allowMissingColumns=True)
 
 
 def _from(origin: str, value: Column) -> Column:

@@ -34,11 +34,11 @@ def _fixed(section: str, *pairs: tuple[str, Column]) -> list[Column]:
 def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Analysis(), top_k: int = 5, top_terms: int = 10) -> DataFrame:
     """Report rows ``section, ord, key, value``.
 
-    Totals, vocabulary and both expressions come from a single pass over the texts; community sizes
-    and creator numbers come from a single pass over two post columns.
+    Totals, creators, vocabulary and both expressions come from a single pass over the texts; the
+    community sizes and the leading posts read a few narrow post columns.
     """
     check_patterns(posts.sparkSession, [analysis.tactics_pattern, analysis.theories_pattern])
-    texts = corpus_texts(posts, comments, "coalesce", lowercase=False)
+    texts = corpus_texts(posts, comments, "coalesce", lowercase=False, carry=["is_creator_suspect"])
     text, origin = F.col("text"), F.col("origin")
     terms = analysis.vocabulary_terms
     inline_terms = terms if len(terms) <= TERMS_PER_PASS else ()
@@ -50,6 +50,7 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
     counted = texts.agg(
         F.count_if(origin == POSTS).alias(POSTS),
         F.count_if(origin == COMMENTS).alias(COMMENTS),
+        F.count_if("is_creator_suspect").alias("creators"),
         *[col.alias(key) for key, col in tallies.items()],
         *[total(literal_count(text, t)).alias(f"term{i}") for i, t in enumerate(inline_terms)],
     )
@@ -60,18 +61,19 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
         F.slice(F.array_sort(vocabulary), 1, top_terms),
         lambda t, i: F.struct(*_line(VOCABULARY, i + 1, t["term"], -t["less"])),
     )
+    pct = F.when(F.col(POSTS) > 0, F.col("creators") / F.col(POSTS) * 100).otherwise(F.lit(0.0))
+    share = ("creators", F.col("creators")), ("percent", F.round(pct, 1)), ("others", F.col(POSTS) - F.col("creators"))
     fixed = F.array(
+        *_fixed(CREATORS, *share),
         *_fixed(TOTALS, (POSTS, F.col(POSTS)), (COMMENTS, F.col(COMMENTS))),
         *_fixed(MATCHES, *[(key, F.col(key)) for key in tallies]),
     )
-    parts = [counted.select(F.inline(F.concat(fixed, ranked) if inline_terms else fixed))]
+    parts = [counted.select(F.inline_outer(F.concat(fixed, ranked) if inline_terms else fixed))]
     if not inline_terms:
         long_list = ranked_terms(count_terms(texts, terms), top_terms)
         parts.append(long_list.select(*_line(VOCABULARY, F.col("rank"), F.col("term"), F.col("n"))))
 
-    sizes = posts.groupBy(F.col("Subreddit").alias("name")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_creator_suspect").alias("creators")
-    )
+    sizes = posts.groupBy(F.col("Subreddit").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     # One row per community of the study, so ranking them in one task is cheap.
     place = F.row_number().over(Window.orderBy(F.desc("n"), "name"))
     largest = F.max("n").over(Window.partitionBy())
@@ -86,23 +88,6 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
             )
         )
     )
-    everyone, creators = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("creators"), F.lit(0))
-    share = sizes.agg(everyone.alias("everyone"), creators.alias("creators"))
-    pct = F.when(F.col("everyone") > 0, F.col("creators") / F.col("everyone") * 100).otherwise(F.lit(0.0))
-    parts.append(
-        share.select(
-            F.inline(
-                F.array(
-                    *_fixed(
-                        CREATORS,
-                        ("creators", F.col("creators")),
-                        ("percent", F.round(pct, 1)),
-                        ("others", F.col("everyone") - F.col("creators")),
-                    )
-                )
-            )
-        )
-    )
     leaders = top_discussions(posts, top_k)
     details = ("id", "community", "creator", "title", "comments", "upvotes", "url")
     parts.append(

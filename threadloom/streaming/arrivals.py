@@ -47,8 +47,13 @@ def _stream_key(spark: SparkSession, checkpoint: str) -> str:
     return key
 
 
-def append_new_stream(spark: SparkSession, source: str, store: str, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
-    """Append the new posts of every file arriving under ``source``; the query ends when caught up.
+def append_new_stream(
+    spark: SparkSession, source: str, store: str, checkpoint: str, max_files: int | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Append the new posts of every file arriving under ``source``.
+
+    Without ``every`` the query ends when caught up; with an interval such as "1 minute" it keeps
+    watching the folder.
 
     Each micro-batch owns one folder of the store and replaces it when it is replayed after a
     failure, and compares itself with everything stored but that folder. A replay therefore neither
@@ -63,7 +68,7 @@ def append_new_stream(spark: SparkSession, source: str, store: str, checkpoint:
     return (
         arriving.writeStream.foreachBatch(lambda lines, batch: _save_batch(lines, batch, store, key))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 
