@@ -40,8 +40,12 @@ def _enough_chars(n: int) -> Column:
 
 
 def _mentions(terms: Sequence[str]) -> Column:
-    """Whether title, space and body together hold any of the terms, so a term may span the space."""
-    return contains_any(F.lower(F.concat("title", F.lit(" "), "body")), terms)
+    """Whether title, space and body together hold any of the terms, so a term may span the space.
+
+    The lambda names the lowercased text: written out, each further term would lowercase it again.
+    """
+    lowered = F.lower(F.concat("title", F.lit(" "), "body"))
+    return F.exists(F.array(lowered), lambda text: contains_any(text, terms))
 
 
 def min_comments(df: DataFrame, n: int) -> DataFrame:
