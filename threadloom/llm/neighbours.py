@@ -21,7 +21,7 @@ from threadloom.llm.common import staged
 TREES = 12
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 64
-SHARE = 0.5  # rows in the taken leaves, counted in every tree, against all rows
+SHARE = 0.75  # rows in the taken leaves, counted in every tree, against all rows
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 

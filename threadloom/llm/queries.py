@@ -89,13 +89,13 @@ w AS (SELECT doc_id, ls, unnest(range(0, greatest(len(ls) - 2, 1))) AS pos FROM
 x AS (SELECT doc_id, pos, len(ls) AS n, ls[pos + 1 : pos + 3] AS win FROM w),
 y AS (
   SELECT doc_id, pos, n, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS rn FROM x
-  WHERE len(list_filter(win, l -> trim(l) <> '')) > 0),
+  WHERE len(list_filter(win, lambda l: trim(l) <> '')) > 0),
 gone AS (
   SELECT DISTINCT doc_id, p FROM (SELECT doc_id, n, unnest([pos, pos + 1, pos + 2]) AS p FROM y WHERE rn > 1) WHERE p < n),
 g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
 SELECT d.doc_id,
   CASE WHEN ps IS NULL THEN text
-       ELSE array_to_string(list_transform(list_filter(range(0, len(ls)), i -> NOT list_contains(ps, i)), i -> ls[i + 1]), chr(10)) END AS text,
+       ELSE array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(ps, i)), lambda i: ls[i + 1]), chr(10)) END AS text,
   CAST(coalesce(len(ps), 0) AS INTEGER) AS n_removed
 FROM d LEFT JOIN g USING (doc_id)"""
 
