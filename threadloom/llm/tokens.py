@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,11 @@ CACHE_WORDS = 400_000
 _HEADER = struct.Struct("<4sIIQ")
 _BLOCK = 512
 
-# Cuts before a space between two other characters never change what byte-level BPE makes of the parts,
-# because its words only ever begin with a space.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+# A space or line feed between two other characters always begins a new word of byte-level BPE, so a text may
+# be cut before it. A word is known by its spelling, with the line feed if it follows one and without the space.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_MARKS = frozenset(",.;:!?)")
 _JOINED = 20_000
 
 
@@ -63,53 +65,76 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Cache the ids of words, each read after a space, by encoding many of them as one text."""
+    def _learn(self, words: list[str], lead: str) -> None:
+        """Cache the ids of words that follow ``lead``, by encoding many of them as one text."""
         for at in range(0, len(words), _JOINED):
             some = words[at : at + _JOINED]
-            code = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            code = self.tokenizer.encode(lead + lead.join(some), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in some[:-1]])
             owner = np.searchsorted(starts, np.array([o[0] for o in code.offsets]), "right") - 1
             ids = np.array(code.ids, "<u4").tobytes()
             ends = np.searchsorted(owner, np.arange(len(some)), "right") * 4
-            begin = 0
+            key, begin = lead.strip(" "), 0
             for word, end in zip(some, ends.tolist(), strict=True):
-                self.words[word] = ids[begin:end]
+                self.words[key + word] = ids[begin:end]
                 begin = end
 
+    def _add(self, new: set[str]) -> None:
+        """Cache new words; a known word with a mark after it needs no encoding."""
+        words, marked, plain, led = self.words, [], set(), set()
+        for w in new:
+            body = w[1:] if w[0] == "\n" else w
+            if len(body.split()) != 1 or len(body) != len(body.strip()):
+                words[w] = self._whole(w if w[0] == "\n" else " " + w)  # white space inside would shift the cuts
+                continue
+            if body[-1] in _MARKS and body[:-1].isalpha():
+                marked.append(w)
+                w, body = w[:-1], body[:-1]
+            if w not in words:
+                (led if w[0] == "\n" else plain).add(body)
+        self._learn(list(plain), " ")
+        self._learn(list(led), "\n")
+        for w in marked:
+            words[w] = words[w[:-1]] + self.marks[w[-1]]
+
+    @cached_property
+    def marks(self) -> dict[str, bytes]:
+        return {m: self._whole(m) for m in _MARKS}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         words = self.words
         if len(words) > self.limit:
             words.clear()
-        cut: list[tuple[str, list[str], list[bytes | None]]] = []
+        cut: list[tuple[list[str], list[bytes | None]]] = []
         new: set[str] = set()
         for text in texts:
-            if not text:
-                cut.append(("", [], []))
+            if not text or text[0].isspace():
+                cut.append(([], []))
                 continue
+            text = "\n" + text  # so that the first word is read as one after a line feed, which is cut off again
             if _uneven(text):
-                first, *rest = _CUT.split(text)
-                rest = [part[1:] for part in rest]
+                parts = [part[1:] if part[0] == " " else part for part in _CUT.split(text)]
             else:
-                first, *rest = text.split(" ")
-            codes = list(map(words.get, rest))
+                parts = text.replace("\n", " \n").split(" ")[1:]
+            codes = list(map(words.get, parts))
             if None in codes:
-                new.update([w for w, code in zip(rest, codes, strict=True) if code is None])
-            cut.append((first, rest, codes))
-        # A word with white space inside would shift the cuts of the joined text.
-        plain = [w for w in new if len(w.split()) == 1]
-        self._learn(plain)
-        for w in new.difference(plain):
-            words[w] = self._whole(" " + w)
-        for first, rest, codes in cut:
+                new.update([w for w, code in zip(parts, codes, strict=True) if code is None])
+            cut.append((parts, codes))
+        self._add(new)
+        for text, (parts, codes) in zip(texts, cut, strict=True):
+            if text and text[0].isspace():
+                yield self._whole(text)
+                continue
             if None in codes:
-                codes = [words[w] if code is None else code for w, code in zip(rest, codes, strict=True)]
-            yield self._whole(first) + b"".join(codes) if first else b""
+                codes = [words[w] if code is None else code for w, code in zip(parts, codes, strict=True)]
+            yield b"".join(codes)[4:]
 
 
 def _uneven(text: str) -> bool:
-    """Whether white space stands beside a space, or at an end."""
-    return "  " in text or any(c in text and (c + " " in text or " " + c in text or text[0] == c or text[-1] == c) for c in _SPACES)
+    """Whether white space stands beside white space, or at the end; of the first character only the next counts."""
+    return any(
+        c in text and (c + " " in text or " " + c in text or c + "\n" in text or "\n" + c in text or text[-1] == c) for c in _SPACES
+    )
 
 
 _encoders: dict[str, WordEncoder] = {}
