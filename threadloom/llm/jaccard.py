@@ -228,7 +228,8 @@ def classify(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("g") / BLOCK_GRAMS), F.ceil(F.col("m") / BLOCK_CLASSES)).cast("int").alias("blocks"))
     placed = active.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     wanted = placed.select("vertex", "root", "texts", "blocks", "block", F.col("doc_id").alias("d"), F.col("t1").alias("w1"), F.col("t2").alias("w2"))
-    found = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")))
+    # The same plan at every size: the classes grow with the documents, so they are never sent to all.
+    found = narrow.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")))
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
