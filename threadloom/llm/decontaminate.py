@@ -17,7 +17,7 @@ import math
 import random
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import repeat
+from itertools import repeat, takewhile
 
 import numpy as np
 import pandas as pd
@@ -181,7 +181,7 @@ class ItemIndex:
         pairs = sorted(found)
         windows = [" ".join(docs[d][max(0, s) : max(0, s + len(self.words[i]))]) for d, i, s in pairs]
         hits = self.candidates(windows, np.array([i for _, i, _ in pairs], np.int64)) if pairs else []
-        spans: dict[tuple[int, int, int, int], int] = {}
+        spans: set[tuple[int, int, int, int, int]] = set()
         for (d, i, s), hit in zip(pairs, hits, strict=True):
             if not hit:
                 continue
@@ -194,8 +194,14 @@ class ItemIndex:
                 continue
             ends = np.cumsum([len(w) + 1 for w in part])
             first, after = low + int(np.searchsorted(ends, a, "right")), low + int(np.searchsorted(ends, b - 1, "right")) + 1
-            spans[d, i, first, after] = min(distance, spans.get((d, i, first, after), distance))
-        return [(d, self.ids[i], n, a, b) for (d, i, a, b), n in sorted(spans.items())]
+            spans.add((d, i, distance, first, after))
+        # Windows laid a little apart see the same passage; of spans that overlap the nearest one counts.
+        out: list[tuple[int, int, int, int, int]] = []
+        for d, i, n, a, b in sorted(spans):
+            same = reversed(out)
+            if not any(a < y and x < b for e, j, _, x, y in takewhile(lambda o, k=(d, i): o[:2] == k, same)):
+                out.append((d, i, n, a, b))
+        return [(d, self.ids[i], n, a, b) for d, i, n, a, b in out]
 
 
 def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, seed: int = 7, slice_chars: int = SLICE_CHARS) -> Iterator[ItemIndex]:

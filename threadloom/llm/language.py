@@ -47,7 +47,7 @@ class LanguageModel:
         self.index = {o: {part: i for i, part in enumerate(t)} for o, t in tables.items()}
         self.logs = {}
         for order, t in tables.items():
-            seen = np.array(list(t.values()), np.float64).reshape(-1, len(self.langs))
+            seen = np.array(list(t.values()), np.float64).reshape(len(t), len(self.langs))
             self.logs[order] = np.log((seen + SMOOTH) / (seen.sum(0) + SMOOTH * (len(seen) + 1))).astype(np.float32)
 
     @cached_property

@@ -22,6 +22,7 @@ TREES = 12
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 64
 SHARE = 0.75  # rows in the taken leaves, counted in every tree, against all rows
+LEAST_SEEN = 8192  # rows looked at in any case, counted in every tree
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 
@@ -146,7 +147,7 @@ def nearest(
     for row in leaves.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # a row per leaf
         sizes[row["leaf"]] = row["count"]
     # Every leaf row is one of at most `trees` sightings of a candidate, so this many hold k others at least.
-    enough = max(int(share * total), trees * (k + 1))
+    enough = max(int(share * total), trees * (k + 1), LEAST_SEEN)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
