@@ -3,9 +3,9 @@
 CGK walks along a string and, at each step, writes the character it stands on and moves on or stays, as a random
 bit of step and character says. Strings that need few edits soon walk in step again, so edit distance becomes
 Hamming distance. Bit-sampling then compares a few random steps at a time: a window and an item are candidates
-if all steps of at least one sample agree. The number of samples follows from the agreement that copies at the
-largest allowed distance still show, measured on edited copies of the items, and the wanted recall. Candidates
-are verified exactly with the bit-parallel edit distance.
+if all steps of at least one sample agree. Both are repeated, walks because a single one may fail to fall in
+step again, samples until edited copies of the items, at the largest allowed distance, are missed no more often
+than the wanted recall allows. Candidates are verified exactly with the bit-parallel edit distance.
 
 Windows have the size of the item and are laid where document and item share ``ANCHOR`` consecutive words, at
 the offset of those words in the item. Texts are compared in lower case with white space as one space.
@@ -13,7 +13,6 @@ the offset of those words in the item. Texts are compared in lower case with whi
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 from functools import cached_property
@@ -29,7 +28,8 @@ MAX_RATE = 0.2  # edits allowed for each character of an item
 ANCHOR = 3
 RECALL = 0.999
 SAMPLE = 3  # steps that must agree at once
-LEAST_AGREEMENT = 0.25
+WALKS = 8
+TRIALS = 400
 SLICE_CHARS = 16_000_000
 _PAD = 0
 
@@ -101,15 +101,15 @@ class ItemIndex:
 
     @cached_property
     def _moves(self) -> np.ndarray:
-        return np.random.default_rng(self.seed).integers(0, 2, (3 * self.reach, 256), np.uint8)
+        return np.random.default_rng(self.seed).integers(0, 2, (WALKS, 3 * self.reach, 256), np.uint8)
 
     @cached_property
     def _sampled(self) -> np.ndarray:
         """Steps of each sample, as fractions of the walk that still stands inside the item."""
-        return np.random.default_rng(self.seed + 1).random((self.samples, SAMPLE))
+        return np.random.default_rng(self.seed + 1).random((WALKS, self.samples, SAMPLE))
 
-    def embed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """What each walk writes, and after how many steps it has left its string."""
+    def embed(self, texts: list[str], walk: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a walk along each text writes, and after how many steps it has left the text."""
         codes = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") % 255 + 1 for t in texts]
         width = max(map(len, codes)) + 1
         table = np.full((len(texts), width), _PAD, np.uint8)
@@ -120,19 +120,20 @@ class ItemIndex:
         for step in range(3 * self.reach):
             c = table[rows, at]
             out[:, step] = c
-            at = np.minimum(at + self._moves[step][c], width - 1)
+            at = np.minimum(at + self._moves[walk, step][c], width - 1)
         return out, (out != _PAD).sum(1)
 
     @cached_property
-    def _items(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.embed(self.texts)
+    def _items(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.embed(self.texts, walk) for walk in range(WALKS)]
 
     def _samples(self, recall: float) -> int:
-        """Samples needed for the recall at the agreement of copies with as many edits as are allowed."""
+        """Samples of each walk that reach the recall on copies with as many edits as are allowed."""
         rng = random.Random(self.seed)
-        some = [t for t in self.texts[:: max(1, len(self.texts) // 200)] if len(t) > 1]
+        some = [t for t in self.texts if len(t) > 1]
         if not some or not self.max_rate:
             return 1
+        some = [rng.choice(some) for _ in range(TRIALS)]
         edited = []
         for t in some:
             chars = list(t)
@@ -141,22 +142,29 @@ class ItemIndex:
                 chars[k : k + (what > 1 / 3)] = rng.choice(t) if what < 2 / 3 else ""
                 chars = chars or [" "]
             edited.append("".join(chars))
-        (a, n), (b, _) = self.embed(some), self.embed(edited)
-        inside = np.arange(a.shape[1]) < n[:, None]
-        agreement = max(LEAST_AGREEMENT, float(np.quantile(((a == b) & inside).sum(1) / n, 0.01)))
-        return math.ceil(math.log(1 - recall) / math.log(1 - min(agreement, 0.99) ** SAMPLE))
+        missed = np.zeros(len(some))  # log of the chance that no sample agrees, for one sample of each walk
+        for walk in range(WALKS):
+            (a, n), (b, _) = self.embed(some, walk), self.embed([e[: self.reach] for e in edited], walk)
+            inside = np.arange(a.shape[1]) < n[:, None]
+            missed += np.log1p(-np.minimum(((a == b) & inside).sum(1) / n, 0.99) ** SAMPLE)
+        samples = 1
+        while np.exp(missed * samples).mean() > 1 - recall and samples < 4096:
+            samples *= 2
+        return samples
 
     def candidates(self, windows: list[str], items: np.ndarray) -> np.ndarray:
-        """Whether each window agrees with its item in all steps of some sample."""
-        walks, steps = self._items
+        """Whether each window agrees with its item in all steps of some sample of some walk."""
         hit = np.zeros(len(windows), bool)
-        for at in range(0, len(windows), 512):
-            some = items[at : at + 512]
-            own, _ = self.embed([w[: self.reach] for w in windows[at : at + 512]])
-            picked = (self._sampled[None] * steps[some][:, None, None]).astype(np.int64)
-            flat = picked.reshape(len(some), -1)
-            same = np.take_along_axis(own, flat, 1) == np.take_along_axis(walks[some], flat, 1)
-            hit[at : at + 512] = same.reshape(picked.shape).all(2).any(1)
+        for walk, (walks, steps) in enumerate(self._items):
+            left = np.flatnonzero(~hit)
+            for at in range(0, len(left), 512):
+                rows = left[at : at + 512]
+                some = items[rows]
+                own, _ = self.embed([windows[k][: self.reach] for k in rows], walk)
+                picked = (self._sampled[walk] * steps[some][:, None, None]).astype(np.int64)
+                flat = picked.reshape(len(some), -1)
+                same = np.take_along_axis(own, flat, 1) == np.take_along_axis(walks[some], flat, 1)
+                hit[rows] = same.reshape(picked.shape).all(2).any(1)
         return hit
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
