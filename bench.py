@@ -47,8 +47,6 @@ def main() -> None:
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            # Call-site capture costs several round trips to the JVM per column expression.
-            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

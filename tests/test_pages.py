@@ -89,3 +89,29 @@ def test_collected_records_belong_to_the_first_search_that_worked(spark):
     (row,) = collect_records(hits, captured, profile).collect()
     assert (row.id, row.keyword, row.study_id, row.theme_label, row.subreddit) == ("abc", "early", "s1", "Theme", "Sub")
     assert row.title.startswith("A <title>") and len(row.comments) == 3 and row.upvotes == 1200
+
+
+def test_elements_are_whole_and_searches_stay_in_their_container(spark):
+    def fields(html):
+        row = page_fields(pages(spark, ("u", html))).first()
+        return row.title, row.author, row.body, row.upvotes
+
+    nested = '<div data-testid="post-rtjson-content"><div><p>one</p></div><p>two</p></div><p>outside</p>'
+    assert fields(nested)[2] == "one two"
+    empty = '<div slot="text-body"></div><span data-testid="vote-arrows"></span><div><p>COMMENT TEXT</p><faceplate-number>77</faceplate-number></div>'
+    assert fields(empty)[2:] == ("", 0)
+    later = '<div slot="text-body"></div><div slot="text-body"><DIV><p>here</P></DIV></div>'
+    assert fields(later)[2] == "here"
+    assert fields("<b data-testid=post-title>bare</b><a href=/user/x_y/>z</a><faceplate-number pretty>9</faceplate-number>") == ("bare", "x_y", "", 9)
+    assert fields("<h1>&eacute;&#x27;&#8217;&mdash;&#128512;&amp;lt;&nope;&#0; &</h1>")[0] == "é'’—😀&lt;&nope;\ufffd &"
+    assert fields("<h1 title='a>b'>x<h1x>y</h1x></h1>")[0] == "xy"
+    assert fields('<div slot="text-body"><p>first<p>second</div>')[2] == "first"
+    assert fields("<h1>never closed")[0] == "never closed"
+
+
+def test_a_comment_ends_with_its_element(spark):
+    footer = '<shreddit-comment><i>empty</i></shreddit-comment><footer><a href="/user/mod">mod</a><div class="md"><p>footer text</p></div></footer>'
+    assert page_comments(pages(spark, ("u", footer)), 20).first().comments == []
+    reply = """<div class="Comment"><a href="/user/a">A</a><div class="Comment"><a href="/user/b">B</a><div class=md><p>reply</p></div></div></div>"""
+    got = [tuple(c) for c in page_comments(pages(spark, ("u", reply)), 20).first().comments]
+    assert got == [("A", "reply", 0), ("B", "reply", 0)]

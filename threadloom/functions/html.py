@@ -1,12 +1,16 @@
-"""Reading fields out of captured HTML with regular expressions.
+"""Reading fields out of captured HTML with built-in expressions.
 
-An element is found by its opening tag and read up to the next closing tag of the same name; an
-element nested in one of the same name therefore ends early.
+An element is found by its opening tag. Its content is what stands before the closing tag that balances it:
+the text is cut at the tags of that name, and a fold over the pieces counts how many are open. Searches within
+a container see its content alone. An element that is never closed reaches to the end of what is searched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,72 +19,165 @@ from threadloom.functions.text import stripped
 
 # Comments, scripts and styles are no page content, though they may look like it.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-ANCHOR_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*')"
+ANCHOR_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 BREAKS = r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)\s*>"
 
-# Entities decoded in text; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+# The standard's named characters, as a map that Spark folds into a constant.
+NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(";")})
+ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8});"
+UNKNOWN = "\ufffd"
+TAG_END = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+# Fixed value: an open paragraph ends where the next one begins.
+UNNESTED = "p"
 
 
 def visible(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _decoded(token: Column) -> Column:
+    """One named or numeric entity as its character; unknown names stay as they are."""
+    code = F.when(
+        token.rlike("^&#[xX]"), F.conv(F.regexp_extract(token, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)
+    ).otherwise(F.regexp_extract(token, "^&#([0-9]+);", 1)).try_cast("bigint")
+    fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numeric = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(UNKNOWN))
+    named = F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), F.substring(token, 2, 64))
+    return F.when(token.startswith("&#"), numeric).otherwise(F.coalesce(named, token))
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Entities replaced by their characters, each once."""
+
+    def decoded(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(rf"{ENTITY}|[^&]+|&"), F.lit(0))
+        whole = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"^{ENTITY}$"), _decoded(t)).otherwise(t)), "")
+        return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+    return let(text, decoded)
 
 
 def inner_text(fragment: Column) -> Column:
     """Text of a fragment: tags removed, entities decoded, white space collapsed."""
-    plain = F.regexp_replace(F.regexp_replace(fragment, BREAKS, " "), r"(?s)<[^>]*>", "")
+    plain = F.regexp_replace(F.regexp_replace(fragment, BREAKS, " "), rf"(?s)</?[a-zA-Z!?]{TAG_END}", "")
     return stripped(F.regexp_replace(unescape(plain), r"(?U)\s+", " "))
 
 
 def unquoted(attribute: Column) -> Column:
-    return F.substring(attribute, F.lit(2), F.length(attribute) - 2)
+    return F.regexp_replace(attribute, r"^([\"'])(?s)(.*)\1$", "$2")
+
 
+@dataclass(frozen=True)
+class Selector:
+    """Elements inside elements, outermost first, by what their opening tag looks like after "<"; or an attribute."""
 
-def element(opening: str) -> str:
-    """Pattern for the content (group 2) of an element whose tag, after "<", looks like ``opening``."""
-    return rf"(?is)<(?={opening})([a-z][\w-]*)\b[^>]*>(.*?)</\1\s*>"
+    path: tuple[str, ...]
+    attribute: str | None = None
 
 
-def inside(container: str, tag: str) -> str:
-    """Pattern for the content (group 2) of the first ``tag`` after a container's opening tag."""
-    return rf"(?is)<(?={container})[^>]*>.*?<({tag})\b[^>]*>(.*?)</\1\s*>"
+def element(opening: str) -> Selector:
+    return Selector((opening,))
 
 
-def attribute(opening: str, name: str) -> str:
-    """Pattern for a quoted attribute value (group 2) of an element."""
-    return rf"(?is)<(?={opening})([a-z][\w-]*)\b[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*')"
+def inside(container: str, tag: str) -> Selector:
+    """A ``tag`` anywhere inside a container."""
+    return Selector((container, rf"{tag}\b"))
+
+
+def attribute(opening: str, name: str) -> Selector:
+    return Selector((opening,), name)
 
 
 def having(name: str, value: str = "", mode: str = "=") -> str:
     """Opening-tag condition on an attribute: equal, containing ("*") or ending with ("$") a value."""
-    before, after = {"=": ("", ""), "*": ("[^\"']*", "[^\"']*"), "$": ("[^\"']*", "")}[mode]
-    return rf"[^>]*\s{name}\s*=\s*[\"']{before}{value}{after}[\"']"
+    if not value and mode == "=":
+        return rf"[^>]*\s{name}(?:\s*=\s*(?:\"\"|''))?(?=[\s/>])(?!\s*=)"
+    before, after = {"=": (False, False), "*": (True, True), "$": (True, False)}[mode]
+
+    def form(left: str, other: str, right: str) -> str:
+        return f"{left}{other if before else ''}{value}{other if after else ''}{right}"
+
+    forms = form('\"', '[^\"]*', '\"'), form("'", "[^']*", "'"), form("", r"[^\s>\"']*", r"(?=[\s>])")
+    return rf"[^>]*\s{name}\s*=\s*(?:{'|'.join(forms)})"
 
 
 def with_class(name: str) -> str:
-    return rf"[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"']"
-
-
-def first_match(html: Column, patterns: Sequence[str]) -> Column:
-    """Group 2 of whichever pattern matches earliest in the document; null or "" without a match."""
-    if len(patterns) == 1:
-        return F.regexp_extract(html, patterns[0], 2)
-    tried = F.array(
-        *[
-            F.struct(F.regexp_instr(html, F.lit(p)).alias("at"), F.regexp_extract(html, p, 2).alias("got"))
-            for p in patterns
-        ]
+    return rf"[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"']|{name}(?=[\s>]))"
+
+
+def elements(html: Column, opening: str, most: int | None = None) -> Column:
+    """Elements in document order, each as ``at`` (place of its tag), ``tag`` and balanced ``content``."""
+    start = rf"(?is)(?=<(?={opening})[a-z])"
+    pieces = F.split(html, start)
+    nothing = F.array().cast("array<int>")
+    # Places of the cuts; a first piece that is no element counts only towards them.
+    places = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), nothing.alias("all")),
+        lambda acc, piece: F.struct(
+            (acc["at"] + F.length(piece)).alias("at"),
+            F.when(piece.rlike(rf"(?is)^<(?={opening})[a-z]"), F.array_append(acc["all"], acc["at"])).otherwise(acc["all"]).alias("all"),
+        ),
+        lambda acc: acc["all"],
     )
-    return F.array_min(F.filter(tried, lambda hit: hit["at"] > 0))["got"]
+    chosen = places if most is None else F.slice(places, 1, most)
+    return F.transform(chosen, lambda at: let(F.substring(html, at + 1, F.length(html)), lambda rest: _balanced(at, rest)))
+
+
+def _balanced(at: Column, rest: Column) -> Column:
+    """The element that ``rest`` begins with."""
+    tag = F.regexp_extract(rest, rf"(?is)^<[a-z]{TAG_END}", 0)
+    name = F.lower(F.regexp_extract(tag, r"(?i)^<([a-z][\w-]*)", 1))
+
+    def cut(tag: Column, name: Column) -> Column:
+        after = F.substring(rest, F.length(tag) + 1, F.length(rest))
+        pieces = F.split(after, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?=[\s/>]))")))
+        opens = lambda p: p.rlike(r"(?is)^<[a-z]") & (F.lower(F.regexp_extract(p, r"(?i)^<([a-z][\w-]*)", 1)) == name)
+        closes = lambda p: p.startswith("</") & (F.lower(F.regexp_extract(p, r"(?i)^</([a-z][\w-]*)", 1)) == name)
+        step = lambda p: F.when(closes(p), -1).when(opens(p), F.when(name == UNNESTED, -1).otherwise(1)).otherwise(0)
+        length = F.aggregate(
+            pieces,
+            F.struct(F.lit(1).alias("open"), F.lit(0).alias("n")),
+            lambda acc, p: let(
+                F.when(acc["open"] > 0, acc["open"] + step(p)).otherwise(F.lit(0)),
+                lambda still: F.struct(still.alias("open"), F.when(still > 0, acc["n"] + F.length(p)).otherwise(acc["n"]).alias("n")),
+            ),
+            lambda acc: acc["n"],
+        )
+        return F.struct(at.alias("at"), tag.alias("tag"), F.substring(after, F.lit(1), length).alias("content"))
+
+    return let(tag, lambda t: let(name, lambda n: cut(t, n)))
+
+
+def _found(html: Column, selector: Selector) -> Column:
+    """The first element a selector finds, as an array of ``at`` and ``got`` that is empty without one."""
+    outer, *inner = selector.path
+    if not inner:
+        hits = elements(html, outer, 1)
+        if selector.attribute:
+            value = rf"(?is)\s{selector.attribute}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+            return F.transform(hits, lambda e: F.struct(e["at"].alias("at"), F.regexp_extract(e["tag"], value, 1).alias("got")))
+        return F.transform(hits, lambda e: F.struct(e["at"].alias("at"), e["content"].alias("got")))
+    within = F.transform(
+        elements(html, outer),
+        lambda e: F.transform(
+            _found(e["content"], Selector(tuple(inner), selector.attribute)),
+            lambda hit: F.struct((e["at"] + F.length(e["tag"]) + hit["at"]).alias("at"), hit["got"].alias("got")),
+        ),
+    )
+    return F.flatten(within)
+
+
+def first_match(html: Column, selectors: Sequence[Selector]) -> Column:
+    """What the selector that matches earliest in the document finds; null without a match."""
+    return F.array_min(F.concat(*[_found(html, s) for s in selectors]))["got"]
 
 
-def chunks(html: Column, opening: str) -> Column:
-    """The document cut at every opening tag that fits, each piece reaching to the next one."""
-    cut = rf"(?is)(?=<(?:{opening})[^>]*>)"
-    return F.filter(F.split(html, cut), lambda piece: piece.rlike(rf"(?is)^<(?:{opening})[^>]*>"))
+def contents(html: Column, opening: str, most: int) -> Column:
+    """The contents of the first elements that fit."""
+    return F.transform(elements(html, opening, most), lambda e: e["content"])

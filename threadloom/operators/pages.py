@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from threadloom.functions import urls
 from threadloom.functions.counts import parse_count
 from threadloom.functions.html import (
     ANCHOR_HREF,
+    Selector,
     attribute,
-    chunks,
+    contents,
     element,
     first_match,
     having,
@@ -30,49 +32,49 @@ USER_LINK = rf"a\b{having('href', '/user/', '*')}"
 
 @dataclass(frozen=True)
 class PageFields:
-    """Patterns per field; the earliest match in the page wins."""
+    """Selectors per field; the earliest match in the page wins."""
 
     # Where the forum's page layouts keep each field.
-    title: tuple[str, ...] = (element(r"h1\b"), element(having("data-testid", "post-title")))
-    author: tuple[str, ...] = (attribute(USER_LINK, "href"), attribute(having("data-testid", "post_author_link"), "href"))
-    body: tuple[str, ...] = (
+    title: tuple[Selector, ...] = (element(r"h1\b"), element(having("data-testid", "post-title")))
+    author: tuple[Selector, ...] = (attribute(USER_LINK, "href"), attribute(having("data-testid", "post_author_link"), "href"))
+    body: tuple[Selector, ...] = (
         element(having("data-testid", "post-rtjson-content")),
         element(with_class("RichTextJSON-root")),
         inside(having("slot", "text-body"), "p"),
     )
-    votes: tuple[str, ...] = (
+    votes: tuple[Selector, ...] = (
         element(rf"faceplate-number\b{having('pretty')}"),
         element(having("id", "vote-count", "*")),
         inside(having("data-testid", "vote-arrows"), "faceplate-number"),
     )
-    comment_count: tuple[str, ...] = (
+    comment_count: tuple[Selector, ...] = (
         inside(rf"a\b{having('href', '/#newcomments', '$')}", "faceplate-number"),
         element(having("data-testid", "comment-count")),
     )
-    timestamp: tuple[str, ...] = (attribute(r"time\b[^>]*\sdatetime", "datetime"),)
+    timestamp: tuple[Selector, ...] = (attribute(r"time\b[^>]*\sdatetime", "datetime"),)
 
 
 @dataclass(frozen=True)
 class CommentFields:
-    """Comment containers, tried in order until one occurs, and patterns within a comment."""
+    """Comment containers, tried in order until one occurs, and selectors within a comment."""
 
     # The three comment layouts and their parts.
     containers: tuple[str, ...] = (r"shreddit-comment\b", rf"[a-z][\w-]*\b{with_class('Comment')}", rf"[a-z][\w-]*\b{having('data-testid', 'comment')}")
-    author: tuple[str, ...] = (element(USER_LINK), element(having("slot", "authorName")))
-    body: tuple[str, ...] = (
+    author: tuple[Selector, ...] = (element(USER_LINK), element(having("slot", "authorName")))
+    body: tuple[Selector, ...] = (
         inside(having("slot", "comment"), "p"),
         inside(with_class("RichTextJSON-root"), "p"),
         inside(with_class("md"), "p"),
     )
-    score: tuple[str, ...] = (element(r"faceplate-number\b"), element(with_class("score")), element(having("data-testid", "comment-score")))
+    score: tuple[Selector, ...] = (element(r"faceplate-number\b"), element(with_class("score")), element(having("data-testid", "comment-score")))
 
 
-def _text(html: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(inner_text(first_match(html, patterns)), F.lit(""))
+def _text(html: Column, selectors: tuple[Selector, ...]) -> Column:
+    return F.coalesce(inner_text(first_match(html, selectors)), F.lit(""))
 
 
-def _attribute(html: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(stripped(unescape(unquoted(first_match(html, patterns)))), F.lit(""))
+def _attribute(html: Column, selectors: tuple[Selector, ...]) -> Column:
+    return F.coalesce(stripped(unescape(unquoted(first_match(html, selectors)))), F.lit(""))
 
 
 def extract_links(
@@ -115,11 +117,6 @@ def page_fields(pages: DataFrame, layout: PageFields = PageFields()) -> DataFram
     )
 
 
-def _unless_empty(items: Column) -> Column:
-    """The array itself, or null when it has no elements; the array is computed once."""
-    return F.get(F.filter(F.array(items), lambda x: F.size(x) > 0), F.lit(0))
-
-
 def page_comments(pages: DataFrame, max_comments: int, layout: CommentFields = CommentFields()) -> DataFrame:
     """Pages with their ``comments`` array.
 
@@ -128,8 +125,11 @@ def page_comments(pages: DataFrame, max_comments: int, layout: CommentFields = C
     """
     html = F.col("_html")
     kept = [c for c in pages.columns if c != "html"]
-    families = [_unless_empty(chunks(html, c)) for c in layout.containers]
-    pieces = F.slice(F.coalesce(*families, F.array().cast("array<string>")), 1, max_comments)
+    # An empty list of contents may come from a limit of 0, so what counts is whether the container occurs.
+    pieces = reduce(
+        lambda rest, c: F.when(html.rlike(rf"(?is)<(?={c})[a-z]"), contents(html, c, max_comments)).otherwise(rest),
+        reversed(layout.containers), F.array().cast("array<string>"),
+    )
 
     def typed(piece: Column) -> Column:
         return F.struct(

@@ -350,7 +350,7 @@ def attribute_first_search_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""WITH v AS (SELECT page_id, url, {_VISIBLE} AS h FROM pages)
 SELECT page_id, url, '' AS id, {_inner_text(r"regexp_extract(h, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)")} AS title, '' AS author,
-  {_inner_text(r"regexp_extract(h, '(?is)<article\b[^>]*>.*?<p\b[^>]*>(.*?)</p\s*>', 1)")} AS body,
+  {_inner_text(r"regexp_extract(h, '(?is)<article\b[^>]*>.*?<p\b[^>]*>(.*?)(?:</p\s*>|<p\b|</article\s*>)', 1)")} AS body,
   CAST(0 AS BIGINT) AS upvotes, CAST(0 AS BIGINT) AS comment_count, '' AS "timestamp"
 FROM v""")
 def page_fields_query(spark: SparkSession, sf: str) -> DataFrame:
