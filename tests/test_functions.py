@@ -1,5 +1,5 @@
 import re
-from urllib.parse import quote_plus, urlparse
+from urllib.parse import quote_plus
 
 import pytest
 from pyspark.errors import PySparkException
@@ -14,42 +14,48 @@ def column(spark, values, expression):
     return [r.got for r in rows.orderBy("i").collect()]
 
 
-def human_number(raw):
-    if not raw:
-        return 0
-    raw = raw.strip().lower().replace(",", "")
-    scale = {"k": 1_000, "m": 1_000_000}.get(raw[-1:], None)
-    try:
-        return int(float(raw[:-1]) * scale) if scale else int(float(raw))
-    except ValueError:
-        return 0
-
-
-COUNTS = ["1.2k", "823", "", "1,234", "2.5M", " 7 ", "k", "abc", "1d", "-3", "1e3", ".5k", "4.35k", "1.k", "-0.9", "nan", "12 k", None, "\t9\n", "+4", "1kk", "0x10", "5%", "1.2.3"]
+COUNTS = {
+    "1.2k": 1200, "823": 823, "": 0, "1,234": 1234, "2.5M": 2_500_000, " 7 ": 7, "k": 0, "abc": 0, "1d": 0, "-3": -3, "1e3": 1000, ".5k": 500,
+    "4.35k": 4350, "1.k": 1000, "-0.9": 0, "nan": 0, "12 k": 12_000, None: 0, "\t9\n": 9, "+4": 4, "1kk": 0, "0x10": 0, "5%": 0, "1.2.3": 0,
+    "1_000": 1000, "1__0": 0, "_1": 0, "1_": 0, "1_0.5_0k": 10_500, "\u0663": 3, "\uff11\uff12k": 12_000, "\u0967,\u0968": 12, "inf": 0, "9e99": 0,
+}
 
 
 def test_parse_count(spark):
-    assert column(spark, COUNTS, parse_count) == [human_number(c) for c in COUNTS]
-    assert column(spark, ["inf", "1_000", "9e99"], parse_count) == [0, 0, 0]
-
-
-URLS = [
-    "https://www.example.com/r/x/comments/abc/title/", "/r/x/comments/abc", "https://e.com/r/x/comments/abc?y=/comments/z",
-    "https://e.com/r/x/comments/abc#frag", "https://e.com/r/x/", "https://e.com/r/x/comments", "https://e.com/r/x/comments/",
-    "comments/comments/z", "/comments-x/comments/w", "https://comments/abc", "//host/comments/q/", "https://e.com/comments/a;p=1",
-    "https://e.com/comments/a;p/b", "", "https://e.com/comments//b", "HTTPS://e.com/comments/up", "https://e.com?comments/a",
-    "///comments/x", "mailto:comments/x",
-]
-
-
-def path_id(url):
-    parts = urlparse(url).path.strip("/").split("/")
-    at = parts.index("comments") if "comments" in parts else len(parts)
-    return parts[at + 1] if at + 1 < len(parts) else None
+    assert column(spark, list(COUNTS), parse_count) == list(COUNTS.values())
+
+
+@pytest.mark.parametrize("count", [text.literal_count, text.substring_count])
+def test_blank_terms_are_refused(spark, count):
+    with pytest.raises(ValueError):
+        count(F.lit("x"), " ")
+
+
+POST_IDS = {
+    "https://www.example.com/r/x/comments/abc/title/": "abc",
+    "/r/x/comments/abc": "abc",
+    "https://e.com/r/x/comments/abc?y=/comments/z": "abc",
+    "https://e.com/r/x/comments/abc#frag": "abc",
+    "https://e.com/r/x/": None,
+    "https://e.com/r/x/comments": None,
+    "https://e.com/r/x/comments/": None,
+    "comments/comments/z": "comments",
+    "/comments-x/comments/w": "w",
+    "https://comments/abc": None,
+    "//host/comments/q/": "q",
+    "https://e.com/comments/a;p=1": "a",
+    "https://e.com/comments/a;p/b": "a;p",
+    "": None,
+    "https://e.com/comments//b": "",
+    "HTTPS://e.com/comments/up": "up",
+    "https://e.com?comments/a": None,
+    "///comments/x": "x",
+    "mailto:comments/x": "x",
+}
 
 
 def test_post_id(spark):
-    assert column(spark, URLS, urls.post_id) == [path_id(u) for u in URLS]
+    assert column(spark, list(POST_IDS), urls.post_id) == list(POST_IDS.values())
 
 
 def test_form_encoding_of_every_printable_character(spark):

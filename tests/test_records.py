@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from threadloom.params import Filters
 from threadloom.plans.corpus import build_corpus, publish_corpus
 from threadloom.sources.corpus import append_new, read_corpus
@@ -120,3 +122,14 @@ def test_publish_then_read_one_study(spark, tmp_path):
     assert {r.stage: r.rows for r in audit.collect()}["load"] == 3
     every, _ = read_corpus(spark, path)
     assert every.count() == 2
+
+
+@pytest.mark.parametrize("study", ["007", "1e5", "2026"])
+def test_a_store_of_one_study_whose_id_reads_as_a_number(spark, tmp_path, study):
+    schema = "id string, study_id string, title string, body string, comments array<struct<author:string,body:string,upvotes:bigint>>, _pos int"
+    records = spark.createDataFrame([("1", study, "t", "b", [("u", "text", 1)] * 3, 0)], schema)
+    path = str(tmp_path / "corpus")
+    publish_corpus(records, Filters(min_chars=0), path)
+    posts, comments = read_corpus(spark, path, study)
+    assert [r.Study_ID for r in posts.collect()] == [study] and comments.count() == 3
+    assert read_corpus(spark, path, "other")[0].count() == 0

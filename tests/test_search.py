@@ -47,3 +47,22 @@ def test_profile_validation():
     ):
         with pytest.raises(ValueError):
             StudyProfile.from_mapping({**raw, **broken})
+
+
+@pytest.mark.parametrize("given, kept", [
+    (Filters(creator_patterns=("", " tested ")), Filters(creator_patterns=("tested",))),
+    (Filters(creator_patterns=(" ",)), Filters()),
+    (Filters(exclude_terms=["", " x "], require_any_terms=["\n"]), Filters(exclude_terms=("x",))),
+    (Filters(min_comments="4", min_chars="5"), Filters(min_comments=4, min_chars=5)),
+    (Analysis(tactics_pattern="", theories_pattern="  "), Analysis()),
+    (Analysis(tactics_pattern=" a b ", vocabulary_terms=[" t "]), Analysis(tactics_pattern="a b", vocabulary_terms=("t",))),
+    (SearchParams(time_filter=" ", max_posts_per_search="7"), SearchParams(max_posts_per_search=7)),
+])
+def test_profile_values_are_normalised(given, kept):
+    assert given == kept
+
+
+@pytest.mark.parametrize("make", [lambda: Filters(exclude_terms="x"), lambda: Filters(exclude_terms=[1]), lambda: Analysis(vocabulary_terms=["a", " "]), lambda: Filters(min_chars="x")])
+def test_profile_values_that_are_wrong(make):
+    with pytest.raises(ValueError):
+        make()

@@ -36,7 +36,7 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     before = run(spark, tmp_path)
     key = arrivals._stream_key(spark, str(tmp_path / "checkpoint"))
     lines = spark.read.text(str(tmp_path / "in")).select("value", "_metadata")
-    arrivals._save_batch(lines, 0, str(tmp_path / "store"), key)
+    arrivals._save_batch(lines, 0, str(tmp_path / "store"), key, arrivals.rejects_of(str(tmp_path / "store")))
     after = sorted(((r.id, r.title) for r in arrivals.read_store(spark, str(tmp_path / "store")).collect()), key=str)
     assert after == before
 
@@ -79,3 +79,15 @@ def test_a_watching_stream_picks_up_later_files(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(r.title for r in arrivals.read_store(spark, folders[1]).collect()) == ["first", "new"]
+
+
+def test_rejected_lines_are_kept_once(spark, tmp_path):
+    put(tmp_path / "in", "1.jsonl", line("a", "first"), "not json", '{"post": 1', "[]")
+    run(spark, tmp_path)
+    store = str(tmp_path / "store")
+    key = arrivals._stream_key(spark, str(tmp_path / "checkpoint"))
+    arrivals._save_batch(spark.read.text(str(tmp_path / "in")).select("value", "_metadata"), 0, store, key, arrivals.rejects_of(store))
+    put(tmp_path / "in", "2.jsonl", "worse")
+    run(spark, tmp_path)
+    got = [(r.raw, r.file.rsplit("/", 1)[1]) for r in arrivals.read_rejects(spark, arrivals.rejects_of(store)).collect()]
+    assert sorted(got) == [("[]", "1.jsonl"), ("not json", "1.jsonl"), ("worse", "2.jsonl"), ('{"post": 1', "1.jsonl")]

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import stripped
 
 # Spark's double cast also takes "1d" and "inf", so the shape is checked before casting.
-NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
+_RUN = r"\d+(?:_\d+)*"
+NUMBER_SHAPE = rf"^[+-]?(?:{_RUN}\.?(?:{_RUN})?|\.{_RUN})(?:e[+-]?{_RUN})?$"
+# Decimal digits of every script, by the value Unicode gives them.
+_DIGITS = {c: str(unicodedata.decimal(c)) for c in map(chr, range(0x660, sys.maxunicode + 1)) if c.isdecimal()}
 
 
 def parse_count(text: Column) -> Column:
     """BIGINT from an abbreviated count, truncated toward zero; anything unreadable is 0."""
-    plain = F.replace(F.lower(stripped(text)), F.lit(","), F.lit(""))
+    latin = F.translate(stripped(text), "".join(_DIGITS), "".join(_DIGITS.values()))
+    plain = F.replace(F.lower(latin), F.lit(","), F.lit(""))
     unit = (
         F.when(plain.endswith("k"), F.lit(1_000.0))
         .when(plain.endswith("m"), F.lit(1_000_000.0))
         .otherwise(F.lit(1.0))
     )
     digits = stripped(F.regexp_replace(plain, "[km]$", ""))
-    value = F.when(digits.rlike(NUMBER_SHAPE), digits.try_cast("double") * unit)
+    value = F.when(digits.rlike(NUMBER_SHAPE), F.replace(digits, F.lit("_"), F.lit("")).try_cast("double") * unit)
     return F.coalesce(value.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 

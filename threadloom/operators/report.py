@@ -21,9 +21,16 @@ def corpus_totals(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return counted(POSTS, posts).unionByName(counted(COMMENTS, comments))
 
 
-def group_counts(df: DataFrame, col: str) -> DataFrame:
-    """Rows per group, largest first; equal sizes by name."""
-    return df.groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
+def group_counts(df: DataFrame, col: str, mode: str = "strict") -> DataFrame:
+    """Rows per group, largest first; equal sizes by name. "strict" leaves rows without a group out, "coalesce" counts them as ""."""
+    return _sizes(df, col, mode).orderBy(F.desc("n"), "name")
+
+
+def _sizes(df: DataFrame, col: str, mode: str) -> DataFrame:
+    if mode not in ("coalesce", "strict"):
+        raise ValueError(f"unknown mode: {mode}")
+    rows = df.where(F.col(col).isNotNull()) if mode == "strict" else df
+    return rows.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bar(n: Column, largest: Column) -> Column:
@@ -32,9 +39,9 @@ def bar(n: Column, largest: Column) -> Column:
     return F.repeat(F.lit(BAR), length)
 
 
-def distribution(df: DataFrame, col: str) -> DataFrame:
+def distribution(df: DataFrame, col: str, mode: str = "coalesce") -> DataFrame:
     """Group counts with their bars; the largest count is a scalar, so no global window is needed."""
-    sizes = df.groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = _sizes(df, col, mode)
     largest = sizes.agg(F.max("n")).scalar()
     return sizes.select("name", "n", bar(F.col("n"), largest).alias("bar")).orderBy(F.desc("n"), "name")
 

@@ -53,15 +53,27 @@ ACTANTS = {
 STUDY_ID_SHAPE = re.compile(r"[a-zA-Z0-9_]+")
 
 
-def _nonblank(values: Any, what: str, allow_empty: bool = False) -> tuple[str, ...]:
+def _nonblank(values: Any, what: str) -> tuple[str, ...]:
     if isinstance(values, str) or not all(isinstance(v, str) and v.strip() for v in values):
         raise ValueError(f"{what}: expected non-blank strings")
     out = tuple(v.strip() for v in values)
-    if not out and not allow_empty:
+    if not out:
         raise ValueError(f"{what}: at least one entry is needed")
     return out
 
 
+def _kept(values: Any, what: str) -> tuple[str, ...]:
+    """Optional entries: stripped, blank ones dropped."""
+    if isinstance(values, str) or not all(isinstance(v, str) for v in values):
+        raise ValueError(f"{what}: expected strings")
+    return tuple(v.strip() for v in values if v.strip())
+
+
+def _settle(params: Any, **values: Any) -> None:
+    for name, value in values.items():
+        object.__setattr__(params, name, value)
+
+
 @dataclass(frozen=True)
 class SearchParams:
     time_filter: str = "year"
@@ -69,6 +81,10 @@ class SearchParams:
     max_comments_per_post: int = 20
 
     def __post_init__(self) -> None:
+        _settle(
+            self, time_filter=str(self.time_filter).strip() or "year",
+            max_posts_per_search=int(self.max_posts_per_search), max_comments_per_post=int(self.max_comments_per_post),
+        )
         if self.max_posts_per_search < 1 or self.max_comments_per_post < 0:
             raise ValueError("search: need max_posts_per_search >= 1 and max_comments_per_post >= 0")
 
@@ -82,9 +98,11 @@ class Filters:
     require_any_terms: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "creator_patterns", tuple(self.creator_patterns) or CREATOR_PATTERNS)
-        for name in ("exclude_terms", "require_any_terms"):
-            object.__setattr__(self, name, _nonblank(getattr(self, name), name, allow_empty=True))
+        _settle(
+            self, min_comments=int(self.min_comments), min_chars=int(self.min_chars),
+            creator_patterns=_kept(self.creator_patterns, "creator_patterns") or CREATOR_PATTERNS,
+            **{name: _kept(getattr(self, name), name) for name in ("exclude_terms", "require_any_terms")},
+        )
 
 
 @dataclass(frozen=True)
@@ -94,7 +112,11 @@ class Analysis:
     theories_pattern: str = THEORIES_PATTERN
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "vocabulary_terms", _nonblank(self.vocabulary_terms, "vocabulary_terms"))
+        _settle(
+            self, vocabulary_terms=_nonblank(self.vocabulary_terms, "vocabulary_terms"),
+            tactics_pattern=str(self.tactics_pattern or "").strip() or TACTICS_PATTERN,
+            theories_pattern=str(self.theories_pattern or "").strip() or THEORIES_PATTERN,
+        )
 
 
 @dataclass(frozen=True)

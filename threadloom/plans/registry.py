@@ -20,7 +20,7 @@ from threadloom.plans.report import report_table
 from threadloom.session import scratch_dir
 from threadloom.sources.corpus import append_new, normalize_nulls, read_corpus, write_corpus
 from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, stamp_study, to_json_lines
-from threadloom.streaming.arrivals import append_new_stream, read_store
+from threadloom.streaming.arrivals import append_new_stream, read_rejects, read_store, rejects_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,14 +231,18 @@ def append_new_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_EVENTS}
-SELECT id, CASE WHEN id = '' THEN count(*) ELSE 1 END AS n FROM ev GROUP BY id""")
+SELECT 'kept' AS what, id, CASE WHEN id = '' THEN count(*) ELSE 1 END AS n FROM ev GROUP BY id
+UNION ALL SELECT 'rejected', 'bad ' || event_id, 1 FROM ev WHERE event_id % 7 = 0""")
 def append_new_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_dir(spark, "arrivals")
     for side in tables.event_sides(spark, sf):
         record = F.struct(F.struct("id", F.col("event_type").alias("keyword"), F.col("event_id").alias("upvotes")).alias("post"))
-        side.select(F.to_json(record).alias("value")).write.mode("append").text(f"{root}/in")
+        spoilt = side.where("event_id % 7 = 0").select(F.concat(F.lit("bad "), F.col("event_id").cast("string")).alias("value"))
+        side.select(F.to_json(record).alias("value")).unionByName(spoilt).write.mode("append").text(f"{root}/in")
         append_new_stream(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint").awaitTermination()
-    return read_store(spark, f"{root}/store").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    kept = read_store(spark, f"{root}/store").select(F.lit("kept").alias("what"), "id")
+    bad = read_rejects(spark, rejects_of(f"{root}/store")).select(F.lit("rejected").alias("what"), F.col("raw").alias("id"))
+    return kept.unionByName(bad).groupBy("what", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, 'events_2024' AS study_id, 'Arriving events' AS theme_label FROM events""")
@@ -555,7 +559,7 @@ UNION ALL SELECT '1a totals', 2, 'comments', CAST(count(*) AS VARCHAR) FROM comm
 UNION ALL SELECT '1b communities', row_number() OVER (ORDER BY n DESC, name), name, CAST(n AS VARCHAR) FROM g
 UNION ALL SELECT '1c bars', row_number() OVER (ORDER BY n DESC, name), name, {_BAR} FROM g
 UNION ALL SELECT '2 creators', 1, 'creators', CAST(sum(c) AS VARCHAR) FROM g
-UNION ALL SELECT '2 creators', 2, 'percent', CAST(round(sum(c) / sum(n) * 100, 1) AS VARCHAR) FROM g
+UNION ALL SELECT '2 creators', 2, 'percent', CAST(round_even(sum(c) / sum(n) * 100, 1) AS VARCHAR) FROM g
 UNION ALL SELECT '2 creators', 3, 'others', CAST(sum(n) - sum(c) AS VARCHAR) FROM g
 UNION ALL SELECT '3 vocabulary', rank, term, CAST(n AS VARCHAR) FROM (
   SELECT row_number() OVER (ORDER BY n DESC, term_ord) AS rank, term, n FROM t) WHERE rank <= 8

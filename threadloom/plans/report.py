@@ -62,7 +62,7 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
         lambda t, i: F.struct(*_line(VOCABULARY, i + 1, t["term"], -t["less"])),
     )
     pct = F.when(F.col(POSTS) > 0, F.col("creators") / F.col(POSTS) * 100).otherwise(F.lit(0.0))
-    share = ("creators", F.col("creators")), ("percent", F.round(pct, 1)), ("others", F.col(POSTS) - F.col("creators"))
+    share = ("creators", F.col("creators")), ("percent", F.bround(pct, 1)), ("others", F.col(POSTS) - F.col("creators"))
     fixed = F.array(
         *_fixed(CREATORS, *share),
         *_fixed(TOTALS, (POSTS, F.col(POSTS)), (COMMENTS, F.col(COMMENTS))),
@@ -73,7 +73,7 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
         long_list = ranked_terms(count_terms(texts, terms), top_terms)
         parts.append(long_list.select(*_line(VOCABULARY, F.col("rank"), F.col("term"), F.col("n"))))
 
-    sizes = posts.groupBy(F.col("Subreddit").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = posts.groupBy(F.coalesce("Subreddit", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     # One row per community of the study, so ranking them in one task is cheap.
     place = F.row_number().over(Window.orderBy(F.desc("n"), "name"))
     largest = F.max("n").over(Window.partitionBy())

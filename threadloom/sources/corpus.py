@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.text import empty_if_null, null_if_empty
 from threadloom.operators.keyed import Order, first_per_key, is_blank
@@ -32,8 +33,9 @@ def read_corpus(spark: SparkSession, path: str, study_id: str | None = None) ->
     for name, columns in (("posts", list(POSTS_COLUMNS)), ("comments", COMMENTS_COLUMNS)):
         table = spark.read.parquet(f"{path}/{name}")
         if STUDY in table.columns:
-            # Folder names are typed on read, so an all-digit study id comes back as a number.
-            table = table.withColumn(STUDY, F.col(STUDY).cast("string"))
+            # Folder names are typed on read, and 007 or 1e5 would come back as other numbers.
+            typed = T.StructType([T.StructField(f.name, T.StringType() if f.name == STUDY else f.dataType) for f in table.schema])
+            table = spark.read.schema(typed).parquet(f"{path}/{name}")
             if study_id is not None:
                 table = table.where(F.col(STUDY) == study_id)
         tables.append(table.select(*columns))

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from threadloom.schema import RECORD_SCHEMA
+from threadloom.schema import POSITION, RECORD_SCHEMA
 from threadloom.sources.corpus import append_new
 from threadloom.sources.records import parse_lines, positioned, quarantine
 
 STREAM, BATCH = "stream", "batch"
 STORE_SCHEMA = T.StructType([*RECORD_SCHEMA.fields, T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())])
+REJECT_SCHEMA = T.StructType([T.StructField("raw", T.StringType()), T.StructField("file", T.StringType()), T.StructField("block", T.LongType())])
 
 # A batch broadcasts its ids when their measured size, with this much overhead per row, stays
 # under the limit; otherwise the lookup among the stored ids is an ordinary shuffled join.
@@ -29,6 +30,16 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     return _stored(spark, store).select(*RECORD_SCHEMA.fieldNames())
 
 
+def rejects_of(store: str) -> str:
+    return f"{store.rstrip('/')}_rejects"
+
+
+def read_rejects(spark: SparkSession, rejects: str) -> DataFrame:
+    """Every line that was no record, with its file and block."""
+    schema = T.StructType([*REJECT_SCHEMA.fields, T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())])
+    return spark.read.schema(schema).parquet(rejects).select(*REJECT_SCHEMA.fieldNames())
+
+
 def _stored(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(store)
 
@@ -48,7 +59,8 @@ def _stream_key(spark: SparkSession, checkpoint: str) -> str:
 
 
 def append_new_stream(
-    spark: SparkSession, source: str, store: str, checkpoint: str, max_files: int | None = None, every: str | None = None
+    spark: SparkSession, source: str, store: str, checkpoint: str, max_files: int | None = None, every: str | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Append the new posts of every file arriving under ``source``.
 
@@ -57,24 +69,31 @@ def append_new_stream(
 
     Each micro-batch owns one folder of the store and replaces it when it is replayed after a
     failure, and compares itself with everything stored but that folder. A replay therefore neither
-    repeats nor loses rows, including those without an id.
+    repeats nor loses rows, including those without an id. Lines that are no records go to a folder of
+    their own per batch, under ``rejects`` (``<store>_rejects`` by default), replaced in the same way.
     """
     key = _stream_key(spark, checkpoint)
     spark.createDataFrame([], RECORD_SCHEMA).write.mode("ignore").parquet(f"{store}/{STREAM}=none/{BATCH}=0")
+    bad = rejects or rejects_of(store)
+    spark.createDataFrame([], REJECT_SCHEMA).write.mode("ignore").parquet(f"{bad}/{STREAM}=none/{BATCH}=0")
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     arriving = reader.load(source).select("value", "_metadata")
     return (
-        arriving.writeStream.foreachBatch(lambda lines, batch: _save_batch(lines, batch, store, key))
+        arriving.writeStream.foreachBatch(lambda lines, batch: _save_batch(lines, batch, store, key, rejects or rejects_of(store)))
         .option("checkpointLocation", checkpoint)
         .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 
 
-def _save_batch(lines: DataFrame, batch: int, store: str, key: str) -> None:
-    records, _ = quarantine(parse_lines(positioned(lines)))
+def _save_batch(lines: DataFrame, batch: int, store: str, key: str, rejects: str) -> None:
+    records, bad = quarantine(parse_lines(positioned(lines)))
+    place = F.col(POSITION)
+    bad.select("raw", place["file"].alias("file"), place["block"].alias("block")).write.mode("overwrite").parquet(
+        f"{rejects}/{STREAM}={key}/{BATCH}={batch}"
+    )
     records = records.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = records.agg(F.coalesce(F.sum(F.octet_length("id") + ROW_OVERHEAD), F.lit(0))).first()[0]
