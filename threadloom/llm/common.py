@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local(df: DataFrame) -> pd.DataFrame:
+    """A small table on the driver; columns, not row objects, whatever the session's settings."""
+    return df.toArrow().to_pandas()
+
+
 def in_fold(doc_id: str, folds: int) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by ``folds``; a null id does not."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == 1, F.lit(False))

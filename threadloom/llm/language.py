@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import local
+
 SAMPLE_ROWS = 2_000  # documents of each language
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.1
@@ -115,7 +117,7 @@ def fit_languages(docs: DataFrame, train_on: Column | None = None, sample_rows:
                 words = pd.Series([w for t in texts for w in _WORD.findall(t.lower())], dtype=object).value_counts()
                 yield pd.DataFrame({"lang": lang, "word": words.index, "n": words.to_numpy(np.int64)})
 
-    rows = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    rows = local(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in sorted(rows.itertuples(index=False)):
         counts.setdefault(lang, {})[word] = n

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import staged
+from threadloom.llm.common import local, staged
 
 TREES = 12
 SAMPLE_ROWS = 16_384
@@ -133,7 +133,7 @@ def nearest(
     usual = valid.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
     dims, total = (usual["dims"], usual["n"]) if usual else (0, 0)
     valid = valid.where(F.size("embedding") == dims)
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    sample = local(valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows))
     stack = lambda s: np.stack([np.asarray(v, float) for v in s]) if len(s) else np.zeros((0, dims))
     forest = Forest(stack(sample["embedding"]), trees, leaf_rows)
     sent = vectors.sparkSession.sparkContext.broadcast(forest)  # planes of a bounded number of nodes

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import staged
+from threadloom.llm.common import local, staged
 
 ORDER = 5
 NODES = 1 << 20
@@ -209,21 +209,13 @@ def fit_corpus(texts: DataFrame) -> tuple[PartialMatching, DataFrame]:
     full, words = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
     bytes_ = full.agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-bytes_ // NODES))
-    parts = []
-    for n in range(ORDER + 1):
-        for what, key in zip(("node", "context"), _masked(n), strict=True):
-            part = full.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            parts.append(part.select(F.lit(what).alias("what"), F.lit(n).alias("length"), "key", "n"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    rows = every.toPandas()  # at most NODES rows of each of the twelve kinds
-
-    def table(what: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-        own = rows[(rows["what"] == what) & (rows["length"] == n)].sort_values("key")
-        return own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-
-    model = PartialMatching({n: table("node", n) for n in range(ORDER + 1)}, {n: table("context", n) for n in range(ORDER + 1)})
+    views = [F.struct(F.lit(2 * n + k).alias("view"), key.alias("part")) for n in range(ORDER + 1) for k, key in enumerate(_masked(n))]
+    parts = full.select("n", F.inline(F.array(*views))).groupBy("view", "part").agg(F.sum("n").alias("n"))
+    rows = local(parts.where(F.col("n") >= least)).sort_values(["view", "part"])  # at most NODES rows of each view
+    view, part, n_of = (rows[c].to_numpy(np.int64) for c in ("view", "part", "n"))
+    cuts = np.searchsorted(view, np.arange(2 * ORDER + 3))
+    tables = [(part[a:b], n_of[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    model = PartialMatching(dict(enumerate(tables[::2])), dict(enumerate(tables[1::2])))
     return model, words
 
 
@@ -240,7 +232,7 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = math.log10(total + 0.5 * (distinct + 1))
     often = max(1, -(-total // NODES))
-    heavy = words.where((F.col("n") >= often) | (F.col("key") == 0)).toPandas().sort_values("key")  # at most NODES rows and the end
+    heavy = local(words.where((F.col("n") >= often) | (F.col("key") == 0))).sort_values("key")  # at most NODES rows and the end
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((model, heavy["key"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64)))
 
@@ -274,6 +266,7 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
     ready = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null"), F.coalesce("text", F.lit("")).alias("text"))
     fields = "doc_id long, null boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>"
     first = staged(ready.mapInPandas(score, fields).withColumn("row", F.monotonically_increasing_id()), "scores")
+    sent.destroy()
     asked = first.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("times"))
     rare_words = words.where((F.col("n") < often) & (F.col("key") != 0)).withColumnRenamed("n", "count")
     found = asked.join(rare_words, "key").groupBy("row").agg(

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import local
 from threadloom.llm.trees import Trees, train
 
 SAMPLE_ROWS = 20_000
@@ -76,7 +77,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_on: Column | None = No
 
     # The sample is bounded by its parameter, so it may be broadcast.
     chosen = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = chosen.mapInPandas(measure, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id")
+    rows = local(chosen.mapInPandas(measure, "doc_id long, quality int, x array<double>")).sort_values("doc_id")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, WIDTH))
     return train(x, rows["quality"].to_numpy(float))
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import local
 from threadloom.llm.trees import Trees, train
 
 SAMPLE_ROWS = 20_000
@@ -102,7 +103,7 @@ def fit_urls(urls: DataFrame, rules: Sequence[Rule], id_column: str = "page_id",
         seen[row["k"], row["s"]], blocked[row["k"], row["s"]] = row["n"], row["y"]
     overall = (blocked[0].sum() + 1) / (seen[0].sum() + 2)
     shares = (blocked + overall) / (seen + 1)
-    sample = known.orderBy(F.xxhash64("url", "page_id"), "url").limit(sample_rows).drop("verdict", "rule").toPandas()
+    sample = local(known.orderBy(F.xxhash64("url", "page_id"), "url").limit(sample_rows).drop("verdict", "rule"))
     return train(_features(sample, shares), sample["y"].to_numpy(float)), shares
 
 
