@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MAX_RATE = 0.2  # edits allowed for each character of an item
 ANCHOR = 3
 RECALL = 0.999
-SAMPLE = 3  # steps that must agree at once
+SAMPLE = 4  # steps that must agree at once
 WALKS = 8
 TRIALS = 400
 SLICE_CHARS = 16_000_000
@@ -53,10 +53,10 @@ def _search(pattern: str, text: str) -> tuple[int, int]:
     return best
 
 
-def best_part(pattern: str, text: str) -> tuple[int, int, int]:
-    """Least edit distance of the pattern to a part of the text, with the bounds of that part."""
+def best_part(pattern: str, text: str, limit: int | None = None) -> tuple[int, int, int]:
+    """Least edit distance of the pattern to a part of the text, with the bounds of that part; none above ``limit``."""
     distance, end = _search(pattern, text)
-    if not end:
+    if not end or limit is not None and distance > limit:
         return distance, 0, 0
     _, length = _search(pattern[::-1], text[:end][::-1])
     return distance, end - length, end
@@ -197,7 +197,7 @@ class ItemIndex:
             slack = len(self.words[i]) // 4 + 1
             low = max(0, s - slack)
             part = docs[d][low : max(0, s + len(self.words[i]) + slack)]
-            distance, a, b = best_part(self.texts[i], " ".join(part))
+            distance, a, b = best_part(self.texts[i], " ".join(part), limit)
             if distance > limit or b <= a:
                 continue
             ends = np.cumsum([len(w) + 1 for w in part])
