@@ -18,7 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from threadloom.llm.common import staged
 
 END_ID = 0
 SEGMENT_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000  # about 250 MB in each worker
 _HEADER = struct.Struct("<4sIIQ")
 _BLOCK = 512
 
@@ -38,7 +38,6 @@ _BLOCK = 512
 # be cut before it. A word is known by its spelling, with the line feed if it follows one and without the space.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_MARKS = frozenset(",.;:!?)")
 _JOINED = 20_000
 
 
@@ -80,26 +79,25 @@ class WordEncoder:
                 begin = end
 
     def _add(self, new: set[str]) -> None:
-        """Cache new words; a known word with a mark after it needs no encoding."""
+        """Cache new words; a word of letters with marks after it is the ids of both."""
         words, marked, plain, led = self.words, [], set(), set()
         for w in new:
             body = w[1:] if w[0] == "\n" else w
             if len(body.split()) != 1 or len(body) != len(body.strip()):
                 words[w] = self._whole(w if w[0] == "\n" else " " + w)  # white space inside would shift the cuts
                 continue
-            if body[-1] in _MARKS and body[:-1].isalpha():
-                marked.append(w)
-                w, body = w[:-1], body[:-1]
+            stem = body.rstrip(punctuation)
+            if stem != body and stem.isalpha():
+                marks = body[len(stem) :]
+                marked.append((w, marks))
+                w, body = w[: -len(marks)], stem
             if w not in words:
                 (led if w[0] == "\n" else plain).add(body)
         self._learn(list(plain), " ")
         self._learn(list(led), "\n")
-        for w in marked:
-            words[w] = words[w[:-1]] + self.marks[w[-1]]
-
-    @cached_property
-    def marks(self) -> dict[str, bytes]:
-        return {m: self._whole(m) for m in _MARKS}
+        codes = {marks: self._whole(marks) for marks in {m for _, m in marked}}
+        for w, marks in marked:
+            words[w] = words[w[: -len(marks)]] + codes[marks]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         words = self.words
