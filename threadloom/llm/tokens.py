@@ -60,6 +60,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
         self.words: dict[str, bytes] = {}
+        self.led = {lead: self._begin_with(lead) for lead in " \n"}
+
+    def _begin_with(self, lead: str) -> np.ndarray:
+        """Whether each token of the vocabulary begins with the character ``lead``."""
+        sign = self.tokenizer.encode(lead, add_special_tokens=False).tokens[0]
+        out = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        out[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith(sign)]] = True
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,15 +76,13 @@ class WordEncoder:
         """Cache the ids of words that follow ``lead``, by encoding many of them as one text."""
         for at in range(0, len(words), _JOINED):
             some = words[at : at + _JOINED]
-            code = self.tokenizer.encode(lead + lead.join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in some[:-1]])
-            owner = np.searchsorted(starts, np.array([o[0] for o in code.offsets]), "right") - 1
-            ids = np.array(code.ids, "<u4").tobytes()
-            ends = np.searchsorted(owner, np.arange(len(some)), "right") * 4
-            key, begin = lead.strip(" "), 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                self.words[key + word] = ids[begin:end]
-                begin = end
+            (code,) = self.tokenizer.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)
+            ids = np.array(code.ids, "<u4")
+            # Words hold no white space, so only their first tokens begin with the lead.
+            begins = np.append(np.flatnonzero(self.led[lead][ids]), len(ids)) * 4
+            held, key = ids.tobytes(), lead.strip(" ")
+            for word, begin, end in zip(some, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                self.words[key + word] = held[begin:end]
 
     def _add(self, new: set[str]) -> None:
         """Cache new words; a word of letters with marks after it is the ids of both."""
