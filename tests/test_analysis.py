@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadloom.operators import explore, graph, numeric, report
-from threadloom.operators.texts import corpus_texts, count_terms
+from threadloom.operators.texts import corpus_texts, count_terms, count_terms_by_origin
 from threadloom.params import Analysis
 from threadloom.plans.report import report_table
 
@@ -92,15 +92,68 @@ def test_exploration_counts(corpus):
     assert sorted(pairs(only_posts, "origin", "n")) == [("comments", 0), ("posts", 2)]
 
 
-values = st.lists(st.integers(-50, 50) | st.integers(-10**12, 10**12), min_size=1, max_size=40)
+values = st.lists(st.integers(-50, 50) | st.integers(-(10**12), 10**12), min_size=1, max_size=40)
+reals = st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64, min_value=-1e300, max_value=1e300), min_size=1, max_size=40)
+PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def quantiles(spark, xs, dtype="bigint"):
+    df = spark.createDataFrame([(x,) for x in xs], f"x {dtype}").repartition(3)
+    return list(numeric.exact_quantiles(numeric.value_counts(df, "x"), PROBS).first())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(xs=values)
 def test_exact_quantiles(spark, xs):
-    df = spark.createDataFrame([(x,) for x in xs], "x bigint").repartition(3)
-    got = list(numeric.exact_quantiles(numeric.value_counts(df, "x"), (0.0, 0.25, 0.5, 0.75, 1.0)).first())
-    assert got == pytest.approx(list(np.quantile(np.array(xs, dtype=float), (0, 0.25, 0.5, 0.75, 1))), rel=1e-9, abs=1e-9)
+    assert quantiles(spark, xs) == pytest.approx(list(np.quantile(np.array(xs, dtype=float), PROBS)), rel=1e-9, abs=1e-9)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(xs=reals)
+def test_exact_quantiles_of_doubles(spark, xs):
+    got = quantiles(spark, xs, "double")
+    assert (got[0], got[4]) == (min(xs), max(xs))
+    assert got == pytest.approx(list(np.quantile(np.array(xs), PROBS)), rel=1e-9, abs=1e-300)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(xs=st.lists(st.floats(allow_nan=False), min_size=2, max_size=30))
+def test_sort_keys_order_like_the_doubles(spark, xs):
+    xs = xs + [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, float("inf"), float("-inf"), 1.7976931348623157e308, 0.5, 1.0 - 2.0**-53]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    keys = [tuple(r) for r in df.select("x", numeric._sort_key(F.col("x"), "double")).collect()]
+    assert all((a < b) == (ka < kb) for a, ka in keys for b, kb in keys)
+
+
+def test_clustered_values_spread_over_the_rounds(spark):
+    n = 20_000
+    for shape in ("CAST(1e12 AS BIGINT) + id", "0.5D + id * 1e-10D", "-(0.5D + id * 1e-10D)"):
+        df = spark.range(n).select(F.expr(shape).alias("x"))
+        want = np.quantile(np.array([r.x for r in df.collect()], dtype=float), PROBS)
+        assert list(numeric.exact_quantiles(numeric.value_counts(df, "x"), PROBS).first()) == pytest.approx(list(want), rel=1e-15)
+
+
+def test_infinities_and_nan_are_treated_alike(spark):
+    inf, nan = float("inf"), float("nan")
+    assert quantiles(spark, [-inf, 1.0, 2.0, 3.0, inf], "double") == [-inf, 1.0, 2.0, 3.0, inf]
+    assert quantiles(spark, [inf, inf], "double") == [inf] * 5
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.5, 3.0, 4.0, nan, None)], "x double")
+    assert numeric.boxplot_stats(df, "x").first().outliers == numeric.boxplot_outliers(df, "x").count() == 0
+    assert tuple(numeric.describe_engagement(df, "x").first()) == pytest.approx((2.5, 2.5, 1.25**0.5, 1.25))
+    wide = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.5, 3.0, 4.0, inf)], "x double")
+    assert numeric.boxplot_stats(wide, "x").first().outliers == numeric.boxplot_outliers(wide, "x").count() == 1
+    assert numeric.describe_engagement(wide, "x").first().mean == inf
+
+
+def test_any_number_of_terms_takes_one_reading(spark, tmp_path):
+    terms = [f"t{i}_" for i in range(301)]
+    spark.createDataFrame([("posts", "t0_ t300_ t300_"), ("comments", "t300_ t7_"), ("comments", None)], "origin string, text string").write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    got = count_terms(texts, terms)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r.term: r.n for r in got.collect() if r.n} == {"t0_": 1, "t7_": 1, "t300_": 3} and got.count() == 301
+    sides = {(r.term, r.origin): r.n for r in count_terms_by_origin(texts, terms).collect()}
+    assert len(sides) == 602 and (sides["t300_", "posts"], sides["t300_", "comments"], sides["t0_", "comments"]) == (2, 1, 0)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -119,8 +172,8 @@ def test_boxplot_describe_and_density(spark):
     box = numeric.boxplot_stats(df, "x").first()
     assert (box.n, box.q1, box.median, box.q3) == (6, 2.125, 2.75, 3.75)
     assert (box.whisker_low, box.whisker_high, box.outliers) == (1.0, 4.0, 1)
-    assert [r.x for r in numeric.boxplot_outliers(df.where("not isnan(x)"), "x").collect()] == [100.0]
-    stats = numeric.describe_engagement(df.where("not isnan(x)"), "x").first()
+    assert [r.x for r in numeric.boxplot_outliers(df, "x").collect()] == [100.0]
+    stats = numeric.describe_engagement(df, "x").first()
     want = (clean.mean(), np.median(clean), clean.std(ddof=1), clean.var(ddof=1))
     assert tuple(stats) == pytest.approx(want)
     curve = numeric.density_curve(df, "x", 50).orderBy("point").collect()

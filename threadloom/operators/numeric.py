@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per doubling of magnitude when ranks are located. All BIGINTs fit in about 516,000 buckets,
-# and even values spread evenly over their range leave less than 1/8000 of them in any one.
-BUCKETS_PER_OCTAVE = 4096
+# A rank is located in rounds that settle so many bits of a 64-bit key each, so no round has more than
+# 2^16 groups per rank, whatever the values.
+DIGIT, KEY_BITS = 16, 64
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -23,11 +24,14 @@ def corpus_summary(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return per_post.select("posts", total.alias("comments"), "mean_comments", "pct_creators")
 
 
+def _present(df: DataFrame, col: str) -> Column:
+    v = F.col(col)
+    return v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[col] in ("double", "float") else v.isNotNull()
+
+
 def _values(df: DataFrame, col: str) -> DataFrame:
     """The column as ``v``, without nulls and NaN."""
-    v = F.col(col)
-    present = v.isNotNull() & ~F.isnan(v) if dict(df.dtypes)[col] in ("double", "float") else v.isNotNull()
-    return df.where(present).select(v.alias("v"))
+    return df.where(_present(df, col)).select(F.col(col).alias("v"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -35,46 +39,61 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return _values(df, col).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
 
 
-def _bucket(v: Column) -> Column:
-    """Order-preserving coarse key: finer near zero, a fixed number of keys per doubling."""
-    magnitude = F.floor(F.log2(F.abs(v.cast("double")) + 1) * BUCKETS_PER_OCTAVE)
-    return (F.signum(v.cast("double")) * magnitude).cast("int")
+def _sort_key(v: Column, dtype: str) -> Column:
+    """A BIGINT that orders like the values and is never null: the integer itself, else the bits of the double with its sign.
+
+    Powers of two and the scaling by them are exact, so different doubles have different keys.
+    """
+    if dtype in INTEGERS:
+        return F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint"))
+    x = F.abs(v.cast("double"))
+
+    def power(e: Column) -> Column:
+        return F.pow(F.lit(2.0), e)
+
+    # The logarithm may round across a power of two; comparing with the powers themselves settles it.
+    guess = F.floor(F.log2(x))
+    e = F.when(x < power(guess), guess - 1).when(x >= power(guess + 1), guess + 1).otherwise(guess)
+    normal = (e + 1023) * (1 << 52) + ((x / power(e) - 1.0) * 2.0**52).cast("bigint")
+    tiny = (x * 2.0**537 * 2.0**537).cast("bigint")
+    size = F.when(x == float("inf"), F.lit(2047 << 52)).when(x < 2.0**-1022, tiny).otherwise(normal)
+    return F.coalesce(F.when(v < 0, -size).otherwise(size), F.lit(0).cast("bigint"))
 
 
 def exact_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     """One row with the interpolated quantiles ``q0, q1, …`` of a value-count table.
 
-    A percentile aggregate would gather every distinct value in one task. Here bucket totals (few,
-    by construction) locate the wanted ranks, and only the buckets holding one are ordered.
+    A percentile aggregate would gather every distinct value in one task. Here the leading bits of the
+    keys are totalled, the group that holds a rank is found among them, and only its values go into the
+    next round, until a single value is left. Values are never sorted, and a task sees at most 2^16
+    totals per rank. All rounds read the same counts, whose shuffle Spark reuses.
     """
-    keyed = counts.withColumn("bucket", _bucket(F.col("v")))
-    totals = keyed.groupBy("bucket").agg(F.sum("k").alias("n"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = totals.select(
-        "bucket", "n",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy()).alias("size"),
-    )
-    spots = [(F.lit(p) * (F.col("size") - 1)) for p in probs]
-    wanted = placed.select(
-        "bucket", "before", "size",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(2 * i + side).alias("slot"), rounding(spot).cast("bigint").alias("rank"))
-                    for i, spot in enumerate(spots)
-                    for side, rounding in enumerate((F.floor, F.ceil))
-                ]
-            )
-        ),
-        "n",
-    ).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-    # Two ranks per probability, so the broadcast side has at most 2 * len(probs) rows.
-    inside = keyed.join(F.broadcast(wanted.drop("n")), "bucket")
-    running = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = inside.withColumn("upto", F.col("before") + F.sum("k").over(running))
-    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))
-    slots = reached.where(hit).agg(
+    keyed = counts.select("v", "k", _sort_key(F.col("v"), dict(counts.dtypes)["v"]).alias("key"))
+
+    def leading(bits: int) -> Column:
+        return F.shiftright("key", KEY_BITS - bits)
+
+    def before(window) -> Column:
+        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    reached = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+    totals = keyed.groupBy(leading(DIGIT).alias("prefix")).agg(F.sum("k").alias("n"))
+    placed = totals.select("prefix", "n", before(Window.orderBy("prefix")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("size"))
+    spots = [F.lit(p) * (F.col("size") - 1) for p in probs]
+    slots = [
+        F.struct(F.lit(2 * i + side).alias("slot"), rounding(spot).cast("bigint").alias("rank"))
+        for i, spot in enumerate(spots)
+        for side, rounding in enumerate((F.floor, F.ceil))
+    ]
+    wanted = placed.select("prefix", "before", "size", "n", F.inline(F.array(*slots))).where(reached)
+    for bits in range(2 * DIGIT, KEY_BITS + 1, DIGIT):
+        # Two ranks per probability, so the broadcast side has at most 2 * len(probs) rows.
+        within = F.broadcast(wanted.select("slot", "rank", "size", F.col("before").alias("below"), F.col("prefix").alias("above")))
+        inside = keyed.join(within, leading(bits - DIGIT) == F.col("above"))
+        totals = inside.groupBy("slot", "rank", "size", "below", leading(bits).alias("prefix")).agg(F.sum("k").alias("n"), F.max("v").alias("v"))
+        start = F.col("below") + before(Window.partitionBy("slot").orderBy("prefix"))
+        wanted = totals.select("slot", "rank", "size", "prefix", "n", "v", start.alias("before")).where(reached)
+    row = wanted.agg(
         F.max("size").alias("size"),
         *[F.max(F.when(F.col("slot") == s, F.col("v"))).cast("double").alias(f"s{s}") for s in range(2 * len(probs))]
     )
@@ -82,24 +101,34 @@ def exact_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     def blend(i: int, p: float) -> Column:
         low, high = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")
         share = F.lit(p) * (F.col("size") - 1) - F.floor(F.lit(p) * (F.col("size") - 1))
-        return (low + (high - low) * share).alias(f"q{i}")
+        # Two equal infinities have no difference to share out.
+        return F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share).alias(f"q{i}")
+
+    return row.select(*[blend(i, p) for i, p in enumerate(probs)])
+
 
-    return slots.select(*[blend(i, p) for i, p in enumerate(probs)])
+def _within(v: Column, first: Column, third: Column) -> Column:
+    """Whether a value lies within 1.5 IQR of the quartiles."""
+    reach = (third - first) * 1.5
+    return (v >= first - reach) & (v <= third + reach)
 
 
 def boxplot_stats(df: DataFrame, col: str) -> DataFrame:
-    """Quartiles, whiskers (last values within 1.5 IQR) and the number of outliers."""
-    quartiles = exact_quantiles(value_counts(df, col), QUARTILES).select(F.struct("q0", "q1", "q2").alias("q")).scalar()
-    v, q = F.col("v"), F.col("q")
-    reach = (q["q2"] - q["q0"]) * 1.5
-    inside = (v >= q["q0"] - reach) & (v <= q["q2"] + reach)
+    """Quartiles, whiskers (last values within 1.5 IQR) and the number of outliers; nulls and NaN are left out.
+
+    Everything follows from the value counts, so the source is read once.
+    """
+    counts = value_counts(df, col)
+    quartiles = exact_quantiles(counts, QUARTILES).select(F.struct("q0", "q1", "q2").alias("q")).scalar()
+    v, k, q = F.col("v"), F.col("k"), F.col("q")
+    inside = _within(v, q["q0"], q["q2"])
     # The subquery is attached once as a column; every direct mention would have to be reused.
-    ends = _values(df, col).withColumn("q", quartiles).agg(
-        F.count(F.lit(1)).alias("n"),
+    ends = counts.withColumn("q", quartiles).agg(
+        F.coalesce(F.sum(k), F.lit(0)).alias("n"),
         *[F.max(q[f"q{i}"]).alias(f"q{i}") for i in range(3)],
         F.min(F.when(inside, v)).cast("double").alias("low"),
         F.max(F.when(inside, v)).cast("double").alias("high"),
-        F.count_if(~inside).alias("outliers"),
+        F.coalesce(F.sum(F.when(~inside, k)), F.lit(0)).alias("outliers"),
     )
     return ends.select(
         "n",
@@ -113,22 +142,23 @@ def boxplot_stats(df: DataFrame, col: str) -> DataFrame:
 
 
 def boxplot_outliers(df: DataFrame, col: str) -> DataFrame:
-    """The rows beyond the whiskers."""
-    fences = exact_quantiles(value_counts(df, col), (0.25, 0.75)).select(
-        F.struct(
-            (F.col("q0") - (F.col("q1") - F.col("q0")) * 1.5).alias("low"),
-            (F.col("q1") + (F.col("q1") - F.col("q0")) * 1.5).alias("high"),
-        ).alias("fences")
-    )
-    limit = fences.scalar()
-    return df.where((F.col(col) < limit["low"]) | (F.col(col) > limit["high"]))
+    """The rows beyond the whiskers; nulls and NaN lie nowhere and are no outliers."""
+    quartiles = exact_quantiles(value_counts(df, col), (0.25, 0.75)).select(F.struct("q0", "q1").alias("q")).scalar()
+    return df.where(_present(df, col) & ~_within(F.col(col), quartiles["q0"], quartiles["q1"]))
 
 
 def describe_engagement(df: DataFrame, col: str = "Upvotes") -> DataFrame:
-    """Mean, exact median, sample standard deviation and sample variance."""
-    median = exact_quantiles(value_counts(df, col), (0.5,)).scalar()
-    spread = df.agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.var_samp(col).alias("variance"))
-    return spread.select("mean", median.alias("median"), "std", "variance")
+    """Mean, exact median, sample standard deviation and sample variance; nulls and NaN are left out."""
+    counts = value_counts(df, col)
+    v, k = F.col("v").cast("double"), F.col("k")
+    median = exact_quantiles(counts, (0.5,)).scalar()
+    size = counts.agg(F.struct(F.sum("k").alias("n"), (F.sum(v * k) / F.sum(k)).alias("mean")).alias("s")).scalar()
+    # Deviations from the known mean: sums of squares minus squared sums would lose all digits far from zero.
+    spread = counts.withColumn("s", size).agg(
+        F.max("s.mean").alias("mean"),
+        F.when(F.max("s.n") > 1, F.sum(k * F.pow(v - F.col("s.mean"), F.lit(2.0))) / (F.max("s.n") - 1)).alias("variance"),
+    )
+    return spread.select("mean", median.alias("median"), F.sqrt("variance").alias("std"), "variance")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:

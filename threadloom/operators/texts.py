@@ -12,9 +12,6 @@ from threadloom.functions.text import empty_if_null, literal_count
 
 POSTS, COMMENTS = "posts", "comments"
 
-# Counters per aggregate: keeps the generated code within the JVM's method limits.
-TERMS_PER_PASS = 100
-
 
 def corpus_texts(
     posts: DataFrame, comments: DataFrame, mode: str = "strict", lowercase: bool = True, carry: Sequence[str] = ()
@@ -45,56 +42,42 @@ def corpus_texts(
     return post_texts.unionByName(comment_texts, allowMissingColumns=True)
 
 
-def _from(origin: str, value: Column) -> Column:
-    return F.when(F.col("origin") == origin, value)
-
+Counter = Callable[[Column, str], Column]
 
-def total(value: Column) -> Column:
-    return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
 
+def tally(df: DataFrame, counters: Sequence[Column], shift: Column | None = None) -> DataFrame:
+    """One row with a map ``sums`` from the position of a counter to its sum; sums of zero are left out.
 
-Counter = Callable[[Column, str], Column]
+    Any number of counters takes one reading: each row gives its counters that are not zero, which are
+    folded by position inside the task, so a task ships one row per counter. ``shift`` is added to the
+    positions of a row. The filter is a function over the array, so a long list makes no long generated code.
+    """
+    zero = F.lit(0).cast("bigint")
+    values = F.array(*[F.struct(F.lit(i).alias("at"), F.coalesce(c.cast("bigint"), zero).alias("n")) for i, c in enumerate(counters)])
+    extra = (shift if shift is not None else F.lit(0)).cast("int").alias("extra")
+    # Outer, because the filter inferred for a plain explode would compute the array twice.
+    found = df.select(extra, F.inline_outer(F.filter(values, lambda c: c["n"] > 0))).where(F.col("n").isNotNull())
+    sums = found.groupBy((F.col("at") + F.col("extra")).alias("at")).agg(F.sum("n").alias("n"))
+    return sums.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("sums"))
 
 
-def _chunks(terms: Sequence[str]) -> list[list[tuple[int, str]]]:
-    numbered = list(enumerate(terms))
-    return [numbered[at:at + TERMS_PER_PASS] for at in range(0, len(numbered), TERMS_PER_PASS)]
+def sum_at(position: int) -> Column:
+    return F.coalesce(F.col("sums")[position], F.lit(0).cast("bigint"))
 
 
 def count_terms(texts: DataFrame, terms: Sequence[str], counter: Counter = literal_count) -> DataFrame:
-    """Occurrences of every term as ``term_ord, term, n``, zero counts included.
-
-    One pass: a counter column per term, folded inside each task, so one row per task is shuffled.
-    """
-    passes = []
-    for chunk in _chunks(terms):
-        counts = texts.agg(*[total(counter(F.col("text"), term)).alias(f"c{i}") for i, term in chunk])
-        rows = [
-            F.struct(F.lit(i).alias("term_ord"), F.lit(term).alias("term"), F.col(f"c{i}").alias("n"))
-            for i, term in chunk
-        ]
-        passes.append(counts.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, passes)
+    """Occurrences of every term as ``term_ord, term, n``, zero counts included."""
+    rows = [F.struct(F.lit(i).alias("term_ord"), F.lit(term).alias("term"), sum_at(i).alias("n")) for i, term in enumerate(terms)]
+    return tally(texts, [counter(F.col("text"), term) for term in terms]).select(F.inline(F.array(*rows)))
 
 
 def count_terms_by_origin(texts: DataFrame, terms: Sequence[str], counter: Counter = literal_count) -> DataFrame:
     """Like ``count_terms`` but split into ``term_ord, term, origin, n``."""
-    passes = []
-    for chunk in _chunks(terms):
-        # Grouping by origin counts each text once; conditional sums would count it twice.
-        sums = [total(counter(F.col("text"), term)).alias(f"c{i}") for i, term in chunk]
-        counts = F.struct(*[f"c{i}" for i, _ in chunk])
-        sides = texts.groupBy("origin").agg(*sums)
-        wide = sides.agg(*[F.max(_from(o, counts)).alias(o) for o in (POSTS, COMMENTS)])
-        rows = [
-            F.struct(
-                F.lit(i).alias("term_ord"),
-                F.lit(term).alias("term"),
-                F.lit(origin).alias("origin"),
-                F.coalesce(F.col(origin)[f"c{i}"], F.lit(0).cast("bigint")).alias("n"),
-            )
-            for origin in (POSTS, COMMENTS)
-            for i, term in chunk
-        ]
-        passes.append(wide.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, passes)
+    shift = F.when(F.col("origin") == COMMENTS, F.lit(len(terms))).otherwise(F.lit(0))
+    counts = tally(texts, [counter(F.col("text"), term) for term in terms], shift)
+    rows = [
+        F.struct(F.lit(i).alias("term_ord"), F.lit(term).alias("term"), F.lit(origin).alias("origin"), sum_at(i + at).alias("n"))
+        for origin, at in ((POSTS, 0), (COMMENTS, len(terms)))
+        for i, term in enumerate(terms)
+    ]
+    return counts.select(F.inline(F.array(*rows)))

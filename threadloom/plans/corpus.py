@@ -43,5 +43,5 @@ def publish_corpus(records: DataFrame, filters: Filters, path: str, order: Order
     staged = scratch_dir(spark, "survivors")
     apply_funnel(records, filters, order).write.parquet(staged)
     survivors = spark.read.parquet(staged)
-    write_corpus(to_posts(survivors), to_comments(survivors, keep_study=True), path, mode=mode)
+    write_corpus(to_posts(survivors), to_comments(survivors, keep_study=True), path, mode=mode, compact=True)
     return funnel_audit(records, filters, order=order)

@@ -13,8 +13,9 @@ from threadloom.functions.urls import post_id
 from threadloom.operators import explore, funnel, graph, numeric, report, search
 from threadloom.operators.pages import CommentFields, PageFields, extract_links, page_comments, page_fields
 from threadloom.operators.texts import corpus_texts
-from threadloom.params import Analysis, Filters
+from threadloom.params import Analysis, Filters, StudyProfile
 from threadloom.plans import tables
+from threadloom.plans.collect import collect_records
 from threadloom.plans.corpus import build_corpus, publish_corpus
 from threadloom.plans.report import report_table
 from threadloom.session import scratch_dir
@@ -372,6 +373,24 @@ def page_comments_query(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.posexplode("comments").alias("spot", "c")).select("page_id", "spot", "c.author", "c.upvotes")
 
 
+@query("""SELECT 'd' || doc_id AS id, coalesce(source, '') AS subreddit, 'documents' AS study_id,
+  CASE WHEN lang = 'en' THEN 'language' ELSE 'source' END AS keyword_group,
+  CASE WHEN lang = 'en' THEN 'en' ELSE coalesce(source, '') END AS keyword,
+  'Post ' || doc_id || ' & more' AS title, 'u' || doc_id AS author,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(lang, '') || 'é’s ' || coalesce(source, '') END AS body,
+  CAST(coalesce(n_chars, 0) AS BIGINT) AS upvotes, CAST(doc_id AS BIGINT) AS comment_count, 'at ' || doc_id AS stamp,
+  CASE doc_id % 3 WHEN 0 THEN 'Ann' || doc_id || ':' || coalesce(source, '') || ':7' WHEN 1 THEN 'Cy:' || coalesce(lang, '') || '!:1500' ELSE 'Di::0' END AS comments
+FROM documents""")
+def collect_records_query(spark: SparkSession, sf: str) -> DataFrame:
+    profile = StudyProfile("documents", "Documents", ("all",), {"all": ("any",)})
+    records = collect_records(tables.document_hits(spark, sf), tables.spread(tables.document_pages(spark, sf)), profile)
+    written = F.transform("comments", lambda c: F.concat_ws(":", c["author"], c["body"], c["upvotes"].cast("string")))
+    return records.select(
+        "id", "subreddit", "study_id", "keyword_group", "keyword", "title", "author", "body", "upvotes", "comment_count",
+        F.col("timestamp").alias("stamp"), F.array_join(written, "|").alias("comments"),
+    )
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber
     WHEN 1 THEN CAST(trunc(CAST(CAST(q AS VARCHAR) || '.' || l_linenumber AS DOUBLE) * 1000) AS BIGINT)
     WHEN 2 THEN CAST(trunc(CAST(CAST(q AS VARCHAR) || '.35' AS DOUBLE) * 1000000) AS BIGINT)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import check_patterns, literal_count, matches
-from threadloom.operators.report import bar, ranked_terms, top_discussions
-from threadloom.operators.texts import COMMENTS, POSTS, TERMS_PER_PASS, corpus_texts, count_terms, total
+from threadloom.operators.report import bar, top_discussions
+from threadloom.operators.texts import COMMENTS, POSTS, corpus_texts, sum_at, tally
 from threadloom.params import Analysis
 
 
@@ -41,21 +41,17 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
     texts = corpus_texts(posts, comments, "coalesce", lowercase=False, carry=["is_creator_suspect"])
     text, origin = F.col("text"), F.col("origin")
     terms = analysis.vocabulary_terms
-    inline_terms = terms if len(terms) <= TERMS_PER_PASS else ()
 
     tallies = {}
     for name, pattern in (("tactics", analysis.tactics_pattern), ("theories", analysis.theories_pattern)):
         for side in (POSTS, COMMENTS):
-            tallies[f"{name} {side}"] = F.count_if((origin == side) & matches(text, pattern))
-    counted = texts.agg(
-        F.count_if(origin == POSTS).alias(POSTS),
-        F.count_if(origin == COMMENTS).alias(COMMENTS),
-        F.count_if("is_creator_suspect").alias("creators"),
-        *[col.alias(key) for key, col in tallies.items()],
-        *[total(literal_count(text, t)).alias(f"term{i}") for i, t in enumerate(inline_terms)],
-    )
+            tallies[f"{name} {side}"] = (origin == side) & matches(text, pattern)
+    flags = {POSTS: origin == POSTS, COMMENTS: origin == COMMENTS, "creators": F.col("is_creator_suspect"), **tallies}
+    counters = {name: F.when(flag, F.lit(1)) for name, flag in flags.items()}
+    counters |= {f"term{i}": literal_count(text, t) for i, t in enumerate(terms)}
+    counted = tally(texts, list(counters.values())).select(*[sum_at(i).alias(name) for i, name in enumerate(counters)])
     vocabulary = F.array(
-        *[F.struct((-F.col(f"term{i}")).alias("less"), F.lit(i).alias("at"), F.lit(t).alias("term")) for i, t in enumerate(inline_terms)]
+        *[F.struct((-F.col(f"term{i}")).alias("less"), F.lit(i).alias("at"), F.lit(t).alias("term")) for i, t in enumerate(terms)]
     )
     ranked = F.transform(
         F.slice(F.array_sort(vocabulary), 1, top_terms),
@@ -68,10 +64,7 @@ def report_table(posts: DataFrame, comments: DataFrame, analysis: Analysis = Ana
         *_fixed(TOTALS, (POSTS, F.col(POSTS)), (COMMENTS, F.col(COMMENTS))),
         *_fixed(MATCHES, *[(key, F.col(key)) for key in tallies]),
     )
-    parts = [counted.select(F.inline_outer(F.concat(fixed, ranked) if inline_terms else fixed))]
-    if not inline_terms:
-        long_list = ranked_terms(count_terms(texts, terms), top_terms)
-        parts.append(long_list.select(*_line(VOCABULARY, F.col("rank"), F.col("term"), F.col("n"))))
+    parts = [counted.select(F.inline_outer(F.concat(fixed, ranked) if terms else fixed))]
 
     sizes = posts.groupBy(F.coalesce("Subreddit", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     # One row per community of the study, so ranking them in one task is cheap.

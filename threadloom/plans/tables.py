@@ -122,3 +122,45 @@ def order_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("pos"),
         (F.col("o_orderstatus") != "F").alias("extracted"),
     )
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A captured page per document: nested and empty elements, entities, unquoted attributes, each comment layout in turn."""
+    doc, lang, source = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    layout = F.pmod("doc_id", F.lit(3))
+
+    def markup(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+
+    body = markup('<div data-testid="post-rtjson-content"><div><p>', lang, "&eacute;&#8217;s</p></div><p>", source, "</p></div>")
+    comments = (
+        F.when(layout == 0, markup(
+            '<shreddit-comment><a href="/user/a">Ann', doc, '</a><div slot="comment"><p>', source, "</p></div><faceplate-number>7</faceplate-number>",
+            "</shreddit-comment><shreddit-comment></shreddit-comment>",
+        ))
+        .when(layout == 1, markup('<div class="Comment top"><a href="/user/c">Cy</a><div class="md"><div><p>', lang, '!</p></div></div><b class="score">1.5k</b></div>'))
+        .otherwise(F.lit('<div data-testid="comment"><a href="/user/d">Di</a></div>'))
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"),
+        markup("https://forum.example/r/", source, "/comments/d", doc, "/x").alias("url"),
+        markup(
+            "<html><body><h1>Post ", doc, " &amp; more</h1><a href=\"/user/u", doc, "/\">who</a>",
+            F.when(layout == 0, F.lit('<div slot="text-body"></div>')).otherwise(body),
+            '<faceplate-number pretty="">', F.coalesce(F.col("n_chars").cast("string"), F.lit("0")), "</faceplate-number>",
+            "<span data-testid=comment-count>", doc, "</span><time datetime=\"at ", doc, "\">then</time>", comments, "<p>footer</p></body></html>",
+        ).alias("html"),
+    )
+
+
+def document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches that find the pages: every one by its source, English ones earlier too, and before all a link that was not captured."""
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "lang", F.coalesce("source", F.lit("")).alias("source"))
+
+    def hit(group: str, keyword: Column, sub_ord: int, link: Column) -> Column:
+        return F.struct(F.lit(group).alias("keyword_group"), keyword.alias("keyword"), F.lit(sub_ord).alias("sub_ord"), F.lit(0).alias("kw_ord"), link.alias("link"))
+
+    url = F.concat(F.lit("https://forum.example/r/"), "source", F.lit("/comments/d"), F.col("pos").cast("string"), F.lit("/x"))
+    every = F.array(hit("lost", F.col("source"), 0, F.concat(url, F.lit("/other"))), hit("source", F.col("source"), 2, url))
+    english = F.array(hit("language", F.col("lang"), 1, url))
+    return known.select(F.col("source").alias("subreddit"), "pos", F.inline(F.when(F.col("lang") == "en", F.concat(every, english)).otherwise(every)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.text import empty_if_null, null_if_empty
-from threadloom.operators.keyed import Order, first_per_key, is_blank
+from threadloom.operators.keyed import Order, as_columns, first_per_key, is_blank
 from threadloom.schema import COMMENTS_COLUMNS, POSITION, POSTS_COLUMNS
 
 STUDY = "Study_ID"
@@ -51,17 +51,17 @@ def normalize_nulls(df: DataFrame, mode: str) -> DataFrame:
 def append_new(incoming: DataFrame, stored: DataFrame, key: str = "id", order: Order = POSITION, small_incoming: bool = False) -> DataFrame:
     """Incoming rows to add: unseen ids, first copy only, and every row whose id is null or empty.
 
-    Copies are reduced before the join, which then reuses their partitioning, and the stored side is
-    cut down to ids that occur in the incoming rows. With ``small_incoming``, set only by a caller
-    that has measured the batch, those ids are broadcast and the stored ids are never shuffled.
+    Incoming rows are read and shuffled once: a row without an id is ranked under its own place, so it
+    competes with none and such rows spread over all tasks. Copies are reduced before the join, which
+    reuses the partitioning of that ranking. With ``small_incoming``, set only by a caller that has
+    measured the batch, its ids are broadcast and the stored ids are never shuffled whole.
     """
-    keyed = incoming.where(~is_blank(key))
-    wanted = keyed.select(key).distinct()
+    place = F.to_json(F.struct(*as_columns(order)))
+    slot = F.when(is_blank(key), F.concat(F.lit("place "), place)).otherwise(F.concat(F.lit("id "), F.col(key)))
     known = stored.where(~is_blank(key)).select(key)
     if small_incoming:
-        seen = known.join(F.broadcast(wanted), key, "left_semi").distinct()
-    else:
-        # Distinct first: an id stored many times is folded inside its tasks, not shuffled whole.
-        seen = known.distinct().join(wanted, key, "left_semi")
-    fresh = first_per_key(keyed, key, order).join(seen, key, "left_anti")
-    return fresh.select(*incoming.columns).unionByName(incoming.where(is_blank(key)))
+        known = known.join(F.broadcast(incoming.where(~is_blank(key)).select(key).distinct()), key, "left_semi")
+    # Distinct first: an id stored many times is folded inside its tasks, not shuffled whole.
+    seen = known.select(F.concat(F.lit("id "), F.col(key)).alias("_slot")).distinct()
+    fresh = first_per_key(incoming.withColumn("_slot", slot), "_slot", order).join(seen, "_slot", "left_anti")
+    return fresh.select(*incoming.columns)
