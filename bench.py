@@ -31,6 +31,9 @@ HEADLINES = [
     "append_new",
     "read_records",
     "page_fields",
+    "page_comments",
+    "collect_records",
+    "append_new_stream",
 ]
 
 
