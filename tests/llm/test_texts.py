@@ -184,6 +184,18 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert all(r["doc_id"] == r["class_id"] for r in got if r["is_first"])
 
 
+def test_empty_blocks_add_no_links(spark, monkeypatch):
+    """Long texts make more blocks than a component fills."""
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 30)
+    rng = random.Random(12)
+    rows = []
+    for _ in range(30):
+        base = words(rng, 80, 3000).split()
+        rows += [(len(rows) + k, " ".join([*base, f"end{k}"])) for k in range(2)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (i - i % 2, 1) for i, _ in rows}
+
+
 def test_near_duplicates_on_edge_rows(edge_docs, edge_rows, no_docs):
     _, group, sets = brute_near([(i, t) for i, t, *_ in edge_rows])
     got = jaccard.near_duplicates(edge_docs).collect()

@@ -121,18 +121,18 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(profile, "doc_id long, t1 long, t2 long, k1 long, k2 long, grams long, bands array<long>")
 
 
-def _compare(rows: list[tuple], threshold: float, checks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def _compare(rows: list[tuple], same: bool, threshold: float, checks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Links within one block pair: (vertex, texts it is linked to, least vertex it hangs together with).
 
-    ``rows``: (vertex, texts, block, n-gram set). Pairs within a block are left to the block paired with itself.
+    ``rows``: (vertex, texts, block, n-gram set). Pairs within a block are left to the block paired with itself, which is
+    told by ``same``: the other block of a pair may be empty.
     """
     rows = list({r[0]: r for r in rows}.values())
     blocks = np.array([r[2] for r in rows])
     left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
-    same = blocks.min() == blocks.max()
     sets = [r[3] for r in rows]
     size = np.array([len(s) for s in sets], np.int64)
-    if len(rows) < 2:
+    if len(rows) < 2 or same != (blocks.min() == blocks.max()):
         return []
     signatures = min_hashes(sets)
     agree = (signatures[left][:, None, :STEP] == signatures[right][None, :, :STEP]).sum(2)
@@ -254,14 +254,14 @@ def classify(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
             for root, p, q, *rest, grams in batch.itertuples(index=False):
                 if (root, p, q) != key:
                     if held:
-                        out += _compare(held, threshold, checks)
+                        out += _compare(held, key[1] == key[2], threshold, checks)
                     key, held = (root, p, q), []
                 held.append((*rest, np.frombuffer(grams, np.uint64)))
             if out:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         if held:
-            yield pd.DataFrame(_compare(held, threshold, checks), columns=names)
+            yield pd.DataFrame(_compare(held, key[1] == key[2], threshold, checks), columns=names)
 
     # Sorted runs of one block pair follow each other, so a task takes many small ones without a call for each.
     grouped = pairs.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
