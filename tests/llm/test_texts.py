@@ -102,6 +102,33 @@ def test_passages_within_the_rate_are_found_and_clean_documents_left(spark):
     assert {r["doc_id"] for r in kept} == set(range(300)) - {i for i, _ in want}
 
 
+def test_copies_without_three_whole_words_are_found():
+    """At every rate up to the largest one, with random edits and with a letter changed in every third word."""
+    rng = random.Random(21)
+    items = [(k, words(rng, rng.randrange(12, 50), 5000)) for k in range(30)]
+    index = decontaminate.ItemIndex(items, 0.2)
+    for rate in (0.1, 0.15, 0.2, None):
+        texts = []
+        for _, text in items:
+            if rate is None:
+                copy = " ".join(w if n % 3 else "#" + w[1:] for n, w in enumerate(text.split()))
+            else:
+                copy = edits(rng, text, int(rate * len(text)))
+            texts.append(f"{words(rng, 60, 5000)} {copy} {words(rng, 60, 5000)}")
+        found = {(d, i) for d, i, *_ in index.find(texts)}
+        assert {(k, k) for k in range(30)} <= found
+
+
+def test_search_of_many_is_the_search_of_each():
+    rng = random.Random(22)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 150))), "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 200)))) for _ in range(300)]
+    best = [decontaminate.best_part(p, t)[0] for p, t in pairs]
+    for more in (-1, 0):
+        codes = [[decontaminate._codes(x) for x in xs] for xs in zip(*pairs, strict=True)]
+        limits = decontaminate.np.array(best) + more
+        assert decontaminate.within(*codes, limits).tolist() == [more == 0] * len(pairs)
+
+
 def test_passages_on_edge_rows(spark, edge_docs, edge_rows, no_docs):
     bench = spark.createDataFrame([(1, "line b line c"), (2, "one"), (1, "line b line c")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(edge_docs, bench).collect()}

@@ -1,38 +1,32 @@
-"""Passages of benchmark items in documents, found through the CGK embedding.
+"""Passages of benchmark items in documents, found through pieces that edits must leave whole.
 
-CGK walks along a string and, at each step, writes the character it stands on and moves on or stays, as a random
-bit of step and character says. Strings that need few edits soon walk in step again, so edit distance becomes
-Hamming distance. Bit-sampling then compares a few random steps at a time: a window and an item are candidates
-if all steps of at least one sample agree. Both are repeated, walks because a single one may fail to fall in
-step again, samples until edited copies of the items, at the largest allowed distance, are missed no more often
-than the wanted recall allows. Candidates are verified exactly with the bit-parallel edit distance.
+An item of length L may have k = ``max_rate`` * L edits, and each edit breaks at most one of its disjoint pieces.
+So of m pieces at least m - k occur unchanged in every copy, and the places where the copy would begin by them lie
+within k of each other, as no more can be inserted and deleted before any of them. A stretch of text in which
+that many pieces of an item are found so close together is a candidate; no copy within the rate is missed. Pieces
+are chosen as rare as the benchmark's own counts tell, ``SPARE`` more than k where the item is long enough.
+Candidates are verified exactly with the bit-parallel edit distance, many at a time.
 
-Windows have the size of the item and are laid where document and item share ``ANCHOR`` consecutive words, at
-the offset of those words in the item. Texts are compared in lower case with white space as one space.
+Texts are compared in lower case with white space as one space.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import repeat, takewhile
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATE = 0.2  # edits allowed for each character of an item
-ANCHOR = 3
-RECALL = 0.999
-SAMPLE = 4  # steps that must agree at once
-WALKS = 8
-TRIALS = 400
+PIECE = 4  # characters of a piece, fewer in items too short for it
+SPARE = 8
+BATCH = 2048
 SLICE_CHARS = 16_000_000
-_PAD = 0
-
+_CHUNK = 1_000_000
+_MARKS = 1 << 20
+_HELD = 4_000_000
 
 def _search(pattern: str, text: str) -> tuple[int, int]:
     """Least edit distance between the pattern and any part of the text, and where the first such part ends."""
@@ -62,157 +56,221 @@ def best_part(pattern: str, text: str, limit: int | None = None) -> tuple[int, i
     return distance, end - length, end
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    """Whether each text, as codes, has a part within ``limits`` edits of its pattern; patterns are not empty."""
+    out = np.zeros(len(patterns), bool)
+    order = np.lexsort(([len(t) for t in texts], [-(-len(p) // 64) for p in patterns])) if len(patterns) else []
+    for at in range(0, len(order), BATCH):
+        rows = order[at : at + BATCH]
+        out[rows] = _within([patterns[r] for r in rows], [texts[r] for r in rows], limits[rows])
+    return out
+
+
+def _within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
+    n, size = len(patterns), np.array([len(p) for p in patterns])
+    width, length = int(-(-size.max() // 64)), max(map(len, texts))
+    chars = np.unique(np.concatenate(patterns))
+    table = np.full((length, n), len(chars), np.int64)  # the last code: in no pattern
+    for k, t in enumerate(texts):
+        place = np.minimum(np.searchsorted(chars, t), len(chars) - 1)
+        table[: len(t), k] = np.where(chars[place] == t, place, len(chars))
+    own: dict[int, int] = {}
+    which = np.array([own.setdefault(id(p), len(own)) for p in patterns])
+    firsts = np.unique(which, return_index=True)[1]
+    masks = np.zeros((width, len(own) * (len(chars) + 1)), np.uint64)
+    for k, first in enumerate(firsts):
+        i = np.arange(size[first])
+        np.bitwise_or.at(masks, (i // 64, k * (len(chars) + 1) + np.searchsorted(chars, patterns[first])), np.uint64(1) << (i % 64).astype(np.uint64))
+    base = which * (len(chars) + 1)
+    one, high = np.uint64(1), np.uint64(63)
+    plus, minus = np.full((width, n), ~np.uint64(0)), np.zeros((width, n), np.uint64)
+    last, bit = (size - 1) // 64, ((size - 1) % 64).astype(np.uint64)
+    score, best, every = size.copy(), size.copy(), np.arange(n)
+    for step in range(length):
+        at = base + table[step]
+        carry, up_in, down_in = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        ups, downs = np.empty((width, n), np.uint64), np.empty((width, n), np.uint64)
+        for w in range(width):
+            eq, p, m = masks[w][at], plus[w], minus[w]
+            both = eq & p
+            part = both + p
+            total = part + carry
+            carry = ((part < p) | (total < part)).astype(np.uint64)
+            diagonal = (total ^ p) | eq | m
+            up, down = m | ~(diagonal | p), p & diagonal
+            ups[w], downs[w] = up, down
+            up_next, down_next = up >> high, down >> high
+            up, down = up << one | up_in, down << one | down_in
+            up_in, down_in = up_next, down_next
+            plus[w], minus[w] = down | ~(diagonal | up), up & diagonal
+        score += (ups[last, every] >> bit & one).astype(np.int64) - (downs[last, every] >> bit & one).astype(np.int64)
+        np.minimum(best, score, out=best)
+    return best <= limits
+
+
 class ItemIndex:
     """Everything about a slice of the benchmark that tasks need; made on the driver, sent with the task."""
 
-    def __init__(self, items: list[tuple[int, str]], max_rate: float, recall: float, seed: int):
-        self.max_rate, self.seed = max_rate, seed
-        kept = [(i, words) for i, text in items if (words := (text or "").lower().split())]
+    def __init__(self, items: list[tuple[int, str]], max_rate: float):
+        kept = [(i, " ".join(words)) for i, text in items if (words := (text or "").lower().split())]
         self.ids = [i for i, _ in kept]
-        self.words = [w for _, w in kept]
-        self.texts = [" ".join(w) for w in self.words]
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws), 1)}
-        self.anchors = {}
-        for size in {min(ANCHOR, len(w)) for w in self.words}:
-            grams, item, offset = [], [], []
-            for k, ws in enumerate(self.words):
-                if min(ANCHOR, len(ws)) == size:
-                    codes = np.array([self.vocabulary[w] for w in ws], np.int64)
-                    here = self._grams(codes, size)
-                    grams.append(here)
-                    item += [k] * len(here)
-                    offset += range(len(here))
-            grams = np.concatenate(grams)
-            order = np.argsort(grams, kind="stable")
-            self.anchors[size] = grams[order], np.array(item)[order], np.array(offset)[order]
-        self.reach = max(map(len, self.texts), default=0)
-        self.samples = self._samples(recall) if self.texts else 0
+        self.texts = [t for _, t in kept]
+        self.codes = [_codes(t) for t in self.texts]
+        self.size = np.array([len(c) for c in self.codes], np.int64)
+        self.limit = np.array([int(max_rate * n) for n in self.size], np.int64)
+        self.alphabet = np.unique(np.concatenate(self.codes)) if kept else np.zeros(0, np.uint32)
+        self.place = np.full(0x110000, -1, np.int32)
+        self.place[self.alphabet] = np.arange(len(self.alphabet))
+        self.piece = np.minimum(PIECE, self.size // (self.limit + 1))  # 0: as many edits as characters, so anything may fit
+        self.need = np.zeros(len(kept), np.int64)
+        self.pieces = {}
+        for size in sorted(set(self.piece.tolist()) - {0}):
+            own = np.flatnonzero(self.piece == size)
+            grams = [self._grams(self.codes[k], size) for k in own]
+            _, back, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+            rare = np.split(counts[back].astype(float), np.cumsum([len(g) for g in grams])[:-1])
+            picked = [self._pick(f, size, int(self.size[k]), int(self.limit[k])) for f, k in zip(rare, own, strict=True)]
+            self.need[own] = [len(at) - self.limit[k] for at, k in zip(picked, own, strict=True)]
+            gram = np.concatenate([g[at] for g, at in zip(grams, picked, strict=True)])
+            order = np.argsort(gram, kind="stable")
+            item = np.repeat(own, [len(at) for at in picked])
+            seen = np.zeros(_MARKS, bool)
+            seen[self._mark(gram)] = True
+            self.pieces[size] = gram[order], item[order], np.concatenate(picked)[order], seen
+
+    @staticmethod
+    def _mark(grams: np.ndarray) -> np.ndarray:
+        return (grams * 0x9E3779B97F4A7C1 >> 20) & _MARKS - 1
+
+    @staticmethod
+    def _pick(often: np.ndarray, size: int, length: int, limit: int) -> np.ndarray:
+        """Where the disjoint pieces begin that occur least often in all, ``SPARE`` more than the limit if there is room."""
+        n = min(length // size, limit + SPARE)
+        least = np.full((length + 1, n + 1), np.inf)
+        least[:, 0] = 0
+        taken = np.zeros((length + 1, n + 1), bool)
+        for end in range(size, length + 1):
+            least[end] = least[end - 1]
+            cost = least[end - size, :-1] + often[end - size]
+            better = cost < least[end, 1:]
+            least[end, 1:][better] = cost[better]
+            taken[end, 1:] = better
+        at, end = [], length
+        while n:
+            if taken[end, n]:
+                end, n = end - size, n - 1
+                at.append(end)
+            else:
+                end -= 1
+        return np.array(at[::-1], np.int64)
 
     def _grams(self, codes: np.ndarray, size: int) -> np.ndarray:
-        """One number for each run of ``size`` known words; 0 if a word of it is unknown."""
-        base, n = len(self.vocabulary) + 1, len(codes) - size + 1
-        if n < 1:
-            return np.zeros(0, np.int64)
-        gram, known = np.zeros(n, np.int64), np.ones(n, bool)
+        """One number for each run of ``size`` characters; -1 if no item has one of them."""
+        place = self.place[codes].astype(np.int64)
+        known = place >= 0
+        n = max(0, len(codes) - size + 1)
+        gram, fine = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(size):
-            gram = gram * base + codes[k : k + n]
-            known &= codes[k : k + n] > 0
-        return np.where(known, gram, 0)
-
-    @cached_property
-    def _moves(self) -> np.ndarray:
-        return np.random.default_rng(self.seed).integers(0, 2, (WALKS, 3 * self.reach, 256), np.uint8)
-
-    @cached_property
-    def _sampled(self) -> np.ndarray:
-        """Steps of each sample, as fractions of the walk that still stands inside the item."""
-        return np.random.default_rng(self.seed + 1).random((WALKS, self.samples, SAMPLE))
-
-    def embed(self, texts: list[str], walk: int) -> tuple[np.ndarray, np.ndarray]:
-        """What a walk along each text writes, and after how many steps it has left the text."""
-        codes = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") % 255 + 1 for t in texts]
-        width = max(map(len, codes)) + 1
-        table = np.full((len(texts), width), _PAD, np.uint8)
-        for k, code in enumerate(codes):
-            table[k, : len(code)] = code
-        at, rows = np.zeros(len(texts), np.int64), np.arange(len(texts))
-        out = np.empty((len(texts), 3 * self.reach), np.uint8)
-        for step in range(3 * self.reach):
-            c = table[rows, at]
-            out[:, step] = c
-            at = np.minimum(at + self._moves[walk, step][c], width - 1)
-        return out, (out != _PAD).sum(1)
-
-    @cached_property
-    def _items(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [self.embed(self.texts, walk) for walk in range(WALKS)]
-
-    def _samples(self, recall: float) -> int:
-        """Samples of each walk that reach the recall on copies with as many edits as are allowed."""
-        rng = random.Random(self.seed)
-        some = [t for t in self.texts if len(t) > 1]
-        if not some or not self.max_rate:
-            return 1
-        some = [rng.choice(some) for _ in range(TRIALS)]
-        edited = []
-        for t in some:
-            chars = list(t)
-            for _ in range(int(self.max_rate * len(t))):
-                k, what = rng.randrange(len(chars)), rng.random()
-                chars[k : k + (what > 1 / 3)] = rng.choice(t) if what < 2 / 3 else ""
-                chars = chars or [" "]
-            edited.append("".join(chars))
-        missed = np.zeros(len(some))  # log of the chance that no sample agrees, for one sample of each walk
-        for walk in range(WALKS):
-            (a, n), (b, _) = self.embed(some, walk), self.embed([e[: self.reach] for e in edited], walk)
-            inside = np.arange(a.shape[1]) < n[:, None]
-            missed += np.log1p(-np.minimum(((a == b) & inside).sum(1) / n, 0.99) ** SAMPLE)
-        samples = 1
-        while np.exp(missed * samples).mean() > 1 - recall and samples < 4096:
-            samples *= 2
-        return samples
-
-    def candidates(self, windows: list[str], items: np.ndarray) -> np.ndarray:
-        """Whether each window agrees with its item in all steps of some sample of some walk."""
-        hit = np.zeros(len(windows), bool)
-        for walk, (walks, steps) in enumerate(self._items):
-            left = np.flatnonzero(~hit)
-            for at in range(0, len(left), 512):
-                rows = left[at : at + 512]
-                some = items[rows]
-                own, _ = self.embed([windows[k][: self.reach] for k in rows], walk)
-                picked = (self._sampled[walk] * steps[some][:, None, None]).astype(np.int64)
-                flat = picked.reshape(len(some), -1)
-                same = np.take_along_axis(own, flat, 1) == np.take_along_axis(walks[some], flat, 1)
-                hit[rows] = same.reshape(picked.shape).all(2).any(1)
-        return hit
+            gram = gram << 15 ^ place[k : k + n] if len(self.alphabet) <= 1 << 15 else gram * 1_000_003 + place[k : k + n]
+            fine &= known[k : k + n]
+        return np.where(fine, gram & (1 << 62) - 1, -1)
+
+    def windows(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, begin, end): parts of a text that hold all copies of the item; those of one item are apart."""
+        out = [(int(k), 0, len(codes)) for k in np.flatnonzero(self.piece == 0)]
+        for size, (grams, item, offset, seen) in self.pieces.items():
+            step, reach = _CHUNK, int((self.size + 2 * self.limit).max())
+            found = []
+            for begin in range(0, max(1, len(codes)), step):  # bounded hits at a time; a copy lies whole in one part
+                here = self._grams(codes[begin : begin + step + reach], size)
+                at = np.flatnonzero(seen[self._mark(here)] & (here >= 0))
+                low = np.searchsorted(grams, here[at], "left")
+                count = np.searchsorted(grams, here[at], "right") - low
+                at, low, count = at[count > 0], low[count > 0], count[count > 0]
+                pick = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                # Item and where it would begin; the shift keeps the latter above zero.
+                key = item[pick] << 32 | np.repeat(at, count) - offset[pick] + reach
+                key.sort()
+                who = key >> 32
+                last = np.arange(len(key)) + self.need[who] - 1
+                fits = last < len(key)
+                fits[fits] = key[last[fits]] - key[fits] <= self.limit[who[fits]]
+                # Difference within the limit and below 2^32 - reach: the same item.
+                first, last = np.flatnonzero(fits), last[fits]
+                base = begin - reach
+                found += zip(who[first].tolist(), ((key[first] & 0xFFFFFFFF) + base).tolist(), ((key[last] & 0xFFFFFFFF) + base).tolist(), strict=True)
+            merged: list[list[int]] = []
+            for k, a, b in sorted(found):
+                # The copy begins within the limit of each piece's place and may be longer than the item by it.
+                a, b = max(0, a - int(self.limit[k])), min(len(codes), b + int(self.size[k] + 2 * self.limit[k]))
+                if merged and merged[-1][0] == k and a <= merged[-1][2]:
+                    merged[-1][2] = max(b, merged[-1][2])
+                else:
+                    merged.append([k, a, b])
+            out += [(k, a, b) for k, a, b in merged if a < b]
+        return out
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, distance, first word, word after the last) of every passage, each once."""
         if not self.ids:
             return []
-        docs = [(t or "").lower().split() for t in texts]
-        gap = [0] * ANCHOR
-        codes = np.fromiter((c for d in docs for part in (map(self.vocabulary.get, d, repeat(0)), gap) for c in part), np.int64)
-        starts = np.cumsum([0] + [len(d) + ANCHOR for d in docs])
-        found: set[tuple[int, int, int]] = set()
-        for size, (grams, item, offset) in self.anchors.items():
-            here = self._grams(codes, size)
-            at = np.flatnonzero(here)
-            low = np.searchsorted(grams, here[at], "left")
-            count = np.searchsorted(grams, here[at], "right") - low
-            at, low, count = at[count > 0], low[count > 0], count[count > 0]
-            pick = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            doc = np.repeat(np.searchsorted(starts, at, "right") - 1, count)
-            begin = np.repeat(at - starts[np.searchsorted(starts, at, "right") - 1], count) - offset[pick]
-            found.update(zip(doc.tolist(), item[pick].tolist(), begin.tolist(), strict=True))
-        pairs = sorted(found)
-        windows = [" ".join(docs[d][max(0, s) : max(0, s + len(self.words[i]))]) for d, i, s in pairs]
-        hits = self.candidates(windows, np.array([i for _, i, _ in pairs], np.int64)) if pairs else []
-        spans: set[tuple[int, int, int, int, int]] = set()
-        for (d, i, s), hit in zip(pairs, hits, strict=True):
-            if not hit:
-                continue
-            limit = int(self.max_rate * len(self.texts[i]))
-            slack = len(self.words[i]) // 4 + 1
-            low = max(0, s - slack)
-            part = docs[d][low : max(0, s + len(self.words[i]) + slack)]
-            distance, a, b = best_part(self.texts[i], " ".join(part), limit)
+        out: list[tuple[int, int, int, int, int]] = []
+        held: list[tuple[int, str, np.ndarray, int, int, int]] = []
+        size = 0
+        for d, text in enumerate(texts):
+            plain = " ".join((text or "").lower().split())
+            codes = _codes(plain)
+            own = self.windows(codes)
+            held += ((d, plain, codes, k, a, b) for k, a, b in own)
+            size += sum(b - a for _, a, b in own)
+            if size >= _HELD or d == len(texts) - 1:
+                out += self._verified(held)
+                held, size = [], 0
+        return sorted(out)
+
+    def _verified(self, windows: list[tuple[int, str, np.ndarray, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        # Long windows in parts of like length, which overlap by the longest copy.
+        parts = []
+        for n, (_, _, _, k, a, b) in enumerate(windows):
+            longest = int(self.size[k] + self.limit[k])
+            parts += ((n, x, min(b, x + 2 * longest)) for x in range(a, max(a + 1, b - longest), longest))
+        items = np.array([windows[n][3] for n, _, _ in parts], np.int64)
+        hits = within([self.codes[k] for k in items], [windows[n][2][x:y] for n, x, y in parts], self.limit[items])
+        joined: list[list[int]] = []
+        for (n, x, y), hit in zip(parts, hits, strict=True):
+            if hit and joined and joined[-1][0] == n and x <= joined[-1][2]:
+                joined[-1][2] = y
+            elif hit:
+                joined.append([n, x, y])
+        for n, x, y in joined:
+            d, plain, _, k, _, _ = windows[n]
+            yield from ((d, self.ids[k], *passage) for passage in self._passages(plain, k, x, y))
+
+    def _passages(self, text: str, k: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        """The nearest passage of a window, and those on either side of it."""
+        todo = [(low, high)]
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+        spans: list[tuple[int, int]] = []
+        limit = int(self.limit[k])
+        while todo:
+            low, high = todo.pop()
+            distance, a, b = best_part(self.texts[k], text[low:high], limit)
             if distance > limit or b <= a:
                 continue
-            ends = np.cumsum([len(w) + 1 for w in part])
-            first, after = low + int(np.searchsorted(ends, a, "right")), low + int(np.searchsorted(ends, b - 1, "right")) + 1
-            spans.add((d, i, distance, first, after))
-        # Windows laid a little apart see the same passage; of spans that overlap the nearest one counts.
-        out: list[tuple[int, int, int, int, int]] = []
-        for d, i, n, a, b in sorted(spans):
-            same = reversed(out)
-            if not any(a < y and x < b for e, j, _, x, y in takewhile(lambda o, k=(d, i): o[:2] == k, same)):
-                out.append((d, i, n, a, b))
-        return [(d, self.ids[i], n, a, b) for d, i, n, a, b in out]
+            a, b = a + low, b + low
+            first, after = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1
+            # Passages that share a word are one, the nearest.
+            if not any(first < y and x < after for x, y in spans):
+                spans.append((first, after))
+                yield distance, first, after
+            todo += [(low, a), (b, high)]
 
 
-def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, seed: int = 7, slice_chars: int = SLICE_CHARS) -> Iterator[ItemIndex]:
+def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, slice_chars: int = SLICE_CHARS) -> Iterator[ItemIndex]:
     """The benchmark in slices of about ``slice_chars`` characters, one after the other.
 
     Rows without an id or without words are no items. Equal rows count once.
@@ -222,7 +280,7 @@ def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float
     n = max(1, -(-total // slice_chars))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield ItemIndex(sorted((r["item_id"], r["text"]) for r in rows), max_rate, recall, seed)
+        yield ItemIndex(sorted((r["item_id"], r["text"]) for r in rows), max_rate)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
