@@ -186,6 +186,20 @@ def test_scores_equal_brute_force(spark, monkeypatch, nodes):
 
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 40])
+def test_rare_contexts_stay_in_the_model_of_a_larger_corpus(spark, monkeypatch, sent):
+    monkeypatch.setattr(ppm, "SENT", sent, raising=False)
+    rng = random.Random(16)
+    rows = [(1, "the same line again. " * 60_000), (2, "a Rare name: Xaver Żółw 你好")]
+    rows += [(i, "".join(rng.choice("abcdéXŻ ") for _ in range(40))) for i in range(3, 40)]
+    got = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") < 30).collect()
+    model = BrutePPM([t.encode() for i, t in rows if i < 30], 1)
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] > 1:
+            assert r["score"] == pytest.approx(model.log10(dict(rows)[r["doc_id"]].encode()), rel=1e-9)
+
+
 def test_scores_on_edge_rows(edge_docs, edge_rows, no_docs):
     got = ppm.lm_scores(edge_docs).collect()
     assert len(got) == len(edge_rows) and all(r["score"] < 0 and r["base_score"] < 0 and r["n_known"] == r["n_tokens"] for r in got)

@@ -1,9 +1,12 @@
 """Code length of texts under prediction by partial matching over bytes, and under a word unigram baseline.
 
 The pretrained model is a trie of byte contexts up to ``ORDER`` long. Its counts come from every byte of the
-training texts; a context, or a byte after a context, is a node of the trie if it makes up at least one in
-``NODES`` of the training bytes. So there are at most ``NODES`` nodes of each length however large the corpus,
-which bounds what is sent to the executors, and the share below is what escapes account for.
+training texts, and all of them are kept, in a written table, so the model grows with the corpus. Grams of full
+length that make up at least one in ``SENT`` of the training bytes are sent along with their logs; the distinct
+others of the documents are looked up by a shuffled join. What is asked of contexts of three bytes and more is
+decided by grams that share those three bytes, so each such group is coded on its own; the nodes of shorter
+contexts, few as UTF-8 has few sequences of three bytes, are sent along. ``NODES``, if set, leaves out contexts and
+bytes after a context that make up less than one in ``NODES`` of the training bytes.
 
 A byte is coded in the longest context of the trie that precedes it. With T occurrences of the context, n of
 them before its d child bytes, a child seen c times has probability c/(T+d), and the escape (T-n+d)/(T+d).
@@ -12,7 +15,7 @@ exclusion). Children of a context are always children of its suffixes, so what e
 of the longer context. At the end any byte is equally likely. Every text is framed by a start and ends with an
 end byte, neither of which occurs in UTF-8.
 
-The baseline needs the count of every training word. Words that make up at least one in ``NODES`` training words
+The baseline needs the count of every training word. Words that make up at least one in ``SENT`` training words
 are sent along; the others are looked up by a shuffled join, so the vocabulary may have any size. Words are
 known by 64-bit hashes.
 """
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import local, staged
 
 ORDER = 5
-NODES = 1 << 20
+NODES: int | None = None
+SENT = 1 << 20
+SHORT = 2  # contexts up to this length are sent along
+_ROWS = 1_000_000
 START, END = 0xFE, 0xFF
 _CHUNK = 4 << 20
 _KEPT = 2_000_000
@@ -126,9 +132,6 @@ class PartialMatching:
         """``nodes[n]``: byte and the n before it, with count; ``contexts[n]``: n bytes, with the bytes that follow."""
         self.nodes, self.contexts = nodes, contexts
 
-    def __getstate__(self):
-        return {"nodes": self.nodes, "contexts": self.contexts}
-
     @cached_property
     def _tables(self):
         index = {n: pd.Index(keys) for n, (keys, _) in self.nodes.items()}
@@ -146,27 +149,8 @@ class PartialMatching:
             facts[n] = total.astype(float), inside, d.astype(float), shorter
         return index, where, facts
 
-    @cached_property
-    def _direct(self) -> tuple[pd.Index, np.ndarray]:
-        """Log probability of the nodes of full length, which most bytes are."""
-        index, where, facts = self._tables
-        nodes, counts = self.nodes[ORDER]
-        own = where[ORDER].get_indexer(nodes & ((1 << 8 * ORDER) - 1))
-        total, _, d, _ = facts[ORDER]
-        return index[ORDER], np.log10(counts / (total + d)[own])
-
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the byte in each of ``grams``."""
-        index, logs = self._direct
-        at = index.get_indexer(keys)
-        out = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)
-        rest = np.flatnonzero(at < 0)
-        if len(rest):
-            unique, back = np.unique(keys[rest], return_inverse=True)
-            out[rest] = self._walk(unique)[back]
-        return out
-
-    def _walk(self, keys: np.ndarray) -> np.ndarray:
+        """Log probability of the byte in each of ``grams``, which are distinct."""
         index, where, facts = self._tables
         out = np.zeros(len(keys))
         open_ = np.arange(len(keys))
@@ -196,27 +180,67 @@ class PartialMatching:
         return out
 
 
-def _masked(n: int) -> tuple[Column, Column]:
-    """Of a full gram: the byte with n before it, and the n before it alone."""
-    part = F.shiftright("key", 8 * (ORDER - n))
-    return part, part.bitwiseAND(F.lit((1 << 8 * n) - 1))
+def _level(keys: np.ndarray, counts: np.ndarray, size: int, n: int, least: int) -> tuple[tuple, tuple]:
+    """Nodes and contexts of length n, with counts, from all nodes of length ``size`` that bear on them."""
+    nodes = _sum([keys >> (8 * (size - n))], [counts])
+    contexts = _sum([nodes[0] & ((1 << 8 * n) - 1)], [nodes[1]])
+    return tuple((k[c >= least], c[c >= least]) for k, c in (nodes, contexts))
 
 
-def fit_corpus(texts: DataFrame) -> tuple[PartialMatching, DataFrame]:
-    """The trie, and a table of words (key, n), both over every row of ``texts`` (text, not null)."""
+def fit_corpus(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (key, n) of grams of full length and of words, both over every row of ``texts`` (text, not null)."""
     counted = texts.mapInPandas(_tally, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = staged(counted, "counts")
-    full, words = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
-    bytes_ = full.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-bytes_ // NODES))
-    views = [F.struct(F.lit(2 * n + k).alias("view"), key.alias("part")) for n in range(ORDER + 1) for k, key in enumerate(_masked(n))]
-    parts = full.select("n", F.inline(F.array(*views))).groupBy("view", "part").agg(F.sum("n").alias("n"))
-    rows = local(parts.where(F.col("n") >= least)).sort_values(["view", "part"])  # at most NODES rows of each view
-    view, part, n_of = (rows[c].to_numpy(np.int64) for c in ("view", "part", "n"))
-    cuts = np.searchsorted(view, np.arange(2 * ORDER + 3))
-    tables = [(part[a:b], n_of[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    model = PartialMatching(dict(enumerate(tables[::2])), dict(enumerate(tables[1::2])))
-    return model, words
+    return counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
+
+
+def _head(full: DataFrame, bytes_: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams, sorted, and their log probabilities."""
+    often = max(least, -(-bytes_ // SENT))
+    context = F.col("key").bitwiseAND(F.lit((1 << 8 * ORDER) - 1))
+    grams = local(full.where(F.col("n") >= often)).sort_values("key")  # at most SENT rows
+    facts = full.groupBy(context.alias("key")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= least).alias("d"))
+    facts = local(facts.where(F.col("n") >= often)).sort_values("key")  # the contexts of those grams, and at most SENT rows
+    keys, counts = grams["key"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
+    own = pd.Index(facts["key"].to_numpy(np.int64)).get_indexer(keys & ((1 << 8 * ORDER) - 1))
+    return keys, np.log10(counts / (facts["n"] + facts["d"]).to_numpy(np.int64)[own]) if len(keys) else np.zeros(0)
+
+
+def _gram_logs(full: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """Log probability (key, log) of the distinct grams ``asked`` (key)."""
+    short = local(full.groupBy(F.shiftright("key", 8 * (ORDER - SHORT)).alias("key")).agg(F.sum("n").alias("n")))
+    top = short["key"].to_numpy(np.int64), short["n"].to_numpy(np.int64)
+    levels = {n: _level(*top, SHORT, n, least) if len(top[0]) else ((np.zeros(0, np.int64),) * 2,) * 2 for n in range(SHORT + 1)}
+    sent = full.sparkSession.sparkContext.broadcast(levels)
+    part = F.shiftright("key", 8 * (ORDER - SHORT - 1)).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    both = full.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("bigint").alias("n"))).withColumn("part", part)
+
+    def code(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        wanted = keys[counts == 0]
+        levels = dict(sent.value)
+        if len(wanted):
+            taught = counts > 0
+            for n in range(SHORT + 1, ORDER + 1):
+                levels[n] = _level(keys[taught], counts[taught], ORDER, n, least) if taught.any() else ((np.zeros(0, np.int64),) * 2,) * 2
+        model = PartialMatching({n: x[0] for n, x in levels.items()}, {n: x[1] for n, x in levels.items()})
+        return pd.DataFrame({"key": wanted, "log": model.log10(wanted) if len(wanted) else np.zeros(0)})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= _ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                open_ = rows["part"] == rows["part"].iloc[-1]
+                held, size = [rows[open_]], 0  # the last group may go on
+                if not open_.all():
+                    yield code(rows[~open_])
+        if held:
+            yield code(pd.concat(held, ignore_index=True))
+
+    return both.repartition("part").sortWithinPartitions("part").mapInPandas(walk, "key long, log double")
 
 
 def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
@@ -228,16 +252,20 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
     out. An empty table gives no rows.
     """
     own = docs.where(train_on) if train_on is not None else docs
-    model, words = fit_corpus(own.select(F.coalesce("text", F.lit("")).alias("text")))
+    full, words = fit_corpus(own.select(F.coalesce("text", F.lit("")).alias("text")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = math.log10(total + 0.5 * (distinct + 1))
-    often = max(1, -(-total // NODES))
-    heavy = local(words.where((F.col("n") >= often) | (F.col("key") == 0))).sort_values("key")  # at most NODES rows and the end
+    often = max(1, -(-total // SENT))
+    bytes_ = full.agg(F.sum("n")).first()[0] or 0
+    least = max(1, -(-bytes_ // NODES)) if NODES else 1
+    heavy = local(words.where((F.col("n") >= often) | (F.col("key") == 0))).sort_values("key")  # at most SENT rows and the end
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast((model, heavy["key"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64)))
+    sent = context.broadcast((_head(full, bytes_, least), heavy["key"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, keys, counts = sent.value
+        (known_grams, gram_logs), keys, counts = sent.value
+        direct = pd.Index(known_grams)
+        gram_logs = np.append(gram_logs, 0.0)  # of those looked up later
         common = pd.Index(keys)
         logs = np.append(np.log10(counts + 0.5), 0.0)
         for batch in batches:
@@ -245,8 +273,11 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
                 part = batch.iloc[low]
                 texts = [t.encode("utf-8", "replace") for t in part["text"]]
                 sizes = np.array([len(t) for t in texts])
-                bits = np.concatenate([[0.0], np.cumsum(trie.log10(grams(texts)))])
+                coded = grams(texts)
+                place = direct.get_indexer(coded)
+                bits = np.concatenate([[0.0], np.cumsum(gram_logs[place])])
                 ends = np.cumsum(sizes + 1)
+                far, far_n = _rare(np.repeat(np.arange(len(texts)), sizes + 1)[place < 0], coded[place < 0], len(texts))
                 lists = [word_hashes(t) for t in texts]
                 n = np.array([len(x) for x in lists], np.int64)
                 codes, hashes = _Hasher().many([w for x in lists for w in x])
@@ -260,11 +291,11 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
                     "doc_id": part["doc_id"].to_numpy(), "null": part["null"].to_numpy(), "n_tokens": n + 1,
                     "known": np.bincount(owner[token >= 0], minlength=len(texts)) + (end >= 0),
                     "base": np.bincount(owner, logs[token] * (token >= 0), len(texts)) + logs[end] * (end >= 0),
-                    "score": bits[ends] - bits[ends - sizes - 1], "rare": rare, "rare_n": rare_n,
+                    "score": bits[ends] - bits[ends - sizes - 1], "rare": rare, "rare_n": rare_n, "far": far, "far_n": far_n,
                 })
 
     ready = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null"), F.coalesce("text", F.lit("")).alias("text"))
-    fields = "doc_id long, null boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>"
+    fields = "doc_id long, null boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>, far array<long>, far_n array<int>"
     first = staged(ready.mapInPandas(score, fields).withColumn("row", F.monotonically_increasing_id()), "scores")
     sent.destroy()
     asked = first.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("times"))
@@ -272,7 +303,10 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
     found = asked.join(rare_words, "key").groupBy("row").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10((F.col("count") + 0.5) / 0.5)).alias("above")
     )
-    out = first.join(found, "row", "left")
+    grams_asked = first.select("row", F.explode(F.arrays_zip("far", "far_n")).alias("x")).select("row", F.col("x.far").alias("key"), F.col("x.far_n").alias("times"))
+    logs = staged(_gram_logs(full, grams_asked.select("key").distinct(), least), "logs")
+    coded = grams_asked.join(logs, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("far_score"))
+    out = first.drop("rare", "rare_n", "far", "far_n").join(found, "row", "left").join(coded, "row", "left")
     zero = F.lit(0)
     unknown = F.lit(math.log10(0.5))
     # Words sent along have their logs in base; all others start as unknown ones and gain from the join.
@@ -280,7 +314,7 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
         F.when(~F.col("null"), F.col("doc_id")).alias("doc_id"), "n_tokens", (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + (F.col("n_tokens") - F.col("known")) * unknown + F.coalesce("above", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )
 
 
