@@ -110,6 +110,15 @@ def test_append_new_keeps_blank_ids_and_adds_nothing_twice(spark):
         assert {r.id for r in again.collect()} <= {"", None}
 
 
+def test_append_new_keeps_blank_ids_with_equal_or_no_order(spark):
+    schema = "id string, at int"
+    rows = [("", 5), (None, 5), ("", 5), (None, None), ("", None), ("b", 5)]
+    incoming = spark.createDataFrame(rows, schema).repartition(3)
+    for small in (False, True):
+        fresh = append_new(incoming, incoming.limit(0), order="at", small_incoming=small)
+        assert sorted(map(tuple, fresh.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_publish_then_read_one_study(spark, tmp_path):
     comment = [("u", "text", 1)] * 3
     rows = [("1", "study_a", "t", "b", comment, 0), ("2", "007", "t", "b", comment, 1), ("2", "007", "late", "b", comment, 2)]

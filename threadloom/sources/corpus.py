@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.text import empty_if_null, null_if_empty
-from threadloom.operators.keyed import Order, as_columns, first_per_key, is_blank
+from threadloom.operators.keyed import Order, first_per_key, is_blank
 from threadloom.schema import COMMENTS_COLUMNS, POSITION, POSTS_COLUMNS
 
 STUDY = "Study_ID"
@@ -51,13 +51,13 @@ def normalize_nulls(df: DataFrame, mode: str) -> DataFrame:
 def append_new(incoming: DataFrame, stored: DataFrame, key: str = "id", order: Order = POSITION, small_incoming: bool = False) -> DataFrame:
     """Incoming rows to add: unseen ids, first copy only, and every row whose id is null or empty.
 
-    Incoming rows are read and shuffled once: a row without an id is ranked under its own place, so it
-    competes with none and such rows spread over all tasks. Copies are reduced before the join, which
+    Incoming rows are read and shuffled once: a row without an id is ranked under a number of its own, so it
+    competes with none, whatever its order values, and such rows spread over all tasks. Copies are reduced before the join, which
     reuses the partitioning of that ranking. With ``small_incoming``, set only by a caller that has
     measured the batch, its ids are broadcast and the stored ids are never shuffled whole.
     """
-    place = F.to_json(F.struct(*as_columns(order)))
-    slot = F.when(is_blank(key), F.concat(F.lit("place "), place)).otherwise(F.concat(F.lit("id "), F.col(key)))
+    number = F.monotonically_increasing_id().cast("string")
+    slot = F.when(is_blank(key), F.concat(F.lit("row "), number)).otherwise(F.concat(F.lit("id "), F.col(key)))
     known = stored.where(~is_blank(key)).select(key)
     if small_incoming:
         known = known.join(F.broadcast(incoming.where(~is_blank(key)).select(key).distinct()), key, "left_semi")
