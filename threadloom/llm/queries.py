@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import decontaminate, jaccard, language, lines, neighbours, packing, ppm, quality, tokens, urls
+from threadloom.llm import audit, decontaminate, jaccard, language, lines, neighbours, packing, ppm, quality, resample, token_counts, tokens, urls
 from threadloom.llm.common import in_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +75,28 @@ def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each step of each order of five filters does to the documents of every source."""
+    return audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokens.tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's likeness to the benchmark and whether it is drawn."""
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_token_output, op3_line_dedup, op4_decontamination, op5_quality_classifier,
         op6_url_filter, op7_language_id, op8_lm_scoring, op9_nearest_neighbours, op10_ngram_jaccard,
+        op11_filter_audit, op12_token_counts, op13_importance_resampling,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -99,6 +116,40 @@ SELECT d.doc_id,
   CAST(coalesce(len(ps), 0) AS INTEGER) AS n_removed
 FROM d LEFT JOIN g USING (doc_id)"""
 
-SQL: dict[str, str] = {"op3_line_dedup": _LINE_SQL}
+_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (
+  SELECT part, doc_id,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+  FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT v.letter || w.letter || x.letter || y.letter || z.letter AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM k v, k w, k x, k y, k z WHERE v.bit + w.bit + x.bit + y.bit + z.bit = 31 AND v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS gone
+  FROM o, range(1, 6) r(step)),
+x AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (bit | gone) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & gone = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & gone <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & gone = 0 AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & gone = 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM x"""
+
+SQL: dict[str, str] = {"op3_line_dedup": _LINE_SQL, "op11_filter_audit": _AUDIT_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
