@@ -19,7 +19,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import staged, text_key
@@ -97,7 +97,7 @@ def failures(text: Column) -> Column:
 
 
 def masked_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, part, mask of every row, and k1, k2 that stand for its text; written once, because it is read twice.
+    """doc_id, part, mask of every row, and k1, k2 that stand for its text; written once, so that no lost task cuts texts again.
 
     A null source is the empty string. The mask has the filter of repeated texts not yet.
     """
@@ -110,24 +110,33 @@ def masked_documents(docs: DataFrame) -> DataFrame:
 def count_masks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask, good, toxic, n: the documents of every part by all five filters and by label.
 
-    A text is repeated if a smaller id has the same one; a row without an id neither is a copy nor makes one. Only
-    texts that occur more than once are joined back. Several labels of one id count if any says 1; an id without
+    A text is repeated if a smaller id has the same one; a row without an id neither is a copy nor makes one. Equal
+    texts have equal masks, so copies are counted by text, part and label before they meet, and a text that a third
+    of all rows hold reaches its task as a few rows. Several labels of one id count if any says 1; an id without
     label, and a row without id, is neither good nor toxic.
     """
-    repeated = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     )
     known = known.where("good OR toxic").withColumn("salt", F.lit(0).cast("bigint"))
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    found = rows.join(repeated, ["k1", "k2"], "left").select(
-        "part", (F.col("mask") + F.when(copy, 1 << (len(LETTERS) - 1)).otherwise(0)).alias("mask"),
-        # Rows without an id have no label; a number of their own spreads them over the tasks.
-        F.coalesce("doc_id", F.lit(0)).alias("id"), F.when(F.col("doc_id").isNull(), F.col("k1").bitwiseOR(1)).otherwise(0).alias("salt"),
-    )
-    labelled = found.join(known, ["id", "salt"], "left")
+    # Rows without an id have no label; a number that is never 0 spreads them over the tasks.
+    salt = F.when(F.col("doc_id").isNull(), F.col("k1").bitwiseOR(1)).otherwise(0)
+    labelled = rows.select("k1", "k2", "part", "mask", F.coalesce("doc_id", F.lit(0)).alias("id"), salt.alias("salt")).join(known, ["id", "salt"], "left")
+    alike = ["k1", "k2", "part", "mask", "good", "toxic"]
     no = F.lit(False)
-    return labelled.groupBy("part", "mask", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
+    per_id = labelled.withColumns({"good": F.coalesce("good", no), "toxic": F.coalesce("toxic", no)}).groupBy("id", "salt", *alike).agg(F.count(F.lit(1)).alias("c"))
+    own = F.when(F.col("salt") == 0, F.col("id"))
+    groups = per_id.groupBy(*alike).agg(
+        F.sum("c").alias("n"), F.sum(F.when(F.col("salt") == 0, F.col("c"))).alias("ids"), F.min(own).alias("first"), F.min_by("c", own).alias("firsts")
+    )
+    leads = F.col("first") == F.min("first").over(Window.partitionBy("k1", "k2"))
+    split = groups.withColumn("copies", F.coalesce(F.col("ids") - F.when(leads, F.col("firsts")).otherwise(0), F.lit(0)))
+    either = F.array(
+        F.struct(F.col("mask").alias("mask"), (F.col("n") - F.col("copies")).alias("n")),
+        F.struct((F.col("mask") + (1 << (len(LETTERS) - 1))).alias("mask"), F.col("copies").alias("n")),
+    )
+    counted = split.select("part", "good", "toxic", F.inline(either)).where("n > 0")
+    return counted.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
 
 
 def step_counts(counts: DataFrame, letters: Sequence[str] = LETTERS) -> DataFrame:
