@@ -1,6 +1,11 @@
+import random
+import timeit
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
-from threadloom.operators.pages import extract_links, page_comments, page_fields
+from threadloom.functions.html import read_elements
+from threadloom.operators.pages import extract_links, page_comments, page_elements, page_fields, page_posts
 from threadloom.params import StudyProfile
 from threadloom.plans.collect import collect_records
 
@@ -115,3 +120,81 @@ def test_a_comment_ends_with_its_element(spark):
     reply = """<div class="Comment"><a href="/user/a">A</a><div class="Comment"><a href="/user/b">B</a><div class=md><p>reply</p></div></div></div>"""
     got = [tuple(c) for c in page_comments(pages(spark, ("u", reply)), 20).first().comments]
     assert got == [("A", "reply", 0), ("B", "reply", 0)]
+
+
+class Reference(HTMLParser):
+    """Elements by the standard library's parser, for pages whose tags are balanced."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.starts = [0]
+        for line in html.split("\n"):
+            self.starts.append(self.starts[-1] + len(line) + 1)
+        self.rows, self.open = [], []
+        self.feed(html)
+
+    def place(self):
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        text = self.get_starttag_text()
+        parent = self.open[-1] if self.open else -1
+        self.rows.append([tag, text, len(self.rows), self.place(), self.place() + len(text), None, None, len(self.open), parent])
+        self.open.append(len(self.rows) - 1)
+
+    def handle_endtag(self, tag):
+        row = self.rows[self.open.pop()]
+        row[5], row[6] = self.place(), len(self.rows)
+
+
+def balanced(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(4)):
+        parts.append(rng.choice(["text ", "a > b ", "\n", "&amp;", "é🎉"]))
+        if depth < 6:
+            name = rng.choice(["div", "b", "DIV", "x-y", "h1"])
+            attribute = rng.choice(["", ' class="a b"', " data-x='q>r'", " bare"])
+            parts.append(f"<{name}{attribute}>{balanced(rng, depth + 1)}</{name}>")
+    return "".join(parts)
+
+
+def test_element_table_equals_a_parser():
+    rng = random.Random(4)
+    for _ in range(200):
+        html = balanced(rng)
+        assert read_elements(html) == [tuple(r) for r in Reference(html).rows]
+
+
+def test_unbalanced_elements():
+    def ends(html):
+        return [(r[0], html[r[4] : r[5]], r[6], r[7], r[8]) for r in read_elements(html)]
+
+    assert ends("<p>a<p>b</p>c") == [("p", "a", 1, 0, -1), ("p", "b", 2, 0, -1)]
+    assert ends("</b><b>x<i>y</b>z") == [("b", "x<i>y", 2, 0, -1), ("i", "y</b>z", 2, 1, 0)]
+    assert [r[1] for r in read_elements("<a href='x <b>")] == ["", "<b>"]
+    assert read_elements("") == read_elements("< a> <1> <a") == []
+
+
+def test_work_grows_with_the_page():
+    def seconds(html):
+        return min(timeit.repeat(lambda: read_elements(html), number=3, repeat=3))
+
+    block = "<div class=c><p>text<p>more<b>x</b></div>"
+    assert seconds(block * 4_000) < 8 * seconds(block * 1_000)
+    deep = "<div>" * 2_000
+    assert len(read_elements(deep * 4)) == 8_000 and seconds(deep * 4) < 8 * seconds(deep)
+
+
+def test_a_page_is_read_once(spark):
+    read = page_posts(pages(spark, ("https://www.reddit.com/r/Sub/comments/abc/t", POST % SHREDDIT)), 20)
+    shown = read.select("id", F.explode("comments").alias("c")).select("id", "c.author")
+    assert [tuple(r) for r in shown.collect()] == [("abc", "Ann"), ("abc", "Bob"), ("abc", "")]
+    assert shown._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_element_rows(spark):
+    rows = page_elements(pages(spark, ("u", "<!-- <i> --><div id=1><b>x</b></div>"), ("v", None), ("w", ""))).collect()
+    assert [(r.page_id, r.url, r.name, r.tag, r.pos, r.depth, r.parent) for r in rows] == [(0, "u", "div", "<div id=1>", 0, 0, -1), (0, "u", "b", "<b>", 1, 1, 0)]
+    assert page_fields(pages(spark, ("v", None))).first().title == ""
+    assert page_comments(pages(spark, ("v", None)), 5).first().comments == []

@@ -1,19 +1,25 @@
-"""Reading fields out of captured HTML with built-in expressions.
+"""Reading fields out of captured HTML.
 
-An element is found by its opening tag. Its content is what stands before the closing tag that balances it:
-the text is cut at the tags of that name, and a fold over the pieces counts how many are open. Searches within
+A page is read once, tag by tag, into its element table: every opening tag with the places where its element's
+content begins and ends. That pass needs a stack, which built-in expressions could only copy at every step, so it
+is a short function over Arrow batches. All selectors are then built-in expressions over the table: an element is
+found by its opening tag, its content is what stands before the closing tag that balances it, and searches within
 a container see its content alone. An element that is never closed reaches to the end of what is searched.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.text import stripped
 
@@ -27,9 +33,17 @@ NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(
 ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8});"
 UNKNOWN = "\ufffd"
 TAG_END = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+TAG = re.compile(rf"<(/?)([a-z][\w-]*)(?=[\s/>])(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>))?", re.ASCII | re.IGNORECASE)
 # Fixed value: an open paragraph ends where the next one begins.
 UNNESTED = "p"
 
+# One row of a page's element table. Places count characters from 0; ``pos`` is the element's number, ``after`` the
+# number of the first element that begins behind it, ``parent`` the number of the innermost element around it or -1.
+ELEMENT = T.StructType(
+    [T.StructField("name", T.StringType()), T.StructField("tag", T.StringType())]
+    + [T.StructField(n, T.IntegerType()) for n in ("pos", "at", "inner", "close", "after", "depth", "parent")]
+)
+
 
 def visible(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
@@ -110,74 +124,89 @@ def with_class(name: str) -> str:
     return rf"[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"']|{name}(?=[\s>]))"
 
 
-def elements(html: Column, opening: str, most: int | None = None) -> Column:
-    """Elements in document order, each as ``at`` (place of its tag), ``tag`` and balanced ``content``."""
-    start = rf"(?is)(?=<(?={opening})[a-z])"
-    pieces = F.split(html, start)
-    nothing = F.array().cast("array<int>")
-    # Places of the cuts; a first piece that is no element counts only towards them.
-    places = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), nothing.alias("all")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.when(piece.rlike(rf"(?is)^<(?={opening})[a-z]"), F.array_append(acc["all"], acc["at"])).otherwise(acc["all"]).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-    chosen = places if most is None else F.slice(places, 1, most)
-    return F.transform(chosen, lambda at: let(F.substring(html, at + 1, F.length(html)), lambda rest: _balanced(at, rest)))
-
-
-def _balanced(at: Column, rest: Column) -> Column:
-    """The element that ``rest`` begins with."""
-    tag = F.regexp_extract(rest, rf"(?is)^<[a-z]{TAG_END}", 0)
-    name = F.lower(F.regexp_extract(tag, r"(?i)^<([a-z][\w-]*)", 1))
-
-    def cut(tag: Column, name: Column) -> Column:
-        after = F.substring(rest, F.length(tag) + 1, F.length(rest))
-        pieces = F.split(after, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?=[\s/>]))")))
-        opens = lambda p: p.rlike(r"(?is)^<[a-z]") & (F.lower(F.regexp_extract(p, r"(?i)^<([a-z][\w-]*)", 1)) == name)
-        closes = lambda p: p.startswith("</") & (F.lower(F.regexp_extract(p, r"(?i)^</([a-z][\w-]*)", 1)) == name)
-        step = lambda p: F.when(closes(p), -1).when(opens(p), F.when(name == UNNESTED, -1).otherwise(1)).otherwise(0)
-        length = F.aggregate(
-            pieces,
-            F.struct(F.lit(1).alias("open"), F.lit(0).alias("n")),
-            lambda acc, p: let(
-                F.when(acc["open"] > 0, acc["open"] + step(p)).otherwise(F.lit(0)),
-                lambda still: F.struct(still.alias("open"), F.when(still > 0, acc["n"] + F.length(p)).otherwise(acc["n"]).alias("n")),
-            ),
-            lambda acc: acc["n"],
-        )
-        return F.struct(at.alias("at"), tag.alias("tag"), F.substring(after, F.lit(1), length).alias("content"))
-
-    return let(tag, lambda t: let(name, lambda n: cut(t, n)))
-
-
-def _found(html: Column, selector: Selector) -> Column:
-    """The first element a selector finds, as an array of ``at`` and ``got`` that is empty without one."""
+def read_elements(html: str) -> list[tuple]:
+    """The element table of one page, in document order. One pass over the tags, one over the elements."""
+    rows: list[list] = []
+    open_of: dict[str, list[list]] = {}
+    for m in TAG.finditer(html):
+        name, at = m[2].lower(), m.start()
+        still = open_of.setdefault(name, [])
+        if still and (m[1] or name == UNNESTED):
+            still.pop()[5] = at
+        if not m[1]:
+            # A tag that is cut off opens its element, but no selector can read it.
+            rows.append([name, m[0] if m[3] else "", len(rows), at, m.end(), len(html), 0, 0, -1])
+            still.append(rows[-1])
+    starts = [row[3] for row in rows]
+    around: list[list] = []
+    for row in rows:
+        while around and around[-1][5] <= row[3]:
+            around.pop()
+        row[6], row[7], row[8] = bisect_left(starts, row[5], row[2] + 1), len(around), around[-1][2] if around else -1
+        around.append(row)
+    return [tuple(row) for row in rows]
+
+
+def _element_tables(pages: pa.Array) -> pa.Array:
+    columns: list[list] = [[] for _ in ELEMENT]
+    offsets = [0]
+    for page in pages:
+        for row in read_elements(page.as_py() or ""):
+            for column, value in zip(columns, row):
+                column.append(value)
+        offsets.append(len(columns[0]))
+    kinds = [pa.string(), pa.string(), *[pa.int32()] * (len(ELEMENT) - 2)]
+    values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=ELEMENT.fieldNames())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def element_table(html: Column) -> Column:
+    """All elements of a page as an array; see ``ELEMENT``. A null page has none."""
+    return F.arrow_udf(_element_tables, T.ArrayType(ELEMENT))(html)
+
+
+def elements(table: Column, opening: str) -> Column:
+    """The elements whose opening tag fits, in document order."""
+    return F.filter(table, lambda e: e["tag"].rlike(rf"(?is)^<(?={opening})[a-z]"))
+
+
+def within(table: Column, containers: Column, opening: str) -> Column:
+    """The elements that fit and begin in one of the containers' contents; none reaches out of its container."""
+
+    def holds(c: Column, e: Column) -> Column:
+        return (c["inner"] <= e["at"]) & (e["at"] < c["close"])
+
+    def found(containers: Column) -> Column:
+        inside = F.filter(elements(table, opening), lambda e: F.exists(containers, lambda c: holds(c, e)))
+        ends = lambda e: F.transform(F.filter(containers, lambda c: holds(c, e)), lambda c: c["close"])
+        return F.transform(inside, lambda e: e.withField("close", F.least(e["close"], F.array_min(ends(e)))))
+
+    return let(containers, found)
+
+
+def _found(table: Column, selector: Selector) -> Column:
+    """The first element a selector finds, as an array that is empty without one; ``value`` is its attribute."""
     outer, *inner = selector.path
-    if not inner:
-        hits = elements(html, outer, 1)
-        if selector.attribute:
-            value = rf"(?is)\s{selector.attribute}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-            return F.transform(hits, lambda e: F.struct(e["at"].alias("at"), F.regexp_extract(e["tag"], value, 1).alias("got")))
-        return F.transform(hits, lambda e: F.struct(e["at"].alias("at"), e["content"].alias("got")))
-    within = F.transform(
-        elements(html, outer),
-        lambda e: F.transform(
-            _found(e["content"], Selector(tuple(inner), selector.attribute)),
-            lambda hit: F.struct((e["at"] + F.length(e["tag"]) + hit["at"]).alias("at"), hit["got"].alias("got")),
-        ),
-    )
-    return F.flatten(within)
-
-
-def first_match(html: Column, selectors: Sequence[Selector]) -> Column:
-    """What the selector that matches earliest in the document finds; null without a match."""
-    return F.array_min(F.concat(*[_found(html, s) for s in selectors]))["got"]
-
-
-def contents(html: Column, opening: str, most: int) -> Column:
-    """The contents of the first elements that fit."""
-    return F.transform(elements(html, opening, most), lambda e: e["content"])
+    hits = elements(table, outer)
+    for opening in inner:
+        hits = within(table, hits, opening)
+    if selector.attribute:
+        pattern = rf"(?is)\s{selector.attribute}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+        value = lambda e: F.regexp_extract(e["tag"], pattern, 1)
+    else:
+        value = lambda e: F.lit(None).cast("string")
+    return F.transform(F.slice(hits, 1, 1), lambda e: F.struct(e["at"], e["inner"], e["close"], value(e).alias("value")))
+
+
+def first_match(html: Column, table: Column, selectors: Sequence[Selector], base: Column | int = 0, end: Column | None = None) -> Column:
+    """What the selector that matches earliest finds; null without a match.
+
+    ``html`` may be a part of the page that begins at ``base`` and ends at ``end``, with ``table`` holding the
+    elements of that part.
+    """
+
+    def content(e: Column) -> Column:
+        close = e["close"] if end is None else F.least(e["close"], end)
+        return F.coalesce(e["value"], F.substring(html, e["inner"] - base + 1, close - e["inner"]))
+
+    return let(F.array_min(F.concat(*[_found(table, s) for s in selectors])), content)

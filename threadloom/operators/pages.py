@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +13,14 @@ from threadloom.functions.html import (
     ANCHOR_HREF,
     Selector,
     attribute,
-    contents,
     element,
+    element_table,
+    elements,
     first_match,
     having,
     inner_text,
     inside,
+    let,
     unescape,
     unquoted,
     visible,
@@ -69,12 +70,13 @@ class CommentFields:
     score: tuple[Selector, ...] = (element(r"faceplate-number\b"), element(with_class("score")), element(having("data-testid", "comment-score")))
 
 
-def _text(html: Column, selectors: tuple[Selector, ...]) -> Column:
-    return F.coalesce(inner_text(first_match(html, selectors)), F.lit(""))
+def _texts(found: list[Column]) -> Column:
+    """Fragments as an array of plain texts, empty where nothing was found."""
+    return F.transform(F.array(*found), lambda f: F.coalesce(inner_text(f), F.lit("")))
 
 
-def _attribute(html: Column, selectors: tuple[Selector, ...]) -> Column:
-    return F.coalesce(stripped(unescape(unquoted(first_match(html, selectors)))), F.lit(""))
+def _attributes(found: list[Column]) -> Column:
+    return F.transform(F.array(*found), lambda f: F.coalesce(stripped(unescape(unquoted(f))), F.lit("")))
 
 
 def extract_links(
@@ -99,44 +101,88 @@ def extract_links(
     return matching.select(*kept, "pos", urls.link_without_query(F.col("href")).alias("link"))
 
 
-def page_fields(pages: DataFrame, layout: PageFields = PageFields()) -> DataFrame:
-    """Post fields of every page; what a page lacks is empty text or 0."""
-    html = F.col("_html")
+def _read(pages: DataFrame) -> DataFrame:
+    """Pages with their visible HTML and its element table, both computed once for everything that is asked of them."""
     kept = [c for c in pages.columns if c != "html"]
-    user = F.regexp_replace(_attribute(html, layout.author), "^/+|/+$", "")
-    # The HTML is cleaned once in its own projection; six fields read it.
-    return pages.select(*kept, visible(F.col("html")).alias("_html")).select(
-        *kept,
+    shown = pages.select(*kept, visible(F.col("html")).alias("_html"))
+    return shown.withColumn("_elements", element_table(F.col("_html")))
+
+
+def _fields(layout: PageFields) -> dict[str, Column]:
+    """The texts and attributes of a read page, before they get their types."""
+
+    def first(selectors: tuple[Selector, ...]) -> Column:
+        return first_match(F.col("_html"), F.col("_elements"), selectors)
+
+    texts = _texts([first(s) for s in (layout.title, layout.body, layout.votes, layout.comment_count)])
+    return {"_texts": texts, "_attributes": _attributes([first(s) for s in (layout.author, layout.timestamp)])}
+
+
+def _typed_fields() -> list[Column]:
+    texts, attributes = F.col("_texts"), F.col("_attributes")
+    user = F.regexp_replace(attributes[0], "^/+|/+$", "")
+    return [
         F.coalesce(urls.post_id(F.col("url")), F.lit("")).alias("id"),
-        _text(html, layout.title).alias("title"),
+        texts[0].alias("title"),
         F.element_at(F.split(user, "/"), -1).alias("author"),
-        _text(html, layout.body).alias("body"),
-        parse_count(_text(html, layout.votes)).alias("upvotes"),
-        parse_count(_text(html, layout.comment_count)).alias("comment_count"),
-        _attribute(html, layout.timestamp).alias("timestamp"),
-    )
+        texts[1].alias("body"),
+        parse_count(texts[2]).alias("upvotes"),
+        parse_count(texts[3]).alias("comment_count"),
+        attributes[1].alias("timestamp"),
+    ]
+
+
+def _comments(layout: CommentFields, max_comments: int) -> Column:
+    """The first container kind that occurs is used; of its elements the first ``max_comments`` count."""
+    html, table = F.col("_html"), F.col("_elements")
+    kinds = F.filter(F.array(*[elements(table, c) for c in layout.containers]), lambda found: F.size(found) > 0)
+    chosen = F.slice(F.coalesce(F.get(kinds, F.lit(0)), F.slice(table, 1, 0)), 1, max_comments)
+
+    def comment(c: Column) -> Column:
+        own = F.slice(table, c["pos"] + 2, c["after"] - c["pos"] - 1)
+        part = F.substring(html, c["inner"] + 1, c["close"] - c["inner"])
+
+        def read(part: Column, own: Column) -> Column:
+            found = [first_match(part, own, s, c["inner"], c["close"]) for s in (layout.author, layout.body, layout.score)]
+            return let(_texts(found), lambda t: F.struct(t[0].alias("author"), t[1].alias("body"), parse_count(t[2]).alias("upvotes")))
+
+        return let(part, lambda p: let(own, lambda o: read(p, o)))
+
+    return F.filter(F.transform(chosen, comment), lambda c: (c["author"] != "") | (c["body"] != ""))
+
+
+def _once(value: Column) -> Column:
+    """A value behind a generator: the filter that Spark infers for a later explode would compute it a second time."""
+    return F.explode(F.array(value))
+
+
+def page_fields(pages: DataFrame, layout: PageFields = PageFields()) -> DataFrame:
+    """Post fields of every page; what a page lacks is empty text or 0."""
+    kept = [c for c in pages.columns if c != "html"]
+    return _read(pages).select(*kept, *[v.alias(n) for n, v in _fields(layout).items()]).select(*kept, *_typed_fields())
 
 
 def page_comments(pages: DataFrame, max_comments: int, layout: CommentFields = CommentFields()) -> DataFrame:
-    """Pages with their ``comments`` array.
+    """Pages with their ``comments`` array; comments with neither author nor body are dropped after the limit."""
+    kept = [c for c in pages.columns if c != "html"]
+    return _read(pages).select(*kept, _once(_comments(layout, max_comments)).alias("comments"))
 
-    The first container kind that occurs is used; of its elements the first ``max_comments`` count,
-    and only then those with neither author nor body are dropped.
-    """
-    html = F.col("_html")
+
+def page_posts(
+    pages: DataFrame, max_comments: int, fields: PageFields = PageFields(), comments: CommentFields = CommentFields()
+) -> DataFrame:
+    """Fields and comments of every page from one reading of its HTML."""
     kept = [c for c in pages.columns if c != "html"]
-    # An empty list of contents may come from a limit of 0, so what counts is whether the container occurs.
-    pieces = reduce(
-        lambda rest, c: F.when(html.rlike(rf"(?is)<(?={c})[a-z]"), contents(html, c, max_comments)).otherwise(rest),
-        reversed(layout.containers), F.array().cast("array<string>"),
-    )
+    read = [v.alias(n) for n, v in _fields(fields).items()]
+    found = _read(pages).select(*kept, *read, _once(_comments(comments, max_comments)).alias("comments"))
+    return found.select(*kept, *_typed_fields(), "comments")
 
-    def typed(piece: Column) -> Column:
-        return F.struct(
-            _text(piece, layout.author).alias("author"),
-            _text(piece, layout.body).alias("body"),
-            parse_count(_text(piece, layout.score)).alias("upvotes"),
-        )
 
-    comments = F.filter(F.transform(pieces, typed), lambda c: (c["author"] != "") | (c["body"] != ""))
-    return pages.select(*kept, visible(F.col("html")).alias("_html")).select(*kept, comments.alias("comments"))
+def page_elements(pages: DataFrame) -> DataFrame:
+    """The element table of every page, one row per element, next to the page's own columns but its HTML.
+
+    name, tag (as written), pos (from 0), at, inner and close (places of the tag, of the content and of its end in
+    the page without comments, scripts and styles), after (pos of the first element behind it), depth, parent.
+    """
+    kept = [c for c in pages.columns if c != "html"]
+    return _read(pages).select(*kept, F.inline("_elements"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import urls
 from threadloom.operators.keyed import first_per_key
-from threadloom.operators.pages import page_comments, page_fields
+from threadloom.operators.pages import page_posts
 from threadloom.operators.search import attribute_first_search
 from threadloom.params import StudyProfile
 from threadloom.schema import RECORD_SCHEMA
@@ -28,6 +28,5 @@ def collect_records(hits: DataFrame, pages: DataFrame, profile: StudyProfile) ->
     credited = attribute_first_search(tried.withColumn("extracted", F.coalesce("extracted", F.lit(False))))
     posts = credited.select("subreddit", "keyword_group", "keyword", F.col("link").alias("url")).join(captured, "url")
     posts = posts.join(pages.select("page_id", "html"), "page_id")
-    parsed = page_comments(posts.withColumn("_source", F.col("html")), profile.search.max_comments_per_post)
-    full = page_fields(parsed.withColumnRenamed("_source", "html"))
+    full = page_posts(posts, profile.search.max_comments_per_post)
     return stamp_study(full, profile.study_id, profile.theme_label).select(*RECORD_SCHEMA.fieldNames())
