@@ -1,25 +1,21 @@
-"""Reading fields out of captured HTML.
+"""Reading fields out of captured HTML with built-in expressions.
 
-A page is read once, tag by tag, into its element table: every opening tag with the places where its element's
-content begins and ends. That pass needs a stack, which built-in expressions could only copy at every step, so it
-is a short function over Arrow batches. All selectors are then built-in expressions over the table: an element is
-found by its opening tag, its content is what stands before the closing tag that balances it, and searches within
-a container see its content alone. An element that is never closed reaches to the end of what is searched.
+A page is cut once into tokens, and its tags are listed once with their names and places. All selectors are
+expressions over that list: an element is found by its opening tag, its content is what stands before the closing
+tag that balances it, and searches within a container see its content alone. An element that is never closed
+reaches to the end of what is searched. Only elements that a selector asks for are balanced, each by one fold over
+the later tags of its name, so work grows with the page's length times the elements asked for.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from html.entities import html5
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.functions.text import stripped
 
@@ -33,18 +29,11 @@ NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(
 ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8});"
 UNKNOWN = "\ufffd"
 TAG_END = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-TAG = re.compile(rf"<(/?)([a-z][\w-]*)(?=[\s/>])(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>))?", re.ASCII | re.IGNORECASE)
+TAG_NAME = r"</?([a-zA-Z][\w-]*+)(?=[\s/>])"
+TOKEN = rf"(?s){TAG_NAME}(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|{TAG_NAME}|[^<]++|<"
 # Fixed value: an open paragraph ends where the next one begins.
 UNNESTED = "p"
 
-# One row of a page's element table. Places count characters from 0; ``pos`` is the element's number, ``after`` the
-# number of the first element that begins behind it, ``parent`` the number of the innermost element around it or -1.
-ELEMENT = T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("tag", T.StringType())]
-    + [T.StructField(n, T.IntegerType()) for n in ("pos", "at", "inner", "close", "after", "depth", "parent")]
-)
-
-
 def visible(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
 
@@ -124,89 +113,72 @@ def with_class(name: str) -> str:
     return rf"[^>]*\sclass\s*=\s*(?:[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"']|{name}(?=[\s>]))"
 
 
-def read_elements(html: str) -> list[tuple]:
-    """The element table of one page, in document order. One pass over the tags, one over the elements."""
-    rows: list[list] = []
-    open_of: dict[str, list[list]] = {}
-    for m in TAG.finditer(html):
-        name, at = m[2].lower(), m.start()
-        still = open_of.setdefault(name, [])
-        if still and (m[1] or name == UNNESTED):
-            still.pop()[5] = at
-        if not m[1]:
-            # A tag that is cut off opens its element, but no selector can read it.
-            rows.append([name, m[0] if m[3] else "", len(rows), at, m.end(), len(html), 0, 0, -1])
-            still.append(rows[-1])
-    starts = [row[3] for row in rows]
-    around: list[list] = []
-    for row in rows:
-        while around and around[-1][5] <= row[3]:
-            around.pop()
-        row[6], row[7], row[8] = bisect_left(starts, row[5], row[2] + 1), len(around), around[-1][2] if around else -1
-        around.append(row)
-    return [tuple(row) for row in rows]
+def page_tokens(html: Column) -> Column:
+    """Tags, and what stands between them; joined they give the page again. A null page has none."""
+    return F.coalesce(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+
+
+def page_tags(tokens: Column) -> Column:
+    """The tags of a page as structs: ``name``; ``ends`` for a closing tag; ``tag`` as written, empty if it is cut off,
+    so that no selector reads it; ``at``, the number of its token."""
+
+    def tag(token: Column, at: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, f"^{TAG_NAME}", 1))
+        whole = F.when(token.endswith(">"), token).otherwise(F.lit(""))
+        return F.when(token.startswith("<"), F.struct(name.alias("name"), token.startswith("</").alias("ends"), whole.alias("tag"), at.alias("at")))
 
+    return F.filter(F.transform(tokens, tag), lambda t: t["name"] != "")
 
-def _element_tables(pages: pa.Array) -> pa.Array:
-    columns: list[list] = [[] for _ in ELEMENT]
-    offsets = [0]
-    for page in pages:
-        for row in read_elements(page.as_py() or ""):
-            for column, value in zip(columns, row):
-                column.append(value)
-        offsets.append(len(columns[0]))
-    kinds = [pa.string(), pa.string(), *[pa.int32()] * (len(ELEMENT) - 2)]
-    values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=ELEMENT.fieldNames())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
+def elements(tags: Column, opening: str) -> Column:
+    """The opening tags that fit, in document order."""
+    return F.filter(tags, lambda t: t["tag"].rlike(rf"(?is)^<(?={opening})[a-z]"))
 
-def element_table(html: Column) -> Column:
-    """All elements of a page as an array; see ``ELEMENT``. A null page has none."""
-    return F.arrow_udf(_element_tables, T.ArrayType(ELEMENT))(html)
 
+def balanced(tags: Column, opened: Column, end: Column) -> Column:
+    """The opening tags with ``close``, the token that ends their element, or ``end`` if none does."""
 
-def elements(table: Column, opening: str) -> Column:
-    """The elements whose opening tag fits, in document order."""
-    return F.filter(table, lambda e: e["tag"].rlike(rf"(?is)^<(?={opening})[a-z]"))
+    def close(e: Column) -> Column:
+        own = F.filter(tags, lambda t: (t["at"] > e["at"]) & (t["name"] == e["name"]))
+        start = F.struct(F.lit(1).alias("open"), F.lit(None).cast("int").alias("close"))
 
+        def step(acc: Column, t: Column) -> Column:
+            still = acc["open"] + F.when(t["ends"] | (t["name"] == UNNESTED), -1).otherwise(1)
+            return F.when(acc["close"].isNotNull(), acc).otherwise(F.struct(still.alias("open"), F.when(still == 0, t["at"]).alias("close")))
 
-def within(table: Column, containers: Column, opening: str) -> Column:
-    """The elements that fit and begin in one of the containers' contents; none reaches out of its container."""
+        return F.least(F.aggregate(own, start, step, lambda acc: acc["close"]), end)
 
-    def holds(c: Column, e: Column) -> Column:
-        return (c["inner"] <= e["at"]) & (e["at"] < c["close"])
+    return F.transform(opened, lambda e: e.withField("close", close(e)))
 
-    def found(containers: Column) -> Column:
-        inside = F.filter(elements(table, opening), lambda e: F.exists(containers, lambda c: holds(c, e)))
-        ends = lambda e: F.transform(F.filter(containers, lambda c: holds(c, e)), lambda c: c["close"])
-        return F.transform(inside, lambda e: e.withField("close", F.least(e["close"], F.array_min(ends(e)))))
 
-    return let(containers, found)
+def part_of(tags: Column, e: Column) -> Column:
+    """The tags in the content of a balanced element."""
+    return F.filter(tags, lambda t: (t["at"] > e["at"]) & (t["at"] < e["close"]))
 
 
-def _found(table: Column, selector: Selector) -> Column:
+def _found(tags: Column, selector: Selector, end: Column) -> Column:
     """The first element a selector finds, as an array that is empty without one; ``value`` is its attribute."""
     outer, *inner = selector.path
-    hits = elements(table, outer)
-    for opening in inner:
-        hits = within(table, hits, opening)
     if selector.attribute:
         pattern = rf"(?is)\s{selector.attribute}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-        value = lambda e: F.regexp_extract(e["tag"], pattern, 1)
-    else:
-        value = lambda e: F.lit(None).cast("string")
-    return F.transform(F.slice(hits, 1, 1), lambda e: F.struct(e["at"], e["inner"], e["close"], value(e).alias("value")))
+        hits = F.slice(elements(tags, outer), 1, 1)
+        return F.transform(hits, lambda e: F.struct(e["at"], e["at"].alias("close"), F.regexp_extract(e["tag"], pattern, 1).alias("value")))
+    if inner:
+        # Every container is searched on its own; the earliest find counts.
+        within = lambda c: let(part_of(tags, c), lambda own: _found(own, Selector(tuple(inner)), c["close"]))
+        return F.flatten(F.transform(balanced(tags, elements(tags, outer), end), within))
+    first = balanced(tags, F.slice(elements(tags, outer), 1, 1), end)
+    return F.transform(first, lambda e: F.struct(e["at"], e["close"], F.lit(None).cast("string").alias("value")))
 
 
-def first_match(html: Column, table: Column, selectors: Sequence[Selector], base: Column | int = 0, end: Column | None = None) -> Column:
+def first_match(tokens: Column, tags: Column, selectors: Sequence[Selector], end: Column | None = None) -> Column:
     """What the selector that matches earliest finds; null without a match.
 
-    ``html`` may be a part of the page that begins at ``base`` and ends at ``end``, with ``table`` holding the
-    elements of that part.
+    ``tags`` may be those of a part of the page, which ends before token ``end``.
     """
+    end = F.size(tokens) if end is None else end
 
     def content(e: Column) -> Column:
-        close = e["close"] if end is None else F.least(e["close"], end)
-        return F.coalesce(e["value"], F.substring(html, e["inner"] - base + 1, close - e["inner"]))
+        return F.coalesce(e["value"], F.array_join(F.slice(tokens, e["at"] + 2, e["close"] - e["at"] - 1), ""))
 
-    return let(F.array_min(F.concat(*[_found(table, s) for s in selectors])), content)
+    return let(F.array_min(F.concat(*[_found(tags, s, end) for s in selectors])), content)

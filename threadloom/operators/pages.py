@@ -13,14 +13,17 @@ from threadloom.functions.html import (
     ANCHOR_HREF,
     Selector,
     attribute,
+    balanced,
     element,
-    element_table,
     elements,
     first_match,
     having,
     inner_text,
     inside,
     let,
+    page_tags,
+    page_tokens,
+    part_of,
     unescape,
     unquoted,
     visible,
@@ -102,17 +105,17 @@ def extract_links(
 
 
 def _read(pages: DataFrame) -> DataFrame:
-    """Pages with their visible HTML and its element table, both computed once for everything that is asked of them."""
+    """Pages with their tokens and tags, both computed once for everything that is asked of them."""
     kept = [c for c in pages.columns if c != "html"]
-    shown = pages.select(*kept, visible(F.col("html")).alias("_html"))
-    return shown.withColumn("_elements", element_table(F.col("_html")))
+    cut = pages.select(*kept, page_tokens(visible(F.col("html"))).alias("_tokens"))
+    return cut.select(*kept, "_tokens", _once(page_tags(F.col("_tokens"))).alias("_tags"))
 
 
 def _fields(layout: PageFields) -> dict[str, Column]:
     """The texts and attributes of a read page, before they get their types."""
 
     def first(selectors: tuple[Selector, ...]) -> Column:
-        return first_match(F.col("_html"), F.col("_elements"), selectors)
+        return first_match(F.col("_tokens"), F.col("_tags"), selectors)
 
     texts = _texts([first(s) for s in (layout.title, layout.body, layout.votes, layout.comment_count)])
     return {"_texts": texts, "_attributes": _attributes([first(s) for s in (layout.author, layout.timestamp)])}
@@ -134,19 +137,17 @@ def _typed_fields() -> list[Column]:
 
 def _comments(layout: CommentFields, max_comments: int) -> Column:
     """The first container kind that occurs is used; of its elements the first ``max_comments`` count."""
-    html, table = F.col("_html"), F.col("_elements")
-    kinds = F.filter(F.array(*[elements(table, c) for c in layout.containers]), lambda found: F.size(found) > 0)
-    chosen = F.slice(F.coalesce(F.get(kinds, F.lit(0)), F.slice(table, 1, 0)), 1, max_comments)
+    tokens, tags = F.col("_tokens"), F.col("_tags")
+    kinds = F.filter(F.array(*[elements(tags, c) for c in layout.containers]), lambda found: F.size(found) > 0)
+    opened = F.slice(F.coalesce(F.get(kinds, F.lit(0)), F.slice(tags, 1, 0)), 1, max_comments)
+    chosen = balanced(tags, opened, F.size(tokens))
 
     def comment(c: Column) -> Column:
-        own = F.slice(table, c["pos"] + 2, c["after"] - c["pos"] - 1)
-        part = F.substring(html, c["inner"] + 1, c["close"] - c["inner"])
-
-        def read(part: Column, own: Column) -> Column:
-            found = [first_match(part, own, s, c["inner"], c["close"]) for s in (layout.author, layout.body, layout.score)]
+        def read(own: Column) -> Column:
+            found = [first_match(tokens, own, s, c["close"]) for s in (layout.author, layout.body, layout.score)]
             return let(_texts(found), lambda t: F.struct(t[0].alias("author"), t[1].alias("body"), parse_count(t[2]).alias("upvotes")))
 
-        return let(part, lambda p: let(own, lambda o: read(p, o)))
+        return let(part_of(tags, c), read)
 
     return F.filter(F.transform(chosen, comment), lambda c: (c["author"] != "") | (c["body"] != ""))
 
@@ -176,13 +177,3 @@ def page_posts(
     read = [v.alias(n) for n, v in _fields(fields).items()]
     found = _read(pages).select(*kept, *read, _once(_comments(comments, max_comments)).alias("comments"))
     return found.select(*kept, *_typed_fields(), "comments")
-
-
-def page_elements(pages: DataFrame) -> DataFrame:
-    """The element table of every page, one row per element, next to the page's own columns but its HTML.
-
-    name, tag (as written), pos (from 0), at, inner and close (places of the tag, of the content and of its end in
-    the page without comments, scripts and styles), after (pos of the first element behind it), depth, parent.
-    """
-    kept = [c for c in pages.columns if c != "html"]
-    return _read(pages).select(*kept, F.inline("_elements"))
