@@ -37,9 +37,9 @@ ORDER = 5
 NODES: int | None = None
 SENT = 1 << 20
 SHORT = 2  # contexts up to this length are sent along
-_ROWS = 1_000_000
+_ROWS = 400_000
 START, END = 0xFE, 0xFF
-_CHUNK = 4 << 20
+_CHUNK = 1 << 18
 _KEPT = 2_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -264,9 +264,7 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (known_grams, gram_logs), keys, counts = sent.value
-        direct = pd.Index(known_grams)
         gram_logs = np.append(gram_logs, 0.0)  # of those looked up later
-        common = pd.Index(keys)
         logs = np.append(np.log10(counts + 0.5), 0.0)
         for batch in batches:
             for low in _ranges(batch["text"]):
@@ -274,7 +272,7 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
                 texts = [t.encode("utf-8", "replace") for t in part["text"]]
                 sizes = np.array([len(t) for t in texts])
                 coded = grams(texts)
-                place = direct.get_indexer(coded)
+                place = _places(known_grams, coded)
                 bits = np.concatenate([[0.0], np.cumsum(gram_logs[place])])
                 ends = np.cumsum(sizes + 1)
                 far, far_n = _rare(np.repeat(np.arange(len(texts)), sizes + 1)[place < 0], coded[place < 0], len(texts))
@@ -282,10 +280,10 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
                 n = np.array([len(x) for x in lists], np.int64)
                 codes, hashes = _Hasher().many([w for x in lists for w in x])
                 hashes = hashes.view(np.int64)
-                at = common.get_indexer(hashes)
+                at = _places(keys, hashes)
                 owner = np.repeat(np.arange(len(texts)), n)
                 token = at[codes]
-                end = common.get_indexer(np.array([END_WORD]).view(np.int64))[0]
+                end = _places(keys, np.array([END_WORD]).view(np.int64))[0]
                 rare, rare_n = _rare(owner[token < 0], hashes[codes[token < 0]], len(texts))
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy(), "null": part["null"].to_numpy(), "n_tokens": n + 1,
@@ -318,6 +316,16 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
     )
 
 
+def _places(ordered: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each value stands among ascending distinct ones, -1 if nowhere; needs no index beside them."""
+    if not len(ordered):
+        return np.full(len(asked), -1)
+    unique, codes = np.unique(asked, return_inverse=True)
+    at = np.searchsorted(ordered, unique)
+    at[at == len(ordered)] = 0
+    return np.where(ordered[at] == unique, at, -1)[codes]
+
+
 def _ranges(texts: pd.Series) -> Iterator[slice]:
     begin, size = 0, 0
     for k, text in enumerate(texts):
