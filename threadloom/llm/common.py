@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,32 @@ def local(df: DataFrame) -> pd.DataFrame:
     return df.toArrow().to_pandas()
 
 
+def text_slices(texts: Sequence[str | None], chars: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts of a batch, about ``chars`` characters at a time, as rows and strings.
+
+    A longer text is cut into several parts, each before white space; a part without any is not cut. Nulls and
+    empty texts are left out.
+    """
+    rows: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for row, text in enumerate(texts):
+        begin, end = 0, len(text) if text else 0
+        while begin < end:
+            stop = min(begin + chars, end)
+            while stop < end and not text[stop].isspace():
+                stop += 1
+            rows.append(row)
+            parts.append(text[begin:stop] if stop - begin < end else text)
+            size += stop - begin
+            begin = stop
+            if size >= chars:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
 def in_fold(doc_id: str, folds: int) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by ``folds``; a null id does not."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == 1, F.lit(False))

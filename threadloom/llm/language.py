@@ -8,23 +8,34 @@ which nothing is known says nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import local
+from threadloom.llm.common import local, text_slices
+from threadloom.operators.keyed import first_n_per_key
 
 SAMPLE_ROWS = 2_000  # documents of each language
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.1
-CACHE_WORDS = 200_000
+CACHE_CHARS = 1_500_000  # of words kept by each worker, 8 added for each: about 100,000 words
+SLICE_CHARS = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters, lower-cased. The pattern also takes numerals that are no digits, such as ½ and Ⅷ."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
+
+
 def _grams(word: str, order: int) -> list[str]:
     framed = f" {word} " if order > 1 else word
     return [framed[i : i + order] for i in range(len(framed) - order + 1)]
@@ -56,8 +67,25 @@ class LanguageModel:
     def cache(self) -> dict[str, np.ndarray]:
         return {}
 
+    held = 0  # characters of the cached words
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "held")}
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Scores of distinct words; those asked for before come from a cache of bounded size."""
+        cache = self.cache
+        if self.held > CACHE_CHARS:
+            cache.clear()
+            self.held = 0
+        out = np.empty((len(words), len(self.langs)))
+        for k, word in enumerate(words):
+            got = cache.get(word)
+            if got is None:
+                got = cache[word] = self.word(word)
+                self.held += len(word) + 8
+            out[k] = got
+        return out
 
     def word(self, word: str) -> np.ndarray:
         """Score of one word in each language."""
@@ -74,23 +102,20 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and its share of the posterior for each text; ``und`` and 0 for a text without letters."""
         n = len(self.langs)
-        scores = np.zeros((len(texts), n))
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        if n and sizes.sum():
-            codes, unique = pd.factorize(np.array([w for ws in words for w in ws], object))
-            cache = self.cache
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for w in unique:
-                if w not in cache:
-                    cache[w] = self.word(w)
-            table = np.array([cache[w] for w in unique], np.float64)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            for k in range(n):
-                scores[:, k] = np.bincount(owner, table[codes, k], len(texts))
         if not n:
             return ["und"] * len(texts), np.zeros(len(texts))
+        scores = np.zeros((len(texts), n))
+        sizes = np.zeros(len(texts), np.int64)
+        for rows, parts in text_slices(texts, SLICE_CHARS):
+            found = [_words(part) for part in parts]
+            number = np.array([len(w) for w in found], np.int64)
+            np.add.at(sizes, rows, number)
+            if number.sum():
+                codes, unique = pd.factorize(np.array([w for ws in found for w in ws], object))
+                table = self._scores(unique.tolist())
+                owner = np.repeat(np.array(rows), number)
+                for k in range(n):
+                    scores[:, k] += np.bincount(owner, table[codes, k], len(texts))
         # A text's evidence counts as that of a few words, so that long texts don't all score 1.
         shift = (scores - scores.max(1, keepdims=True)) / np.maximum(1, sizes / 8)[:, None]
         share = np.exp(shift) / np.exp(shift).sum(1, keepdims=True)
@@ -106,15 +131,19 @@ def fit_languages(docs: DataFrame, train_on: Column | None = None, sample_rows:
     """
     own = docs.where(train_on) if train_on is not None else docs
     own = own.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).dropna(subset=["lang", "text"])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = own.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= sample_rows).select("lang", "h")
+    # Ranked in salted parts first, so that the commonest language does not meet in one task.
+    picked = first_n_per_key(own.select("lang", "h").distinct(), ["lang"], "h", sample_rows).select("lang", "h")
     # The sample is bounded by its parameter, so its keys may be broadcast.
     sample = own.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                words = pd.Series([w for t in texts for w in _WORD.findall(t.lower())], dtype=object).value_counts()
+                counted: Counter[str] = Counter()
+                for _, parts in text_slices(texts.tolist(), SLICE_CHARS):
+                    for part in parts:
+                        counted.update(_words(part))
+                words = pd.Series(counted, dtype=np.int64)
                 yield pd.DataFrame({"lang": lang, "word": words.index, "n": words.to_numpy(np.int64)})
 
     rows = local(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
