@@ -11,7 +11,7 @@ neither texts nor other groups, and only its last few bins suffer from its edge.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import staged
-from threadloom.llm.tokens import count_tokens
+from threadloom.llm.token_counts import count_tokens
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 GROUP_ITEMS = 50_000
@@ -126,9 +126,5 @@ def pack(
 
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the tokens of each whole text with its end token; a null text has the end alone."""
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": count_tokens(batch["text"], path) + 1})
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(measure, "doc_id long, n_tokens long")
+    counted = count_tokens(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), path)
+    return counted.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))

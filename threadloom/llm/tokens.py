@@ -299,8 +299,3 @@ def documents_of(segments: DataFrame) -> DataFrame:
         read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seg int, null boolean"
     )
     return rows.select(F.when(~F.col("null"), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32", "part", "seg")
-
-
-def count_tokens(texts: pd.Series, path: str) -> np.ndarray:
-    """Ids of each text, without an end."""
-    return np.array([len(code) // 4 for code in encoder(path).encode(texts.tolist())], np.int64)
