@@ -1,10 +1,15 @@
 """Plan shapes that large data depends on."""
 
+import os
+
 import pytest
 
+from threadloom.operators.funnel import funnel_audit
 from threadloom.params import Filters
 from threadloom.plans import registry, tables
-from threadloom.plans.corpus import build_corpus
+from threadloom.plans.corpus import build_corpus, publish_corpus
+from threadloom.session import scratch_dir
+from threadloom.sources.corpus import read_corpus
 from threadloom.operators.texts import corpus_texts, count_terms
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -43,3 +48,30 @@ def test_stored_corpus_queries_read_only_their_columns(spark, tmp_path):
 
 def test_every_query_has_its_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+def test_publishing_reads_the_raw_records_once(spark, tmp_path):
+    records = tables.document_records(spark, SF_DIR)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    counted = records.mapInArrow(seen, records.schema)
+    path = str(tmp_path / "corpus")
+    before = set(os.listdir(os.path.dirname(scratch_dir(spark, "x")))) if spark.conf.get("spark.checkpoint.dir", None) else None
+    stages = publish_corpus(counted, Filters(), path)
+    assert reads.value == records.count()
+    assert [tuple(r) for r in stages.orderBy("stage_ord").collect()] == [tuple(r) for r in funnel_audit(records, Filters()).orderBy("stage_ord").collect()]
+    assert before is None or set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
+
+
+def test_published_tables_equal_the_lazy_ones(spark, tmp_path):
+    records = tables.document_records(spark, SF_DIR)
+    publish_corpus(records, Filters(), str(tmp_path / "corpus"))
+    posts, comments = read_corpus(spark, str(tmp_path / "corpus"))
+    lazy = build_corpus(records, Filters())
+    assert sorted(map(str, posts.collect())) == sorted(map(str, lazy.posts.collect()))
+    assert sorted(map(str, comments.collect())) == sorted(map(str, lazy.comments.collect()))

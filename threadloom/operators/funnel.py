@@ -93,6 +93,45 @@ def apply_funnel(records: DataFrame, filters: Filters, order: Order = POSITION,
     return flag_creator(kept, filters.creator_patterns)
 
 
+# Bits of the rules in the number that ``judged`` gives every record; all but the creator's drop records.
+_COMMENTS, _CREATOR, _CHARS, _EXCLUDED, _REQUIRED = (1 << i for i in range(5))
+_KEPT = _COMMENTS | _CHARS | _EXCLUDED | _REQUIRED
+
+
+def _rule_bits(filters: Filters) -> Column:
+    """Which rules a cleaned record passes, as bits; 0 with too few comments, because the later rules then don't count."""
+    always = F.lit(True)
+    rules = {
+        _CREATOR: _by_creator(filters.creator_patterns),
+        _CHARS: _enough_chars(filters.min_chars),
+        _EXCLUDED: ~_mentions(filters.exclude_terms) if filters.exclude_terms else always,
+        _REQUIRED: _mentions(filters.require_any_terms) if filters.require_any_terms else always,
+    }
+    bits = F.lit(_COMMENTS)
+    for bit, rule in rules.items():
+        bits = bits + F.when(rule, F.lit(bit)).otherwise(F.lit(0))
+    return F.when(_enough_comments(filters.min_comments), bits).otherwise(F.lit(0))
+
+
+def judged(records: DataFrame, filters: Filters, order: Order = POSITION, key: str = "id") -> DataFrame:
+    """Every record with its rule bits in ``_passed``, from which ``survivors`` and ``audit`` both follow.
+
+    A record that fails a rule keeps only what it needs to claim its id, so a stored copy of this table is little more
+    than the records that pass.
+    """
+    rows = clean_text(with_comment_count(records)).withColumn("_passed", _rule_bits(filters))
+    passes = F.col("_passed").bitwiseAND(F.lit(_KEPT)) == _KEPT
+    fixed = {key, "_passed", *as_columns(order)}
+    return rows.select(*[F.col(c) if c in fixed else F.when(passes, F.col(c)).alias(c) for c in rows.columns])
+
+
+def survivors(judged: DataFrame, order: Order = POSITION, key: str = "id") -> DataFrame:
+    """The first copies that pass every rule, with the creator flag."""
+    bits = F.col("_passed")
+    kept = dedup_first(judged, key, order).where(bits.bitwiseAND(F.lit(_KEPT)) == _KEPT)
+    return kept.withColumn("is_creator_suspect", bits.bitwiseAND(F.lit(_CREATOR)) != 0).drop("_passed")
+
+
 def funnel_audit(records: DataFrame, filters: Filters, key: str = "id", order: Order = POSITION) -> DataFrame:
     """Rows left and rows dropped after every stage, from one scan and one narrow shuffle.
 
@@ -100,20 +139,13 @@ def funnel_audit(records: DataFrame, filters: Filters, key: str = "id", order: O
     per id and the number of copies are aggregated. Partial aggregation folds a hot id inside each
     task, and no text crosses the network.
     """
-    rows = clean_text(with_comment_count(records))
-    always = F.lit(True)
-    rules = [
-        _by_creator(filters.creator_patterns),
-        _enough_chars(filters.min_chars),
-        ~_mentions(filters.exclude_terms) if filters.exclude_terms else always,
-        _mentions(filters.require_any_terms) if filters.require_any_terms else always,
-    ]
-    bits = F.lit(1)
-    for i, rule in enumerate(rules, start=1):
-        bits = bits + F.when(rule, F.lit(1 << i)).otherwise(F.lit(0))
-    passed = F.when(_enough_comments(filters.min_comments), bits).otherwise(F.lit(0))
+    return audit(clean_text(with_comment_count(records)).withColumn("_passed", _rule_bits(filters)), order, key)
+
+
+def audit(judged: DataFrame, order: Order = POSITION, key: str = "id") -> DataFrame:
+    """The audit of records whose rule bits are known; reads id, order and bits alone."""
     firsts = (
-        rows.select(key, passed.alias("_passed"), order_key(order).alias("_order"))
+        judged.select(key, F.col("_passed"), order_key(order).alias("_order"))
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("copies"), F.min_by("_passed", "_order").alias("passed"))
     )
@@ -124,11 +156,11 @@ def funnel_audit(records: DataFrame, filters: Filters, key: str = "id", order: O
     totals = firsts.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("load"),
         F.count(F.lit(1)).alias("dedup"),
-        having(0b00001).alias("min_comments"),
-        having(0b00011).alias("creator_flag"),
-        having(0b00101).alias("min_chars"),
-        having(0b01101).alias("exclude_terms"),
-        having(0b11101).alias("require_any_terms"),
+        having(_COMMENTS).alias("min_comments"),
+        having(_COMMENTS | _CREATOR).alias("creator_flag"),
+        having(_COMMENTS | _CHARS).alias("min_chars"),
+        having(_COMMENTS | _CHARS | _EXCLUDED).alias("exclude_terms"),
+        having(_KEPT).alias("require_any_terms"),
     )
     funnel = ["load", "dedup", "min_comments", "min_chars", "exclude_terms", "require_any_terms"]
     before = dict(zip(funnel[1:], funnel))

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from threadloom.functions.text import check_patterns
-from threadloom.operators.funnel import apply_funnel, funnel_audit, to_comments, to_posts
+from threadloom.operators.funnel import apply_funnel, audit, funnel_audit, judged, survivors, to_comments, to_posts
 from threadloom.operators.keyed import Order
 from threadloom.params import Filters
 from threadloom.schema import POSITION
-from threadloom.session import scratch_dir
+from threadloom.session import drop_scratch, scratch_dir
 from threadloom.sources.corpus import write_corpus
 from threadloom.sources.records import conform
 
@@ -34,14 +34,20 @@ def build_corpus(records: DataFrame, filters: Filters, order: Order = POSITION)
 def publish_corpus(records: DataFrame, filters: Filters, path: str, order: Order = POSITION, mode: str = "errorifexists") -> DataFrame:
     """Run the funnel once, store both tables under ``path`` and return the audit.
 
-    The survivors are written to the shared scratch folder first: posts and comments then read a
-    column-pruned table instead of each repeating the parse, the shuffle and the regex work.
+    The records are read and judged once, into the shared scratch folder. Posts, comments and audit each read their own
+    columns of that copy: what is shuffled for posts holds no comments, and for the audit no text. The audit is
+    counted before the copy is removed, and comes back as its few rows.
     """
     spark = records.sparkSession
     check_patterns(spark, filters.creator_patterns)
-    records = conform(records)
-    staged = scratch_dir(spark, "survivors")
-    apply_funnel(records, filters, order).write.parquet(staged)
-    survivors = spark.read.parquet(staged)
-    write_corpus(to_posts(survivors), to_comments(survivors, keep_study=True), path, mode=mode, compact=True)
-    return funnel_audit(records, filters, order=order)
+    copy = scratch_dir(spark, "judged")
+    rows = judged(conform(records), filters, order)
+    try:
+        rows.write.parquet(copy)
+        stored = spark.read.schema(rows.schema).parquet(copy)
+        kept = survivors(stored, order)
+        write_corpus(to_posts(kept), to_comments(kept, keep_study=True), path, mode=mode, compact=True)
+        stages = audit(stored, order)
+        return spark.createDataFrame(stages.collect(), stages.schema)
+    finally:
+        drop_scratch(spark, copy)

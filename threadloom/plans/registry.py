@@ -497,17 +497,24 @@ p AS (SELECT {_POSTS_COLS} FROM survivors),
 c AS (SELECT {_COMMENTS_COLS} FROM {_exploded('survivors')})
 SELECT "ID" AS id, "Subreddit" AS subreddit, "Num_Comentarios" AS n_comments, is_creator_suspect, n AS stored_comments, votes
 FROM p LEFT JOIN (SELECT "Post_ID", count(*) AS n, CAST(sum("Upvotes_Comentario") AS BIGINT) AS votes FROM c GROUP BY 1)
-  ON "Post_ID" IS NOT DISTINCT FROM "ID" """)
+  ON "Post_ID" IS NOT DISTINCT FROM "ID"
+UNION ALL
+SELECT 'audit ' || stage_ord, stage, NULL, NULL, rows, dropped FROM ({_AUDIT_SQL})""")
 def build_corpus_query(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "published")
-    publish_corpus(tables.document_records(spark, sf), FILTERS, path)
+    stages = publish_corpus(tables.document_records(spark, sf), FILTERS, path)
     posts, comments = read_corpus(spark, path)
     per_post = comments.groupBy("Post_ID").agg(F.count(F.lit(1)).alias("stored_comments"), F.sum("Upvotes_Comentario").alias("votes"))
     joined = posts.join(per_post, F.col("Post_ID").eqNullSafe(F.col("ID")), "left")
-    return joined.select(
+    stored = joined.select(
         F.col("ID").alias("id"), F.col("Subreddit").alias("subreddit"), F.col("Num_Comentarios").alias("n_comments"),
         "is_creator_suspect", "stored_comments", "votes",
     )
+    counts = stages.select(
+        F.concat(F.lit("audit "), "stage_ord").alias("id"), F.col("stage").alias("subreddit"), F.lit(None).cast("int").alias("n_comments"),
+        F.lit(None).cast("boolean").alias("is_creator_suspect"), F.col("rows").alias("stored_comments"), F.col("dropped").alias("votes"),
+    )
+    return stored.unionByName(counts)
 
 
 # --- D. report --------------------------------------------------------------------------------
