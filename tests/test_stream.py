@@ -1,7 +1,12 @@
 import json
+import re
 
+from pyspark.sql import functions as F
+
+from threadloom.session import drop_scratch
 from threadloom.sources.corpus import append_new
 from threadloom.sources.records import read_records
+from threadloom.sources.seen import SeenIds
 from threadloom.streaming import arrivals
 
 
@@ -91,3 +96,73 @@ def test_rejected_lines_are_kept_once(spark, tmp_path):
     run(spark, tmp_path)
     got = [(r.raw, r.file.rsplit("/", 1)[1]) for r in arrivals.read_rejects(spark, arrivals.rejects_of(store)).collect()]
     assert sorted(got) == [("[]", "1.jsonl"), ("not json", "1.jsonl"), ("worse", "2.jsonl"), ('{"post": 1', "1.jsonl")]
+
+
+def test_a_batch_scans_only_the_buckets_of_its_ids(spark, tmp_path):
+    index = SeenIds(spark, str(tmp_path / "ids"), buckets=8)
+    frame = spark.createDataFrame([(f"k{i}",) for i in range(200)] + [(None,), ("",)], "id string")
+    index.add(frame, "s", 0)
+    index.add(frame.withColumn("id", F.concat(F.lit("x"), "id")), "s", 1)
+    some = index.read([3, 5])
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ IN \(3,5\)", some._jdf.queryExecution().executedPlan().toString())
+    kept = {r.id for r in some.collect()}
+    where = {r.id: r.b for r in index.read().select("id", index.bucket(F.col("id")).alias("b")).collect()}
+    assert kept == {i for i, b in where.items() if b in (3, 5)} and len(where) == 401  # "x" + "" is an id
+    assert index.read([]).count() == 0
+
+
+def test_runs_are_merged_in_levels(spark, tmp_path):
+    index = SeenIds(spark, str(tmp_path / "ids"), buckets=2, fan=3)
+    for batch in range(8):
+        index.add(spark.createDataFrame([(f"k{batch}",), ("again",)], "id string"), "s", batch)
+        index.merge(spare=f"0-s-{batch}")
+        assert f"0-s-{batch}" in index.runs() and len(index.runs()) <= 2 * 3 + 1
+    assert {r.id for r in index.read().collect()} == {"again", *(f"k{b}" for b in range(8))}
+    assert any(run.startswith("1-") for run in index.runs())
+    # A merge that was cut off before it removed what it replaces changes nothing.
+    rows = index.read()
+    again = spark.createDataFrame(rows.collect(), rows.schema)
+    index._write(again, "1-cut-off")
+    assert {r.id for r in index.read().distinct().collect()} == {"again", *(f"k{b}" for b in range(8))}
+
+
+def test_a_replay_after_merges_changes_nothing(spark, tmp_path):
+    for i in range(5):
+        put(tmp_path / "in", f"{i}.jsonl", line(f"p{i}", "t"), line("shared", f"{i}"), line("", f"blank {i}"))
+        before = run(spark, tmp_path, max_files=1, fan=2)
+    store, key = str(tmp_path / "store"), arrivals._stream_key(spark, str(tmp_path / "checkpoint"))
+    lines = spark.read.text(str(tmp_path / "in" / "4.jsonl")).select("value", "_metadata")
+    arrivals._save_batch(lines, 4, store, key, arrivals.rejects_of(store), SeenIds(spark, arrivals.ids_of(store), fan=2))
+    after = sorted(((r.id, r.title) for r in arrivals.read_store(spark, store).collect()), key=str)
+    assert after == before == sorted([("shared", "0"), *((f"p{i}", "t") for i in range(5)), *(("", f"blank {i}") for i in range(5))], key=str)
+
+
+def test_a_store_without_index_gets_one(spark, tmp_path):
+    put(tmp_path / "in", "1.jsonl", line("a", "first"), line("b", "first"))
+    run(spark, tmp_path)
+    drop_scratch(spark, arrivals.ids_of(str(tmp_path / "store")))
+    put(tmp_path / "in", "2.jsonl", line("a", "late"), line("c", "new"))
+    assert run(spark, tmp_path) == [("a", "first"), ("b", "first"), ("c", "new")]
+
+
+def test_state_keeps_the_same_ids_whatever_the_split(spark, tmp_path):
+    ids = [["a", "b", "a"], ["c", "b", ""], ["a", "d", "", "e"]]
+    for i, group in enumerate(ids):
+        put(tmp_path / "in", f"{i}.jsonl", *[line(p, f"{i}-{j}") for j, p in enumerate(group)], "not json")
+    records = read_records(spark, str(tmp_path / "in"))
+    want = sorted(r.id for r in append_new(records, records.limit(0)).collect())
+    for files in (1, 2, None):
+        places = [str(tmp_path / f"{kind}-{files}") for kind in ("store", "checkpoint")]
+        arrivals.append_new_state(spark, str(tmp_path / "in"), *places, max_files=files).awaitTermination()
+        assert sorted(r.id for r in arrivals.read_state_store(spark, places[0]).collect()) == want
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    places = [str(tmp_path / name) for name in ("in", "store", "checkpoint")]
+    put(tmp_path / "in", "1.jsonl", line("a", "first"), line("", "blank"))
+    arrivals.append_new_state(spark, *places).awaitTermination()
+    put(tmp_path / "in", "2.jsonl", line("a", "late"), line("b", "new"), line("", "blank 2"))
+    arrivals.append_new_state(spark, *places).awaitTermination()
+    arrivals.append_new_state(spark, *places).awaitTermination()
+    got = sorted(r.title for r in arrivals.read_state_store(spark, places[1]).collect())
+    assert got == ["blank", "blank 2", "first", "new"]
