@@ -21,7 +21,7 @@ from threadloom.plans.report import report_table
 from threadloom.session import scratch_dir
 from threadloom.sources.corpus import append_new, normalize_nulls, read_corpus, write_corpus
 from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, stamp_study, to_json_lines
-from threadloom.streaming.arrivals import append_new_stream, read_rejects, read_store, rejects_of
+from threadloom.streaming.arrivals import append_new_state, append_new_stream, read_rejects, read_state_store, read_store, rejects_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -246,6 +246,20 @@ def append_new_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     return kept.unionByName(bad).groupBy("what", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_EVENTS}
+SELECT id, CASE WHEN id = '' THEN count(*) ELSE 1 END AS n, CASE WHEN id = '' THEN CAST(sum(event_id) AS BIGINT) END AS blank_events
+FROM ev GROUP BY id""")
+def append_new_state_query(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_dir(spark, "arrivals")
+    for side in tables.event_sides(spark, sf):
+        record = F.struct(F.struct("id", F.col("event_id").alias("upvotes")).alias("post"))
+        side.select(F.to_json(record).alias("value")).write.mode("append").text(f"{root}/in")
+        append_new_state(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint", max_files=2).awaitTermination()
+    kept = read_state_store(spark, f"{root}/store")
+    # Which of an id's copies comes first is the stream's affair, but every record without an id is there.
+    return kept.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("id") == "", F.col("upvotes"))).alias("blank_events"))
+
+
 @query("""SELECT event_id, 'events_2024' AS study_id, 'Arriving events' AS theme_label FROM events""")
 def stamp_study_query(spark: SparkSession, sf: str) -> DataFrame:
     return stamp_study(tables.table(spark, sf, "events").select("event_id"), "events_2024", "Arriving events")
