@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 
 from threadloom.params import Filters
 from threadloom.plans.corpus import build_corpus, publish_corpus
 from threadloom.sources.corpus import append_new, read_corpus
-from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, stamp_study, to_json_lines
+from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, rejected_lines, stamp_study, to_json_lines
 
 LINES = [
     '{"post":{"id":"a","title":"T","body":null,"upvotes":3},"comments":[{"author":"x","body":"y","upvotes":2}]}',
@@ -142,3 +143,26 @@ def test_a_store_of_one_study_whose_id_reads_as_a_number(spark, tmp_path, study)
     posts, comments = read_corpus(spark, path, study)
     assert [r.Study_ID for r in posts.collect()] == [study] and comments.count() == 3
     assert read_corpus(spark, path, "other")[0].count() == 0
+
+
+def test_rejected_lines_have_their_number_in_the_file(spark, tmp_path):
+    rng = random.Random(8)
+    good = json.dumps({"post": {"id": "a"}, "comments": []})
+    want = []
+    for name in ("a.jsonl", "b.jsonl", "none.jsonl"):
+        rows = [rng.choice([good, "", "   ", f"bad {rng.randrange(10**6)}", "[1]", good + " x" * rng.randrange(40)]) for _ in range(300)]
+        rows = rows if name != "none.jsonl" else [good] * 20
+        (tmp_path / name).write_text("\n".join(rows) + ("\n" if name == "a.jsonl" else ""), encoding="utf-8")
+        want += [(name, n, row) for n, row in enumerate(rows, start=1) if row.strip() and row != good]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 10
+        got = [(r.file.rsplit("/", 1)[1], r.line, r.raw) for r in rejected_lines(lines).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert sorted(got) == sorted(want)

@@ -166,3 +166,11 @@ def test_state_survives_a_restart(spark, tmp_path):
     arrivals.append_new_state(spark, *places).awaitTermination()
     got = sorted(r.title for r in arrivals.read_state_store(spark, places[1]).collect())
     assert got == ["blank", "blank 2", "first", "new"]
+
+
+def test_rejects_of_a_stream_have_line_numbers(spark, tmp_path):
+    put(tmp_path / "in", "1.jsonl", line("a", "t"), "", "bad 3", line("b", "t"), "bad 5")
+    put(tmp_path / "in", "2.jsonl", "bad 1")
+    run(spark, tmp_path, max_files=1)
+    got = arrivals.read_rejects(spark, arrivals.rejects_of(str(tmp_path / "store"))).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.line, r.raw) for r in got) == [("1.jsonl", 3, "bad 3"), ("1.jsonl", 5, "bad 5"), ("2.jsonl", 1, "bad 1")]

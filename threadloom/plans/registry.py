@@ -20,7 +20,7 @@ from threadloom.plans.corpus import build_corpus, publish_corpus
 from threadloom.plans.report import report_table
 from threadloom.session import scratch_dir
 from threadloom.sources.corpus import append_new, normalize_nulls, read_corpus, write_corpus
-from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, stamp_study, to_json_lines
+from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, rejected_lines, stamp_study, to_json_lines
 from threadloom.streaming.arrivals import append_new_state, append_new_stream, read_rejects, read_state_store, read_store, rejects_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,21 @@ def write_corpus_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""SELECT part, line, 'bad ' || doc_id AS raw FROM (
+  SELECT doc_id, doc_id // 100 AS part, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS line FROM documents)
+WHERE doc_id % 5 = 0""")
+def rejected_lines_query(spark: SparkSession, sf: str) -> DataFrame:
+    doc_id = F.col("doc_id").cast("string")
+    record = F.to_json(F.struct(F.struct(doc_id.alias("id"), F.col("source").alias("title")).alias("post")))
+    value = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("bad "), doc_id)).when(F.col("doc_id") % 5 == 1, F.lit("  ")).otherwise(record)
+    # One file for every hundred ids, in their order.
+    filed = tables.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", value.alias("value"))
+    folder = scratch_dir(spark, "numbered")
+    filed.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(folder)
+    found = rejected_lines(read_lines(spark, folder))
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part"), "line", "raw")
+
+
 @query(f"""WITH {_SHARED}
 SELECT doc_id, coalesce(id, '') AS id_loose, coalesce(body, '') AS body_loose, nullif(id, '') AS id_strict, nullif(body, '') AS body_strict
 FROM recs""")

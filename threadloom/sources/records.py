@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,29 @@ def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def number_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``line``, the 1-based number within its file, to some of the positioned ``lines``.
+
+    A file may be cut into many blocks that are read apart. The lines of every block are counted, blank ones too, and a
+    line's number is the sum over the blocks before it plus its place in its own. That takes one more reading of the
+    text, without parsing it, and a table with one row per block.
+    """
+    place = F.col(POSITION)
+    keys = [place["file"].alias("_file"), place["block"].alias("_block")]
+    blocks = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(place["row"]).alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    starts = blocks.select("_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
+    found = rows.join(starts, (place["file"] == F.col("_file")) & (place["block"] == F.col("_block")))
+    return found.withColumn("line", place["row"] + F.col("_shift")).drop("_file", "_block", "_shift")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """file, line, raw of every positioned line that is neither blank nor a record."""
+    bad = quarantine(parse_lines(lines))[1]
+    return number_lines(bad, lines).select(F.col(POSITION)["file"].alias("file"), "line", "raw")
+
+
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records of every readable line under ``path``; see ``quarantine`` for the others."""
     return quarantine(parse_lines(read_lines(spark, path)))[0]

@@ -14,12 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from threadloom.operators.keyed import is_blank
 from threadloom.schema import POSITION, RECORD_SCHEMA
 from threadloom.sources.corpus import append_new
-from threadloom.sources.records import parse_lines, positioned, quarantine
+from threadloom.sources.records import number_lines, parse_lines, positioned, quarantine
 from threadloom.sources.seen import BUCKETS, FAN, SeenIds
 
 STREAM, BATCH = "stream", "batch"
 STORE_SCHEMA = T.StructType([*RECORD_SCHEMA.fields, T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())])
-REJECT_SCHEMA = T.StructType([T.StructField("raw", T.StringType()), T.StructField("file", T.StringType()), T.StructField("block", T.LongType())])
+REJECT_SCHEMA = T.StructType([T.StructField("raw", T.StringType()), T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("line", T.LongType())])
 
 # A batch broadcasts its ids when their measured size, with this much overhead per row, stays
 # under the limit; otherwise the lookup among the stored ids is an ordinary shuffled join.
@@ -37,7 +37,7 @@ def rejects_of(store: str) -> str:
 
 
 def read_rejects(spark: SparkSession, rejects: str) -> DataFrame:
-    """Every line that was no record, with its file and block."""
+    """Every line that was no record, with its file, block and number in the file (null in folders of older versions)."""
     schema = T.StructType([*REJECT_SCHEMA.fields, T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())])
     return spark.read.schema(schema).parquet(rejects).select(*REJECT_SCHEMA.fieldNames())
 
@@ -126,9 +126,11 @@ def read_state_store(spark: SparkSession, store: str) -> DataFrame:
 
 def _save_batch(lines: DataFrame, batch: int, store: str, key: str, rejects: str, seen: SeenIds | None = None) -> None:
     seen = seen or SeenIds(lines.sparkSession, ids_of(store))
-    records, bad = quarantine(parse_lines(positioned(lines)))
+    placed = positioned(lines)
+    records, bad = quarantine(parse_lines(placed))
     place = F.col(POSITION)
-    bad.select("raw", place["file"].alias("file"), place["block"].alias("block")).write.mode("overwrite").parquet(
+    numbered = number_lines(bad, placed)
+    numbered.select("raw", place["file"].alias("file"), place["block"].alias("block"), "line").write.mode("overwrite").parquet(
         f"{rejects}/{STREAM}={key}/{BATCH}={batch}"
     )
     records = records.persist(StorageLevel.MEMORY_AND_DISK)
