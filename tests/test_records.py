@@ -2,10 +2,13 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.params import Filters
 from threadloom.plans.corpus import build_corpus, publish_corpus
-from threadloom.sources.corpus import append_new, read_corpus
+from threadloom.schema import POSTS_COLUMNS
+from threadloom.session import files, put_file
+from threadloom.sources.corpus import append_new, drop_old_versions, read_corpus, write_corpus
 from threadloom.sources.records import conform, parse_lines, quarantine, read_lines, read_records, rejected_lines, stamp_study, to_json_lines
 
 LINES = [
@@ -166,3 +169,48 @@ def test_rejected_lines_have_their_number_in_the_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
     assert sorted(got) == sorted(want)
+
+
+def corpus_of(spark, *ids):
+    posts = spark.createDataFrame([tuple(i if c == "ID" else "s" if c == "Study_ID" else None for c in POSTS_COLUMNS) for i in ids], POSTS_TYPE)
+    return posts, spark.createDataFrame([(i, "a", f"of {i}", 1, "s") for i in ids], "Post_ID string, Autor_Comentario string, Texto_Comentario string, Upvotes_Comentario long, Study_ID string")
+
+
+POSTS_TYPE = ", ".join(f"`{c}` string" for c in POSTS_COLUMNS)
+
+
+def stored(spark, path):
+    posts, comments = read_corpus(spark, path)
+    return sorted(r.ID for r in posts.collect()), sorted(r.Post_ID for r in comments.collect())
+
+
+def test_a_job_lost_between_the_tables_leaves_the_old_corpus(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    write_corpus(*corpus_of(spark, "a", "b"), path)
+    posts, comments = corpus_of(spark, "c")
+    broken = comments.withColumn("Autor_Comentario", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        write_corpus(posts, broken, path, mode="overwrite")
+    assert stored(spark, path) == (["a", "b"], ["a", "b"])
+    assert drop_old_versions(spark, path) == 2
+    write_corpus(posts, comments, path, mode="append")
+    assert stored(spark, path) == (["a", "b", "c"], ["a", "b", "c"])
+    write_corpus(posts, comments, path, mode="overwrite")
+    assert stored(spark, path) == (["c"], ["c"])
+    assert drop_old_versions(spark, path) == 4 and stored(spark, path) == (["c"], ["c"])
+    with pytest.raises(FileExistsError):
+        write_corpus(posts, comments, path)
+
+
+def test_two_writers_cannot_make_the_same_commit(spark, tmp_path):
+    put_file(spark, str(tmp_path / "f" / "1"), "one")
+    with pytest.raises(FileExistsError):
+        put_file(spark, str(tmp_path / "f" / "1"), "two")
+    assert (tmp_path / "f" / "1").read_text() == "one" and files(spark, str(tmp_path / "f")) == ["1"]
+
+
+def test_tables_without_commits_are_read(spark, tmp_path):
+    posts, comments = corpus_of(spark, "a")
+    posts.write.partitionBy("Study_ID").parquet(str(tmp_path / "posts"))
+    comments.write.partitionBy("Study_ID").parquet(str(tmp_path / "comments"))
+    assert stored(spark, str(tmp_path)) == (["a"], ["a"])

@@ -45,8 +45,30 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def _listed(spark: SparkSession, path: str) -> list:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(system.listStatus(place)) if system.exists(place) else []
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder, none if it does not exist."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in _listed(spark, path) if s.isDirectory()]
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, none if it does not exist."""
+    return [s.getPath().getName() for s in _listed(spark, path) if s.isFile()]
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears whole or not at all; fails if there is one already."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    place, draft = Path(path), Path(f"{path}-{uuid.uuid4().hex}")
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in system.listStatus(place) if s.isDirectory()] if system.exists(place) else []
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(place) or not system.rename(draft, place):
+        system.delete(draft, False)
+        raise FileExistsError(path)
