@@ -183,6 +183,21 @@ def test_boxplot_describe_and_density(spark):
     assert [r.density for r in curve] == pytest.approx(density.tolist())
 
 
+def test_density_of_far_values_is_whole(spark):
+    rng = np.random.default_rng(1)
+    xs = np.concatenate([rng.normal(0, 1, 4000), [-3e4, 5.0, 5.0, 7e5]])
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    h = xs.std(ddof=1) * len(xs) ** -0.2
+    assert (xs.max() - xs.min()) / h > 2 * numeric.KERNEL_REACH  # so that most points lie beyond most values
+    curve = numeric.density_curve(df, "x").orderBy("point").collect()
+    grid = np.linspace(xs.min(), xs.max(), 200)
+    density = np.exp(-0.5 * ((grid[:, None] - xs) / h) ** 2).sum(1) / (len(xs) * h * np.sqrt(2 * np.pi))
+    assert [r.point for r in curve] == list(range(200)) and [r.x for r in curve] == pytest.approx(grid.tolist(), rel=1e-12)
+    assert [r.density for r in curve] == pytest.approx(density.tolist(), rel=1e-9, abs=0) and 0.0 in density
+    endless = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),)], "x double")
+    assert all(r.density != r.density for r in numeric.density_curve(endless, "x").collect())
+
+
 def test_empty_and_constant_columns(spark):
     empty, same = spark.createDataFrame([], "x int"), spark.createDataFrame([(4,)] * 3, "x int")
     assert tuple(numeric.boxplot_stats(empty, "x").first()) == (0, None, None, None, None, None, 0)

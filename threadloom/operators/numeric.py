@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 DIGIT, KEY_BITS = 16, 64
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 QUARTILES = (0.25, 0.5, 0.75)
+KERNEL_REACH = 39.0  # bandwidths; exp(-z*z/2) is zero as a double from 38.61 on
 
 
 def corpus_summary(posts: DataFrame, comments: DataFrame) -> DataFrame:
@@ -199,7 +200,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 def density_curve(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """Gaussian density at ``grid`` even points from minimum to maximum, Scott bandwidth.
 
-    Evaluated per distinct value rather than per row, and summed inside each task per grid point.
+    Evaluated per distinct value rather than per row, and only at the points that its kernel reaches: beyond them it is
+    zero as a double. Summed inside each task per point; a point that no value reaches has density 0.
     Constant or single-row input has no bandwidth and gives no curve.
     """
     shape = _values(df, col).agg(
@@ -209,10 +211,21 @@ def density_curve(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
         F.max("v").cast("double").alias("high"),
     )
     shape = shape.select(F.struct("n", "low", "high", (F.col("std") * F.pow("n", F.lit(-0.2))).alias("width")).alias("s")).scalar()
-    counts, v, k = value_counts(df, col), F.col("v").cast("double"), F.col("k")
-    points = counts.withColumn("s", shape).where(F.col("s.width") > 0)
-    points = points.select("v", "k", "s", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    x = F.col("s.low") + F.col("point") * (F.col("s.high") - F.col("s.low")) / (grid - 1)
-    z = (x - v) / F.col("s.width")
-    kernel = F.sum(k * F.exp(-0.5 * z * z))
-    return points.groupBy("point").agg(F.max(x).alias("x"), (kernel / F.max(F.col("s.n") * F.col("s.width") * F.sqrt(2 * F.pi()))).alias("density"))
+    v, k, width = F.col("v").cast("double"), F.col("k"), F.col("s.width")
+    values = value_counts(df, col).withColumn("s", shape).where(width > 0)
+    step, point = (F.col("s.high") - F.col("s.low")) / (grid - 1), F.col("point")
+    from_low, reach = v - F.col("s.low"), F.lit(KERNEL_REACH) * width
+    first = F.greatest(F.ceil((from_low - reach) / step), F.lit(0).cast("bigint"))
+    last = F.least(F.floor((from_low + reach) / step), F.lit(grid - 1).cast("bigint"))
+    # Infinite values have no steps to count, so theirs go to every point, which makes it NaN.
+    every = F.isnan(width) | (first > last)
+    within = F.sequence(F.when(every, F.lit(0).cast("bigint")).otherwise(first), F.when(every, F.lit(grid - 1).cast("bigint")).otherwise(last))
+    x = F.col("s.low") + point * (F.col("s.high") - F.col("s.low")) / (grid - 1)
+    z = (x - v) / width
+    # At most one row per point, so the broadcast is bounded by the parameter.
+    reached = F.broadcast(
+        values.select("v", "k", "s", F.explode(within).alias("point")).groupBy("point").agg(F.sum(k * F.exp(-0.5 * z * z)).alias("kernel"))
+    )
+    points = df.sparkSession.range(grid).withColumnRenamed("id", "point").withColumn("s", shape).where(width > 0)
+    height = F.coalesce("kernel", F.lit(0.0)) / (F.col("s.n") * width * F.sqrt(2 * F.pi()))
+    return points.join(reached, "point", "left").select(point.cast("int").alias("point"), x.alias("x"), height.alias("density"))
