@@ -4,8 +4,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import literal_count, substring_count
 from threadloom.operators import explore, graph, numeric, report
-from threadloom.operators.texts import corpus_texts, count_terms, count_terms_by_origin
+from threadloom.operators.texts import MANY_TERMS, corpus_texts, count_terms, count_terms_by_origin
 from threadloom.params import Analysis
 from threadloom.plans.report import report_table
 
@@ -156,6 +157,24 @@ def test_any_number_of_terms_takes_one_reading(spark, tmp_path):
     assert len(sides) == 602 and (sides["t300_", "posts"], sides["t300_", "comments"], sides["t0_", "comments"]) == (2, 1, 0)
 
 
+ODD_TERMS = ["an", "ana", "banana", "aa", "aaa", "a", "AN", "é", "É", "ß", "kk", "straße", "i", "x.y", "^$", "🎉🎉", "🎉", "that", "th", "ſ", "σς", "a b", "[", "-]"]
+ODD_TEXTS = st.text(st.sampled_from("abnthxyAN.k\u212aKßéÉsſSσςΣiİı🎉^$[]- "), max_size=40)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.tuples(st.sampled_from(["posts", "comments"]), st.none() | ODD_TEXTS), max_size=12))
+@pytest.mark.parametrize("counter", [literal_count, substring_count])
+def test_terms_found_together_count_as_one_by_one(spark, counter, values):
+    texts = spark.createDataFrame(values, "origin string, text string")
+    terms = ODD_TERMS + ["banana split", "nab"] + ODD_TERMS[:3]
+    many = terms + [f"none{i}" for i in range(MANY_TERMS)]
+    cols = "term_ord", "term", "n"
+    one_by_one = sorted(pairs(count_terms(texts, terms, counter), *cols))
+    assert [r for r in sorted(pairs(count_terms(texts, many, counter), *cols)) if r[0] < len(terms)] == one_by_one
+    one_by_one = sorted(pairs(count_terms_by_origin(texts, terms, counter), *cols, "origin"))
+    assert [r for r in sorted(pairs(count_terms_by_origin(texts, many, counter), *cols, "origin")) if r[0] < len(terms)] == one_by_one
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(xs=st.lists(st.integers(0, 30), min_size=1, max_size=40), bins=st.integers(1, 12))
 def test_histogram(spark, xs, bins):

@@ -33,20 +33,20 @@ def quoted(term: str) -> str:
     return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def _check_term(term: str) -> None:
+def check_term(term: str) -> None:
     if not term.strip():
         raise ValueError("a term to count must not be blank")
 
 
 def literal_count(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a literal, any case."""
-    _check_term(term)
+    check_term(term)
     return F.regexp_count(text, F.lit(f"(?iu){quoted(term)}"))
 
 
 def substring_count(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a literal, case as given; byte arithmetic, no regex engine."""
-    _check_term(term)
+    check_term(term)
     shrunk = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))
     return (shrunk / F.lit(len(term.encode()))).cast("bigint")
 

@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import empty_if_null, literal_count
+from threadloom.functions.literals import fold_literal, fold_text, literal_hits, literals_of
+from threadloom.functions.text import check_term, empty_if_null, literal_count, substring_count
 
 POSTS, COMMENTS = "posts", "comments"
+MANY_TERMS = 100  # longer lists of literals are found together; a pattern cannot be, and keeps its own search
 
 
 def corpus_texts(
@@ -65,14 +67,44 @@ def sum_at(position: int) -> Column:
     return F.coalesce(F.col("sums")[position], F.lit(0).cast("bigint"))
 
 
+def count_many(texts: DataFrame, terms: Sequence[str], any_case: bool, by: Sequence[str] = ()) -> DataFrame:
+    """``term_ord``, the columns ``by`` and n of the literals that occur, found together in one reading.
+
+    A task ships one row per literal that it found. What is broadcast has about one row per term of the list.
+    """
+    for term in terms:
+        check_term(term)
+    if any_case:
+        texts = texts.withColumn("text", fold_text(F.col("text"), terms))
+        terms = [fold_literal(term) for term in terms]
+    # Outer, because the filter inferred for a plain explode would compute the array twice.
+    hits = texts.select(*by, F.inline_outer(literal_hits(F.col("text"), terms))).where(F.col("hit").isNotNull())
+    counts = hits.groupBy("hit", "longest", *by).agg(F.sum("n").alias("n"))
+    shares = texts.sparkSession.createDataFrame(literals_of(terms), "hit string, longest boolean, term_ord int")
+    return counts.join(F.broadcast(shares), ["hit", "longest"]).groupBy("term_ord", *by).agg(F.sum("n").alias("n"))
+
+
+def _together(terms: Sequence[str], counter: Counter) -> bool:
+    return len(terms) > MANY_TERMS and counter in (literal_count, substring_count)
+
+
 def count_terms(texts: DataFrame, terms: Sequence[str], counter: Counter = literal_count) -> DataFrame:
     """Occurrences of every term as ``term_ord, term, n``, zero counts included."""
+    if _together(terms, counter):
+        every = texts.sparkSession.createDataFrame(list(enumerate(terms)), "term_ord int, term string")
+        counts = count_many(texts, terms, counter is literal_count)
+        return every.join(counts, "term_ord", "left").select("term_ord", "term", F.coalesce("n", F.lit(0)).alias("n"))
     rows = [F.struct(F.lit(i).alias("term_ord"), F.lit(term).alias("term"), sum_at(i).alias("n")) for i, term in enumerate(terms)]
     return tally(texts, [counter(F.col("text"), term) for term in terms]).select(F.inline(F.array(*rows)))
 
 
 def count_terms_by_origin(texts: DataFrame, terms: Sequence[str], counter: Counter = literal_count) -> DataFrame:
     """Like ``count_terms`` but split into ``term_ord, term, origin, n``."""
+    if _together(terms, counter):
+        rows = [(i, term, origin) for origin in (POSTS, COMMENTS) for i, term in enumerate(terms)]
+        every = texts.sparkSession.createDataFrame(rows, "term_ord int, term string, origin string")
+        counts = count_many(texts, terms, counter is literal_count, ["origin"])
+        return every.join(counts, ["term_ord", "origin"], "left").select("term_ord", "term", "origin", F.coalesce("n", F.lit(0)).alias("n"))
     shift = F.when(F.col("origin") == COMMENTS, F.lit(len(terms))).otherwise(F.lit(0))
     counts = tally(texts, [counter(F.col("text"), term) for term in terms], shift)
     rows = [
