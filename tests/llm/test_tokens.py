@@ -24,7 +24,7 @@ PIECES = ["word", " ", "\n", "  ", "don't", ",", "a.", "é", "\u00a0", "\x1c", "
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=6))
 def test_cached_words_give_the_ids_of_whole_texts(texts):
     coder = tokens.encoder(PATH)
-    got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)]
+    got = [ids.tolist() for ids in coder.encode(texts)]
     assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -110,3 +110,12 @@ def test_lengths_count_whole_texts(edge_docs, edge_rows, coder):
     got = Counter(tuple(r) for r in packing.token_lengths(edge_docs, PATH).collect())
     want = Counter((i, len(coder.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in edge_rows)
     assert got == want
+
+
+def test_a_small_cache_gives_the_ids_of_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 20_000)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()]
+    texts += [t.replace(" ", "\n", 3) + "!?" for t in texts[:50]]
+    small = tokens.WordEncoder(PATH, cache_words=500)
+    for got, text in zip(small.encode(texts), texts, strict=True):
+        assert got.tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids

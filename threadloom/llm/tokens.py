@@ -22,6 +22,8 @@ from string import punctuation
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from threadloom.llm.common import staged
 
 END_ID = 0
 SEGMENT_TOKENS = 1 << 20
-CACHE_WORDS = 1_200_000  # about 250 MB in each worker
+CACHE_WORDS = 1_200_000  # about 60 MB in each worker
 _HEADER = struct.Struct("<4sIIQ")
 _BLOCK = 512
 
@@ -38,7 +40,10 @@ _BLOCK = 512
 # be cut before it. A word is known by its spelling, with the line feed if it follows one and without the space.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_ANY_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPACES) + "]|^$"
+_MARKS = "(?P<marks>[" + "".join(f"\\x{{{ord(c):x}}}" for c in punctuation) + "]+)$"
 _JOINED = 20_000
+SLICE_CHARS = 1 << 23
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -50,8 +55,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class WordEncoder:
     """Ids of whole texts; words that were seen before come from a bounded cache.
 
-    Only for byte-level BPE whose words begin with their space. ``encode`` gives the ids as little-endian
-    32-bit integers.
+    Only for byte-level BPE whose words begin with their space. ``encode`` gives arrays of little-endian 32-bit
+    integers. The cache is one Arrow array of words and one array of ids with the end of each word's share, so
+    neither looking up nor learning makes a Python object of a word.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -59,8 +65,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
-        self.words: dict[str, bytes] = {}
         self.led = {lead: self._begin_with(lead) for lead in " \n"}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _begin_with(self, lead: str) -> np.ndarray:
         """Whether each token of the vocabulary begins with the character ``lead``."""
@@ -69,69 +78,112 @@ class WordEncoder:
         out[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith(sign)]] = True
         return out
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str], lead: str) -> None:
-        """Cache the ids of words that follow ``lead``, by encoding many of them as one text."""
-        for at in range(0, len(words), _JOINED):
-            some = words[at : at + _JOINED]
-            (code,) = self.tokenizer.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)
-            ids = np.array(code.ids, "<u4")
-            # Words hold no white space, so only their first tokens begin with the lead.
-            begins = np.append(np.flatnonzero(self.led[lead][ids]), len(ids)) * 4
-            held, key = ids.tobytes(), lead.strip(" ")
-            for word, begin, end in zip(some, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                self.words[key + word] = held[begin:end]
-
-    def _add(self, new: set[str]) -> None:
-        """Cache new words; a word of letters with marks after it is the ids of both."""
-        words, marked, plain, led = self.words, [], set(), set()
-        for w in new:
-            body = w[1:] if w[0] == "\n" else w
-            if len(body.split()) != 1 or len(body) != len(body.strip()):
-                words[w] = self._whole(w if w[0] == "\n" else " " + w)  # white space inside would shift the cuts
-                continue
-            stem = body.rstrip(punctuation)
-            if stem != body and stem.isalpha():
-                marks = body[len(stem) :]
-                marked.append((w, marks))
-                w, body = w[: -len(marks)], stem
-            if w not in words:
-                (led if w[0] == "\n" else plain).add(body)
-        self._learn(list(plain), " ")
-        self._learn(list(led), "\n")
-        codes = {marks: self._whole(marks) for marks in {m for _, m in marked}}
-        for w, marks in marked:
-            words[w] = words[w[: -len(marks)]] + codes[marks]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = self.words
-        if len(words) > self.limit:
-            words.clear()
-        cut: list[tuple[list[str], list[bytes | None]]] = []
-        new: set[str] = set()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _store(self, words: pa.Array, ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """Cache the words, by encoding many of them as one text; gives them in the order in which they are kept."""
+        odd = pc.match_substring_regex(pc.utf8_ltrim(words, "\n"), _ANY_SPACE)
+        led = pc.starts_with(words, "\n")
+        kept = []
+        for lead, group in (" ", pc.invert(pc.or_(odd, led))), ("\n", pc.and_not(led, odd)):
+            some = words.filter(group)
+            for at in range(0, len(some), _JOINED):
+                part = pa.concat_arrays([some.slice(at, _JOINED)])
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), lead.strip("\n"))[0].as_py()
+                (code,) = self.tokenizer.encode_batch_fast([lead.strip("\n") + joined], add_special_tokens=False)
+                ids = np.array(code.ids, "<u4")
+                # Words hold no other white space, so only their first tokens begin with the lead.
+                sizes = np.diff(np.flatnonzero(self.led[lead][ids]), append=len(ids))
+                if len(sizes) != len(part):
+                    raise ValueError("the tokenizer joins words with the white space before others")
+                self._store(part, [ids], sizes)
+            kept.append(some)
+        kept.append(words.filter(odd))
+        # White space inside would shift the cuts.
+        codes = [self._whole(word if word[:1] == "\n" else " " + word) for word in kept[-1].to_pylist()]
+        self._store(kept[-1], codes, np.array([len(code) for code in codes], np.int64))
+        return pa.concat_arrays(kept)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The places in the cache of distinct words; a new word of letters with marks after it is the ids of both."""
+        out = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = out < 0
+        new = words.filter(pa.array(missing))
+        stems = pc.utf8_rtrim(new, punctuation)
+        marked = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(new)), pc.utf8_is_alpha(pc.utf8_ltrim(stems, "\n")))
+        stems, whole, rest = stems.filter(marked), new.filter(marked), new.filter(pc.invert(marked))
+        stem_at = pc.index_in(stems, self.words)
+        base = len(self.words)
+        fresh = self._learn(pc.unique(pa.concat_arrays([rest, stems.filter(pc.is_null(stem_at))])))
+        stem_at = pc.coalesce(stem_at, pc.add(pc.index_in(stems, fresh), base)).to_numpy(zero_copy_only=False).astype(np.int64)
+        marks = pc.struct_field(pc.extract_regex(whole, _MARKS), [0]).dictionary_encode()
+        codes = [self._whole(mark) for mark in marks.dictionary.to_pylist()]
+        mark_sizes = np.array([len(code) for code in codes], np.int64)
+        mark_ends = len(self.ids) + np.cumsum(mark_sizes)
+        mark_at = marks.indices.to_numpy(zero_copy_only=False)
+        ends = np.stack([self.ends[1:][stem_at], mark_ends[mark_at]], 1).ravel()
+        sizes = np.stack([np.diff(self.ends)[stem_at], mark_sizes[mark_at]], 1)
+        self._store(whole, [_shares(np.concatenate([self.ids, *codes]), ends, sizes.ravel())], sizes.sum(1))
+        places = np.empty(len(new), np.int64)
+        with_marks = marked.to_numpy(zero_copy_only=False)
+        places[~with_marks] = base + pc.index_in(rest, fresh).to_numpy(zero_copy_only=False)
+        places[with_marks] = base + len(fresh) + np.arange(len(whole))
+        out[missing] = places
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; texts are taken in slices of about equal length, whatever their number."""
+        begin = size = 0
+        for at, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= SLICE_CHARS or at == len(texts):
+                yield from self._slice(texts[begin:at])
+                begin, size = at, 0
+
+    def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each distinct word is looked up once; ids are gathered by the words' numbers."""
+        if len(self.words) > self.limit:
+            self._forget()
+        # A line feed in front makes the first word one after a line feed, and is cut off again.
+        even, uneven, kinds = [], [], []
         for text in texts:
             if not text or text[0].isspace():
-                cut.append(([], []))
-                continue
-            text = "\n" + text  # so that the first word is read as one after a line feed, which is cut off again
-            if _uneven(text):
-                parts = [part[1:] if part[0] == " " else part for part in _CUT.split(text)]
+                kinds.append(None)
+            elif _uneven("\n" + text):
+                kinds.append(1)
+                uneven.append([part[1:] if part[0] == " " else part for part in _CUT.split("\n" + text)])
             else:
-                parts = text.replace("\n", " \n").split(" ")[1:]
-            codes = list(map(words.get, parts))
-            if None in codes:
-                new.update([w for w, code in zip(parts, codes, strict=True) if code is None])
-            cut.append((parts, codes))
-        self._add(new)
-        for text, (parts, codes) in zip(texts, cut, strict=True):
-            if text and text[0].isspace():
+                kinds.append(0)
+                even.append("\n" + text.replace("\n", " \n"))
+        cuts = pc.split_pattern(pa.array(even, pa.string()), " "), pa.array(uneven, pa.list_(pa.string()))
+        parts = pa.concat_arrays([pc.list_flatten(cut) for cut in cuts]).dictionary_encode()
+        numbers = self._numbers(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
+        sizes = np.diff(self.ends)[numbers]
+        ids = _shares(self.ids, self.ends[1:][numbers], sizes)
+        place, shift, docs = np.concatenate([[0], np.cumsum(sizes)]), 0, []
+        for cut in cuts:
+            bounds = place[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64) + shift]
+            docs.append(iter(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)))
+            shift += len(pc.list_flatten(cut))
+        for text, kind in zip(texts, kinds, strict=True):
+            if kind is None:
                 yield self._whole(text)
-                continue
-            if None in codes:
-                codes = [words[w] if code is None else code for w, code in zip(parts, codes, strict=True)]
-            yield b"".join(codes)[4:]
+            else:
+                begin, end = next(docs[kind])
+                yield ids[begin + 1 : end]
+
+
+def _shares(ids: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` that end at ``ends``, one after the other."""
+    at = np.repeat(ends - np.cumsum(sizes), sizes)
+    at += np.arange(len(at))
+    return ids[at]
 
 
 def _uneven(text: str) -> bool:
@@ -249,7 +301,7 @@ def token_segments(docs: DataFrame, path: str, end_id: int = END_ID, segment_tok
         for batch in batches:
             for doc_id, null, code in zip(batch["doc_id"].tolist(), batch["null"].tolist(), words.encode(batch["text"].tolist()), strict=True):
                 doc_ids.append(None if null else doc_id)
-                ids.append(np.concatenate([np.frombuffer(code, "<u4"), end]))
+                ids.append(np.concatenate([code, end]))
                 held += len(ids[-1])
                 if held >= segment_tokens:
                     yield close()
