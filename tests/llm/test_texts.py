@@ -240,3 +240,9 @@ def test_pruning_keeps_what_can_still_reach_the_threshold():
     checks = jaccard.least_matches(0.8, 1e-6)
     assert [n for n, _ in checks] == list(range(16, 129, 16))
     assert all(0 < m < 0.8 * n for n, m in checks) and [m for _, m in checks] == sorted(m for _, m in checks)
+
+
+def test_rows_without_words_are_all_kept_whatever_their_white_space(spark):
+    rows = [(1, " "), (1, " "), (1, " "), (2, " "), (2, " "), (None, None), (None, None), (3, "some words of a text"), (3, "some words of a text")]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows) - Counter([(3, "some words of a text")])

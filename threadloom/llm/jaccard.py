@@ -184,23 +184,25 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     words, a null one too, is a class of its own row and always first. A class has a null class_id only if none
     of its rows has an id. Repeated rows share a class. Other columns are left out. An empty table gives no rows.
     """
-    return classify(docs, **how).drop("t1", "t2")
+    return classify(docs, **how).drop("t1", "t2", "wordless")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class; all columns stay as they are."""
-    d, w1, w2, n = unused(docs, "_id", "_t1", "_t2", "_n")
-    firsts = classify(docs, **how).where("is_first").select(F.col("doc_id").alias(d), F.col("t1").alias(w1), F.col("t2").alias(w2)).distinct()
+    d, w1, w2, empty, n = unused(docs, "_id", "_t1", "_t2", "_wordless", "_n")
+    firsts = classify(docs, **how).where("is_first").select(
+        F.col("doc_id").alias(d), F.col("t1").alias(w1), F.col("t2").alias(w2), F.col("wordless").alias(empty)
+    ).distinct()
     t1, t2 = text_key(F.col("text"))
     kept = docs.join(firsts, F.col("doc_id").cast("bigint").eqNullSafe(F.col(d)) & (t1 == F.col(w1)) & (t2 == F.col(w2)))
-    # Rows with the same id and text are one; this needs no other shuffle than the join's.
-    wordless = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
-    number = F.row_number().over(Window.partitionBy(d, w1, w2).orderBy(w1))
-    return kept.withColumn(n, number).where((F.col(n) == 1) | wordless).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Rows with the same id and text are one, but for those without words; this needs no other shuffle than the join's.
+    kept = kept.withColumn(empty, F.when(F.col(empty), F.monotonically_increasing_id()))
+    number = F.row_number().over(Window.partitionBy(d, w1, w2, empty).orderBy(w1))
+    return kept.withColumn(n, number).where(F.col(n) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def classify(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``near_duplicates`` with the two hashes of the text, t1 and t2.
+    """The rows of ``near_duplicates`` with the two hashes of the text, t1 and t2, and whether it has no words.
 
     Vertices are row numbers of a written table, so ids may repeat.
     """
@@ -283,10 +285,10 @@ def classify(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     chosen = chosen.groupBy("k1", "k2").agg(F.min("row").alias("kept"))
     info = info.select("k1", "k2", "class_id", "n_links", "n_copies").join(chosen, ["k1", "k2"], "left")
     one = slim.join(info, ["k1", "k2"]).select(
-        "doc_id", "t1", "t2", "class_id", "n_links", "n_copies", F.coalesce(F.col("row") == F.col("kept"), F.lit(False)).alias("is_first"), "row"
+        "doc_id", "t1", "t2", "class_id", "n_links", "n_copies", F.coalesce(F.col("row") == F.col("kept"), F.lit(False)).alias("is_first"), F.lit(False).alias("wordless")
     )
     none = rows.where("grams = 0").select(
         "doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"),
-        F.lit(True).alias("is_first"), "row",
+        F.lit(True).alias("is_first"), F.lit(True).alias("wordless"),
     )
-    return one.unionByName(none).drop("row")
+    return one.unionByName(none)
