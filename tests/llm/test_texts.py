@@ -243,6 +243,6 @@ def test_pruning_keeps_what_can_still_reach_the_threshold():
 
 
 def test_rows_without_words_are_all_kept_whatever_their_white_space(spark):
-    rows = [(1, " "), (1, " "), (1, " "), (2, " "), (2, " "), (None, None), (None, None), (3, "some words of a text"), (3, "some words of a text")]
+    rows = [(1, "\u00a0"), (1, "\u00a0"), (1, " "), (2, "\u2003"), (2, "\u2003"), (None, None), (None, None), *[(3, "some words of a text")] * 2]
     kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows) - Counter([(3, "some words of a text")])
