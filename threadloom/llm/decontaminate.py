@@ -1,18 +1,23 @@
-"""Passages of benchmark items in documents, found through pieces that edits must leave whole.
-
-An item of length L may have k = ``max_rate`` * L edits, and each edit breaks at most one of its disjoint pieces.
-So of m pieces at least m - k occur unchanged in every copy, and the places where the copy would begin by them lie
-within k of each other, as no more can be inserted and deleted before any of them. A stretch of text in which
-that many pieces of an item are found so close together is a candidate; no copy within the rate is missed. Pieces
-are chosen as rare as the benchmark's own counts tell, ``SPARE`` more than k where the item is long enough.
-Candidates are verified exactly with the bit-parallel edit distance, many at a time.
+"""Passages of benchmark items in documents, found through the CGK embedding.
+
+CGK walks along a string and, at each step, writes the character it stands on and moves on or stays, as a random
+bit of step and character says, so strings that differ by few edits write mostly the same and edit distance becomes
+Hamming distance. A walk that lost its twin finds it again late or never. So the embedding of a window of an item's size is
+put together from walks of ``STEPS`` steps that begin anew at every ``STRIDE``-th character of the text; windows
+of all items and places share them. Items are walked from each of their characters, so any place of a window meets
+its own. Bit sampling compares ``SAMPLE`` random steps of a walk at once: a window and an item are candidates if
+samples at two of its walks agree (one, for items under ``SHORT`` characters), at places that lie apart as they do in
+the item but for the edits allowed. Walks and samples are repeated until edited copies of the items, at the
+largest allowed distance, are missed no more often than the wanted recall allows. Candidates are
+verified exactly with the bit-parallel edit distance, many at a time.
 
 Texts are compared in lower case with white space as one space.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATE = 0.2  # edits allowed for each character of an item
-PIECE = 4  # characters of a piece, fewer in items too short for it
-SPARE = 8
+RECALL = 0.99
+STEPS = 24
+SAMPLE = 14
+STRIDE = 2  # 1 for items under SHORT characters
+SHORT = 48
+REPEATS = 8
+TRIALS = 400
 BATCH = 2048
-SLICE_CHARS = 16_000_000
-_CHUNK = 1_000_000
-_MARKS = 1 << 20
+SLICE_CHARS = 4_000_000
+_GROUP = 500_000
+_STARTS = 1 << 15
+_MARKS = 1 << 22
 _HELD = 4_000_000
+_WIDE = 64
 
-def _search(pattern: str, text: str) -> tuple[int, int]:
+def _search(pattern: Sequence, text: Sequence) -> tuple[int, int]:
     """Least edit distance between the pattern and any part of the text, and where the first such part ends."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
@@ -73,6 +85,9 @@ def within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarr
 def _within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     n, size = len(patterns), np.array([len(p) for p in patterns])
     width, length = int(-(-size.max() // 64)), max(map(len, texts))
+    if width > _WIDE:  # one long number for each pattern
+        found = (_search(p.tolist(), t.tolist())[0] for p, t in zip(patterns, texts, strict=True))
+        return np.fromiter(found, np.int64, n) <= limits
     chars = np.unique(np.concatenate(patterns))
     table = np.full((length, n), len(chars), np.int64)  # the last code: in no pattern
     for k, t in enumerate(texts):
@@ -112,107 +127,166 @@ def _within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndar
     return best <= limits
 
 
+def laid(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in one line with zeros after each, every one at a multiple of the stride; their starts and sizes."""
+    sizes = np.array([len(c) for c in codes], np.int64)
+    room = (sizes // STRIDE + 1) * STRIDE
+    starts = np.cumsum(room) - room
+    line = np.zeros(room.sum() + 1, np.uint8)
+    for a, c in zip(starts, codes, strict=True):
+        line[a : a + len(c)] = fold(c)
+    return line, starts, sizes
+
+
+class Walks:
+    """Walks of one length, their samples, and where the items of one class of lengths have them."""
+
+    def __init__(self, index: ItemIndex, own: np.ndarray, steps: int, seed: int):
+        self.size, self.slack, self.own = index.size, index.limit // 2, own
+        self.limit, self.short = index.limit, int(index.size[own[0]]) < SHORT
+        self.stride = 1 if self.short else STRIDE
+        self.steps, self.seed = steps, seed
+        # The end of a text is 0, on which a walk stays.
+        ends = np.cumsum(index.size[own] + 1)
+        self.line = np.concatenate([np.append(fold(index.codes[k]), np.uint8(0)) for k in own] + [np.zeros(1, np.uint8)])
+        self.item = np.repeat(own, index.size[own] + 1)
+        self.offset = np.arange(ends[-1]) - np.repeat(ends - index.size[own] - 1, index.size[own] + 1)
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _walk(self, line: np.ndarray, starts: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+        """A number for the sampled steps of each walk, and where it ends."""
+        rng = np.random.default_rng((self.seed, self.steps, repeat))
+        moves = rng.integers(0, 2, (self.steps, 256), np.int32)
+        moves[:, 0] = 0
+        values = rng.integers(0, 1 << 63, (self.steps, 256), np.int64)
+        sampled = np.zeros(self.steps, bool)
+        sampled[rng.choice(self.steps, max(1, round(self.steps * SAMPLE / STEPS)) if self.steps >= SAMPLE else self.steps, replace=False)] = True
+        keys, ends = np.zeros(len(starts), np.int64), np.empty(len(starts), np.int32)
+        for low in range(0, len(starts), _STARTS):
+            at = starts[low : low + _STARTS].astype(np.int32)
+            key = keys[low : low + _STARTS]
+            for step in range(self.steps):
+                c = line.take(at)
+                if sampled[step]:
+                    key ^= values[step].take(c)
+                at += moves[step].take(c)
+            ends[low : low + _STARTS] = at
+        return keys, ends
+
+    def add(self) -> None:
+        """One more walk with its sample."""
+        keys, ends = self._walk(self.line, np.arange(len(self.item)), len(self.tables))
+        fine = np.flatnonzero(self.offset + ends - np.arange(len(ends)) <= self.size[self.item])
+        fine = fine[self.line[fine] > 0]
+        order = fine[np.lexsort((self.offset[fine], self.item[fine], keys[fine]))]
+        # Of equal walks that begin close together in an item one is enough, as windows have that much more room.
+        while True:
+            k, i, o = keys[order], self.item[order], self.offset[order]
+            close = np.zeros(len(order), bool)
+            close[1:] = (k[1:] == k[:-1]) & (i[1:] == i[:-1]) & (o[1:] - o[:-1] <= self.slack[i[1:]] // 2)
+            close[1:] &= ~close[:-1]
+            if not close.any():
+                break
+            order = order[~close]
+        seen = np.zeros(_MARKS, bool)
+        seen[k & _MARKS - 1] = True
+        self.tables.append((k, i, o, seen))
+
+    def candidates(self, line: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, begin, end) of windows that agree with an item; those of one text and item are apart.
+
+        ``line`` holds the texts, each from a place in ``starts`` that the stride divides, and zeros between them.
+        """
+        at = np.concatenate([np.arange(a, a + n, self.stride) for a, n in zip(starts, sizes, strict=True)])
+        text = np.repeat(np.arange(len(starts)), -(-sizes // self.stride))
+        shift, n_items = int(self.size.max()), len(self.size)
+        key, begun = [], []
+        for repeat, (keys, item, offset, seen) in enumerate(self.tables):
+            here, _ = self._walk(line, at, repeat)
+            hit = np.flatnonzero(seen.take(here & _MARKS - 1))
+            low = np.searchsorted(keys, here[hit], "left")
+            count = np.searchsorted(keys, here[hit], "right") - low
+            hit, low, count = hit[count > 0], low[count > 0], count[count > 0]
+            pick = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            hit = np.repeat(hit, count)
+            key.append((text[hit] * n_items + item[pick] << 32) + at[hit] - starts[text[hit]] - offset[pick] + shift)
+            begun.append(at[hit])
+        key, begun = np.concatenate(key), np.concatenate(begun)
+        order = np.argsort(key, kind="stable")
+        key, begun = key[order], begun[order]
+        who = key >> 32
+        place = (key & 0xFFFFFFFF) - shift
+        if not self.short:
+            room = (self.limit + self.slack)[who % n_items]
+            pair = (who[1:] == who[:-1]) & (place[1:] - place[:-1] <= room[1:]) & (begun[1:] != begun[:-1])
+            fits = np.append(pair, False) | np.insert(pair, 0, False)
+            who, place = who[fits], place[fits]
+        if not len(who):
+            return []
+        size, limit, slack = (x[who % n_items] for x in (self.size, self.limit, self.slack))
+        # The copy begins within the limit of a walk's place and may be longer than the item by it.
+        a = np.maximum(0, place - limit - slack)
+        b = np.minimum(sizes[who // n_items], place + size + 2 * limit + slack)
+        first = np.flatnonzero(np.insert((who[1:] != who[:-1]) | (a[1:] > b[:-1]), 0, True))
+        last = np.append(first[1:], len(who)) - 1
+        out = zip((who[first] // n_items).tolist(), (who[first] % n_items).tolist(), a[first].tolist(), b[last].tolist(), strict=True)
+        return [w for w in out if w[2] < w[3]]
+
+
+def fold(codes: np.ndarray) -> np.ndarray:
+    """Characters as the numbers that walks write, 1 to 255."""
+    return (codes % 255 + 1).astype(np.uint8)
+
+
+def edited(text: str, edits: int, rng: random.Random) -> str:
+    """The text after random substitutions, insertions and deletions."""
+    chars = list(text)
+    for _ in range(edits):
+        k, what = rng.randrange(len(chars) or 1), rng.random()
+        chars[k : k + (what > 1 / 3)] = rng.choice(text) if what < 2 / 3 else ""
+    return "".join(chars)
+
+
 class ItemIndex:
     """Everything about a slice of the benchmark that tasks need; made on the driver, sent with the task."""
 
-    def __init__(self, items: list[tuple[int, str]], max_rate: float):
+    def __init__(self, items: list[tuple[int, str]], max_rate: float, recall: float = RECALL, seed: int = 7):
         kept = [(i, " ".join(words)) for i, text in items if (words := (text or "").lower().split())]
         self.ids = [i for i, _ in kept]
         self.texts = [t for _, t in kept]
         self.codes = [_codes(t) for t in self.texts]
         self.size = np.array([len(c) for c in self.codes], np.int64)
         self.limit = np.array([int(max_rate * n) for n in self.size], np.int64)
-        self.alphabet = np.unique(np.concatenate(self.codes)) if kept else np.zeros(0, np.uint32)
-        self.place = np.full(0x110000, -1, np.int32)
-        self.place[self.alphabet] = np.arange(len(self.alphabet))
-        self.piece = np.minimum(PIECE, self.size // (self.limit + 1))  # 0: as many edits as characters, so anything may fit
-        self.need = np.zeros(len(kept), np.int64)
-        self.pieces = {}
-        for size in sorted(set(self.piece.tolist()) - {0}):
-            own = np.flatnonzero(self.piece == size)
-            grams = [self._grams(self.codes[k], size) for k in own]
-            _, back, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-            rare = np.split(counts[back].astype(float), np.cumsum([len(g) for g in grams])[:-1])
-            picked = [self._pick(f, size, int(self.size[k]), int(self.limit[k])) for f, k in zip(rare, own, strict=True)]
-            self.need[own] = [len(at) - self.limit[k] for at, k in zip(picked, own, strict=True)]
-            gram = np.concatenate([g[at] for g, at in zip(grams, picked, strict=True)])
-            order = np.argsort(gram, kind="stable")
-            item = np.repeat(own, [len(at) for at in picked])
-            seen = np.zeros(_MARKS, bool)
-            seen[self._mark(gram)] = True
-            self.pieces[size] = gram[order], item[order], np.concatenate(picked)[order], seen
-
-    @staticmethod
-    def _mark(grams: np.ndarray) -> np.ndarray:
-        return (grams * 0x9E3779B97F4A7C1 >> 20) & _MARKS - 1
-
-    @staticmethod
-    def _pick(often: np.ndarray, size: int, length: int, limit: int) -> np.ndarray:
-        """Where the disjoint pieces begin that occur least often in all, ``SPARE`` more than the limit if there is room."""
-        n = min(length // size, limit + SPARE)
-        least = np.full((length + 1, n + 1), np.inf)
-        least[:, 0] = 0
-        taken = np.zeros((length + 1, n + 1), bool)
-        for end in range(size, length + 1):
-            least[end] = least[end - 1]
-            cost = least[end - size, :-1] + often[end - size]
-            better = cost < least[end, 1:]
-            least[end, 1:][better] = cost[better]
-            taken[end, 1:] = better
-        at, end = [], length
-        while n:
-            if taken[end, n]:
-                end, n = end - size, n - 1
-                at.append(end)
-            else:
-                end -= 1
-        return np.array(at[::-1], np.int64)
-
-    def _grams(self, codes: np.ndarray, size: int) -> np.ndarray:
-        """One number for each run of ``size`` characters; -1 if no item has one of them."""
-        place = self.place[codes].astype(np.int64)
-        known = place >= 0
-        n = max(0, len(codes) - size + 1)
-        gram, fine = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(size):
-            gram = gram << 15 ^ place[k : k + n] if len(self.alphabet) <= 1 << 15 else gram * 1_000_003 + place[k : k + n]
-            fine &= known[k : k + n]
-        return np.where(fine, gram & (1 << 62) - 1, -1)
-
-    def windows(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, begin, end): parts of a text that hold all copies of the item; those of one item are apart."""
-        out = [(int(k), 0, len(codes)) for k in np.flatnonzero(self.piece == 0)]
-        for size, (grams, item, offset, seen) in self.pieces.items():
-            step, reach = _CHUNK, int((self.size + 2 * self.limit).max())
-            found = []
-            for begin in range(0, max(1, len(codes)), step):  # bounded hits at a time; a copy lies whole in one part
-                here = self._grams(codes[begin : begin + step + reach], size)
-                at = np.flatnonzero(seen[self._mark(here)] & (here >= 0))
-                low = np.searchsorted(grams, here[at], "left")
-                count = np.searchsorted(grams, here[at], "right") - low
-                at, low, count = at[count > 0], low[count > 0], count[count > 0]
-                pick = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-                # Item and where it would begin; the shift keeps the latter above zero.
-                key = item[pick] << 32 | np.repeat(at, count) - offset[pick] + reach
-                key.sort()
-                who = key >> 32
-                last = np.arange(len(key)) + self.need[who] - 1
-                fits = last < len(key)
-                fits[fits] = key[last[fits]] - key[fits] <= self.limit[who[fits]]
-                # Difference within the limit and below 2^32 - reach: the same item.
-                first, last = np.flatnonzero(fits), last[fits]
-                base = begin - reach
-                found += zip(who[first].tolist(), ((key[first] & 0xFFFFFFFF) + base).tolist(), ((key[last] & 0xFFFFFFFF) + base).tolist(), strict=True)
-            merged: list[list[int]] = []
-            for k, a, b in sorted(found):
-                # The copy begins within the limit of each piece's place and may be longer than the item by it.
-                a, b = max(0, a - int(self.limit[k])), min(len(codes), b + int(self.size[k] + 2 * self.limit[k]))
-                if merged and merged[-1][0] == k and a <= merged[-1][2]:
-                    merged[-1][2] = max(b, merged[-1][2])
-                else:
-                    merged.append([k, a, b])
-            out += [(k, a, b) for k, a, b in merged if a < b]
-        return out
+        # Steps after which an unbroken piece or a third of the item is written; 0: as many edits as characters, so anything may fit.
+        steps = np.minimum(STEPS, np.maximum(self.size // (self.limit + 1), np.where(self.limit < self.size, self.size // 3, 0)))
+        self.any = np.flatnonzero(steps == 0)
+        self.walks = []
+        for n in sorted(set(steps.tolist()) - {0}):
+            for short in (True, False):
+                own = np.flatnonzero((steps == n) & ((self.size < SHORT) == short))
+                if len(own):
+                    self.walks.append(self._repeated(Walks(self, own, n, seed), recall, seed))
+
+    def _repeated(self, walks: Walks, recall: float, seed: int) -> Walks:
+        """Walks added until copies with as many edits as are allowed are candidates as often as wanted."""
+        rng = random.Random(seed)
+        some = [rng.choice(walks.own) for _ in range(TRIALS)]
+        rest = [(int(k), _codes(edited(self.texts[k], int(self.limit[k]), rng))) for k in some]
+        rest = [(k, c) for k, c in rest if len(c)]
+        missed = len(rest)
+        while len(walks.tables) < REPEATS and (not walks.tables or missed > (1 - recall) * len(some)):
+            walks.add()
+            found = {(d, k) for d, k, _, _ in walks.candidates(*laid([c for _, c in rest]))}
+            missed = sum((d, k) not in found for d, (k, _) in enumerate(rest))
+        return walks
+
+    def windows(self, codes: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(text, item, begin, end): parts of the texts that may hold copies of the item."""
+        out = [(d, int(k), 0, len(c)) for k in self.any for d, c in enumerate(codes) if len(c)]
+        line, starts, sizes = laid(codes)
+        for walks in self.walks:
+            out += walks.candidates(line, starts, sizes)
+        return sorted(out)
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, distance, first word, word after the last) of every passage, each once."""
@@ -220,17 +294,21 @@ class ItemIndex:
             return []
         out: list[tuple[int, int, int, int, int]] = []
         held: list[tuple[int, str, np.ndarray, int, int, int]] = []
-        size = 0
+        group: list[tuple[int, str, np.ndarray]] = []
+        chars = size = 0
         for d, text in enumerate(texts):
             plain = " ".join((text or "").lower().split())
-            codes = _codes(plain)
-            own = self.windows(codes)
-            held += ((d, plain, codes, k, a, b) for k, a, b in own)
-            size += sum(b - a for _, a, b in own)
-            if size >= _HELD or d == len(texts) - 1:
-                out += self._verified(held)
-                held, size = [], 0
-        return sorted(out)
+            group.append((d, plain, _codes(plain)))
+            chars += len(plain)
+            if chars >= _GROUP or d == len(texts) - 1:
+                for n, k, a, b in self.windows([c for _, _, c in group]):
+                    held.append((*group[n], k, a, b))
+                    size += b - a
+                    if size >= _HELD:
+                        out += self._verified(held)
+                        held, size = [], 0
+                group, chars = [], 0
+        return sorted([*out, *self._verified(held)])
 
     def _verified(self, windows: list[tuple[int, str, np.ndarray, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
         # Long windows in parts of like length, which overlap by the longest copy.
@@ -270,7 +348,7 @@ class ItemIndex:
             todo += [(low, a), (b, high)]
 
 
-def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, slice_chars: int = SLICE_CHARS) -> Iterator[ItemIndex]:
+def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, slice_chars: int = SLICE_CHARS) -> Iterator[ItemIndex]:
     """The benchmark in slices of about ``slice_chars`` characters, one after the other.
 
     Rows without an id or without words are no items. Equal rows count once.
@@ -280,7 +358,7 @@ def item_indexes(benchmark: DataFrame, max_rate: float = MAX_RATE, slice_chars:
     n = max(1, -(-total // slice_chars))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield ItemIndex(sorted((r["item_id"], r["text"]) for r in rows), max_rate)
+        yield ItemIndex(sorted((r["item_id"], r["text"]) for r in rows), max_rate, recall)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
