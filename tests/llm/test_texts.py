@@ -119,6 +119,42 @@ def test_copies_without_three_whole_words_are_found():
         assert {(k, k) for k in range(30)} <= found
 
 
+def test_leaks_equal_a_search_of_every_pair(spark):
+    """Copies at all rates among clean texts of few syllables, against the least distance of every pair."""
+    rng = random.Random(31)
+    sound = ["the", "ing", "tion", "ha", "re", "on", "er", "st", "nd", "ea"]
+
+    def prose(n):
+        return " ".join("".join(rng.choices(sound, k=rng.randrange(1, 4))) for _ in range(n))
+
+    items = [(k, prose(rng.randrange(3, 50))) for k in range(40)]
+    docs = []
+    for i in range(160):
+        text = prose(rng.randrange(60))
+        if i % 2:
+            own = rng.choice(items)[1]
+            text = f"{text} {edits(rng, own, int(rng.choice((0, 0.05, 0.1, 0.15, 0.19)) * len(own)))} {prose(20)}"
+        docs.append((i, text))
+    plain = [" ".join(t.split()) for _, t in docs]
+    want = {(i, k) for i, t in enumerate(plain) for k, p in items if decontaminate.best_part(p, t)[0] <= int(0.2 * len(p))}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= want and len(found) >= 0.97 * len(want) > 60
+    index = decontaminate.ItemIndex(items, 0.2)
+    together = index.find([t for _, t in docs])
+    assert together == [(i, *row) for i, (_, t) in enumerate(docs) for _, *row in index.find([t])]
+
+
+def test_a_very_long_item():
+    rng = random.Random(32)
+    long = words(rng, 9_000, 5000)
+    assert len(long) > 50_000
+    copy = edits(rng, long, len(long) // 20)
+    index = decontaminate.ItemIndex([(1, long), (2, "a" * 3000)], 0.2)
+    found = index.find([f"{words(rng, 500, 5000)} {copy}", words(rng, 9_000, 5000), "a" * 5000, None, ""])
+    assert {(d, i) for d, i, *_ in found} == {(0, 1), (2, 2)}
+
+
 def test_search_of_many_is_the_search_of_each():
     rng = random.Random(22)
     pairs = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 150))), "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 200)))) for _ in range(300)]

@@ -212,6 +212,8 @@ class Walks:
             key.append((text[hit] * n_items + item[pick] << 32) + at[hit] - starts[text[hit]] - offset[pick] + shift)
             begun.append(at[hit])
         key, begun = np.concatenate(key), np.concatenate(begun)
+        if not len(key):
+            return []
         order = np.argsort(key, kind="stable")
         key, begun = key[order], begun[order]
         who = key >> 32
