@@ -7,7 +7,7 @@ put together from walks of ``STEPS`` steps that begin anew at every ``STRIDE``-t
 of all items and places share them. Items are walked from each of their characters, so any place of a window meets
 its own. Bit sampling compares ``SAMPLE`` random steps of a walk at once: a window and an item are candidates if
 samples at two of its walks agree (one, for items under ``SHORT`` characters), at places that lie apart as they do in
-the item but for the edits allowed. Walks and samples are repeated until edited copies of the items, at the
+the item but for a part of the edits allowed: where edits lie close together the rest of a copy is whole. Walks and samples are repeated until edited copies of the items, at the
 largest allowed distance, are missed no more often than the wanted recall allows. Candidates are
 verified exactly with the bit-parallel edit distance, many at a time.
 
@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATE = 0.2  # edits allowed for each character of an item
-RECALL = 0.99
+RECALL = 0.999
 STEPS = 24
-SAMPLE = 14
+SAMPLE = 12
 STRIDE = 2  # 1 for items under SHORT characters
 SHORT = 48
 REPEATS = 8
+APART = 12  # between the beginnings of two walks, as far as a walk gets on average
 TRIALS = 400
+NEAR = 8  # two walks may be displaced by this part of the edits allowed
 BATCH = 2048
 SLICE_CHARS = 4_000_000
 _GROUP = 500_000
@@ -142,7 +144,7 @@ class Walks:
     """Walks of one length, their samples, and where the items of one class of lengths have them."""
 
     def __init__(self, index: ItemIndex, own: np.ndarray, steps: int, seed: int):
-        self.size, self.slack, self.own = index.size, index.limit // 2, own
+        self.size, self.slack, self.own = index.size, index.limit // 8, own
         self.limit, self.short = index.limit, int(index.size[own[0]]) < SHORT
         self.stride = 1 if self.short else STRIDE
         self.steps, self.seed = steps, seed
@@ -183,7 +185,7 @@ class Walks:
         while True:
             k, i, o = keys[order], self.item[order], self.offset[order]
             close = np.zeros(len(order), bool)
-            close[1:] = (k[1:] == k[:-1]) & (i[1:] == i[:-1]) & (o[1:] - o[:-1] <= self.slack[i[1:]] // 2)
+            close[1:] = (k[1:] == k[:-1]) & (i[1:] == i[:-1]) & (o[1:] - o[:-1] <= self.slack[i[1:]])
             close[1:] &= ~close[:-1]
             if not close.any():
                 break
@@ -218,17 +220,19 @@ class Walks:
         key, begun = key[order], begun[order]
         who = key >> 32
         place = (key & 0xFFFFFFFF) - shift
+        room = (self.limit // NEAR + self.slack)[who % n_items]
+        first = np.flatnonzero(np.insert((who[1:] != who[:-1]) | (place[1:] - place[:-1] > room[1:]), 0, True))
+        last = np.append(first[1:], len(who)) - 1
         if not self.short:
-            room = (self.limit + self.slack)[who % n_items]
-            pair = (who[1:] == who[:-1]) & (place[1:] - place[:-1] <= room[1:]) & (begun[1:] != begun[:-1])
-            fits = np.append(pair, False) | np.insert(pair, 0, False)
-            who, place = who[fits], place[fits]
-        if not len(who):
+            apart = np.maximum.reduceat(begun, first) - np.minimum.reduceat(begun, first) >= APART
+            first, last = first[apart], last[apart]
+        if not len(first):
             return []
+        who, low, high = who[first], place[first], place[last]
         size, limit, slack = (x[who % n_items] for x in (self.size, self.limit, self.slack))
-        # The copy begins within the limit of a walk's place and may be longer than the item by it.
-        a = np.maximum(0, place - limit - slack)
-        b = np.minimum(sizes[who // n_items], place + size + 2 * limit + slack)
+        # All edits together are within the limit, before and after the walk.
+        a = np.maximum(0, low - limit - slack)
+        b = np.minimum(sizes[who // n_items], high + size + limit + slack)
         first = np.flatnonzero(np.insert((who[1:] != who[:-1]) | (a[1:] > b[:-1]), 0, True))
         last = np.append(first[1:], len(who)) - 1
         out = zip((who[first] // n_items).tolist(), (who[first] % n_items).tolist(), a[first].tolist(), b[last].tolist(), strict=True)
@@ -241,8 +245,12 @@ def fold(codes: np.ndarray) -> np.ndarray:
 
 
 def edited(text: str, edits: int, rng: random.Random) -> str:
-    """The text after random substitutions, insertions and deletions."""
+    """The text after random substitutions, insertions and deletions, or with that many characters replaced by a foreign one."""
     chars = list(text)
+    if rng.random() < 0.5:
+        for k in rng.sample(range(len(chars)), min(edits, len(chars))):
+            chars[k] = "\0"
+        return "".join(chars)
     for _ in range(edits):
         k, what = rng.randrange(len(chars) or 1), rng.random()
         chars[k : k + (what > 1 / 3)] = rng.choice(text) if what < 2 / 3 else ""
