@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ _STARTS = 1 << 15
 _MARKS = 1 << 22
 _HELD = 4_000_000
 _WIDE = 64
+_FEW = 16
 
 def _search(pattern: Sequence, text: Sequence) -> tuple[int, int]:
     """Least edit distance between the pattern and any part of the text, and where the first such part ends."""
@@ -77,9 +79,16 @@ def _codes(text: str) -> np.ndarray:
 def within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     """Whether each text, as codes, has a part within ``limits`` edits of its pattern; patterns are not empty."""
     out = np.zeros(len(patterns), bool)
-    order = np.lexsort(([len(t) for t in texts], [-(-len(p) // 64) for p in patterns])) if len(patterns) else []
-    for at in range(0, len(order), BATCH):
-        rows = order[at : at + BATCH]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    order = np.lexsort((lengths, [-(-len(p) // 64) for p in patterns])) if len(patterns) else np.zeros(0, np.int64)
+    # Batches of like length, as the longest text decides how many steps all take.
+    cuts = [0]
+    while cuts[-1] < len(order):
+        rest = lengths[order[cuts[-1] : cuts[-1] + BATCH]]
+        unlike = np.flatnonzero((rest > 1.3 * rest[0] + 32) | (rest < rest[0]))
+        cuts.append(cuts[-1] + (int(unlike[0]) if len(unlike) else len(rest)))
+    for low, high in pairwise(cuts):
+        rows = order[low:high]
         out[rows] = _within([patterns[r] for r in rows], [texts[r] for r in rows], limits[rows])
     return out
 
@@ -87,21 +96,24 @@ def within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarr
 def _within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> np.ndarray:
     n, size = len(patterns), np.array([len(p) for p in patterns])
     width, length = int(-(-size.max() // 64)), max(map(len, texts))
-    if width > _WIDE:  # one long number for each pattern
+    if width > _WIDE or n < _FEW:  # one long number for each pattern
         found = (_search(p.tolist(), t.tolist())[0] for p, t in zip(patterns, texts, strict=True))
         return np.fromiter(found, np.int64, n) <= limits
-    chars = np.unique(np.concatenate(patterns))
-    table = np.full((length, n), len(chars), np.int64)  # the last code: in no pattern
-    for k, t in enumerate(texts):
-        place = np.minimum(np.searchsorted(chars, t), len(chars) - 1)
-        table[: len(t), k] = np.where(chars[place] == t, place, len(chars))
     own: dict[int, int] = {}
     which = np.array([own.setdefault(id(p), len(own)) for p in patterns])
     firsts = np.unique(which, return_index=True)[1]
+    chars = np.unique(np.concatenate([patterns[k] for k in firsts]))
+    kind = np.uint8 if len(chars) < 256 else np.uint32
+    place = np.full(int(chars[-1]) + 2, len(chars), kind)  # the last code: in no pattern
+    place[chars] = np.arange(len(chars))
+    table = np.full((n, length), len(chars), kind)
+    for k, t in enumerate(texts):
+        place.take(t, mode="clip", out=table[k, : len(t)])
+    table = np.ascontiguousarray(table.T)
     masks = np.zeros((width, len(own) * (len(chars) + 1)), np.uint64)
     for k, first in enumerate(firsts):
         i = np.arange(size[first])
-        np.bitwise_or.at(masks, (i // 64, k * (len(chars) + 1) + np.searchsorted(chars, patterns[first])), np.uint64(1) << (i % 64).astype(np.uint64))
+        np.bitwise_or.at(masks, (i // 64, k * (len(chars) + 1) + place[patterns[first]].astype(np.int64)), np.uint64(1) << (i % 64).astype(np.uint64))
     base = which * (len(chars) + 1)
     one, high = np.uint64(1), np.uint64(63)
     plus, minus = np.full((width, n), ~np.uint64(0)), np.zeros((width, n), np.uint64)
@@ -109,22 +121,22 @@ def _within(patterns: list[np.ndarray], texts: list[np.ndarray], limits: np.ndar
     score, best, every = size.copy(), size.copy(), np.arange(n)
     for step in range(length):
         at = base + table[step]
-        carry, up_in, down_in = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        ups, downs = np.empty((width, n), np.uint64), np.empty((width, n), np.uint64)
+        carry, up_in, down_in = np.zeros((3, n), np.uint64)
+        ups, downs = np.empty((2, width, n), np.uint64)
         for w in range(width):
-            eq, p, m = masks[w][at], plus[w], minus[w]
+            eq, p, m = masks[w].take(at), plus[w], minus[w]
             both = eq & p
             part = both + p
-            total = part + carry
-            carry = ((part < p) | (total < part)).astype(np.uint64)
+            total = part + carry if w else part
             diagonal = (total ^ p) | eq | m
-            up, down = m | ~(diagonal | p), p & diagonal
-            ups[w], downs[w] = up, down
-            up_next, down_next = up >> high, down >> high
+            up, down = np.bitwise_or(m, ~(diagonal | p), out=ups[w]), np.bitwise_and(p, diagonal, out=downs[w])
             up, down = up << one | up_in, down << one | down_in
-            up_in, down_in = up_next, down_next
+            if w < width - 1:
+                carry = ((part < p) | (total < part)).astype(np.uint64)
+                up_in, down_in = ups[w] >> high, downs[w] >> high
             plus[w], minus[w] = down | ~(diagonal | up), up & diagonal
-        score += (ups[last, every] >> bit & one).astype(np.int64) - (downs[last, every] >> bit & one).astype(np.int64)
+        up, down = (ups[0], downs[0]) if width == 1 else (ups[last, every], downs[last, every])
+        score += (up >> bit & one).astype(np.int64) - (down >> bit & one).astype(np.int64)
         np.minimum(best, score, out=best)
     return best <= limits
 
@@ -270,6 +282,7 @@ class ItemIndex:
         # Steps after which an unbroken piece or a third of the item is written; 0: as many edits as characters, so anything may fit.
         steps = np.minimum(STEPS, np.maximum(self.size // (self.limit + 1), np.where(self.limit < self.size, self.size // 3, 0)))
         self.any = np.flatnonzero(steps == 0)
+        self.sections = [np.array_split(c, -(-len(c) // 64)) for c in self.codes]
         self.walks = []
         for n in sorted(set(steps.tolist()) - {0}):
             for short in (True, False):
@@ -326,6 +339,8 @@ class ItemIndex:
         for n, (_, _, _, k, a, b) in enumerate(windows):
             longest = int(self.size[k] + self.limit[k])
             parts += ((n, x, min(b, x + 2 * longest)) for x in range(a, max(a + 1, b - longest), longest))
+        near = self._near(windows, parts)
+        parts = [part for part, fine in zip(parts, near, strict=True) if fine]
         items = np.array([windows[n][3] for n, _, _ in parts], np.int64)
         hits = within([self.codes[k] for k in items], [windows[n][2][x:y] for n, x, y in parts], self.limit[items])
         joined: list[list[int]] = []
@@ -338,6 +353,25 @@ class ItemIndex:
             d, plain, _, k, _, _ = windows[n]
             yield from ((d, self.ids[k], *passage) for passage in self._passages(plain, k, x, y))
 
+    def _near(self, windows: list[tuple[int, str, np.ndarray, int, int, int]], parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Whether a section of the item, of at most 64 characters, has no more than its share of the edits, as one of every copy has."""
+        which, sections, texts, limits = [], [], [], []
+        for at, (n, x, y) in enumerate(parts):
+            _, _, codes, k, a, b = windows[n]
+            own, size, begin = self.sections[k], int(self.size[k]), 0
+            # Within a window a section has its place but for the edits; the ends of the text and of a part of a window say nothing.
+            left, right = x == a > 0, y == b < len(codes)
+            for section in own:
+                end = begin + len(section)
+                which.append(at)
+                sections.append(section)
+                texts.append(codes[x + begin if left else x : max(x, y - size + end) if right else y])
+                limits.append(int(self.limit[k]) // len(own))
+                begin = end
+        out = np.zeros(len(parts), bool)
+        out[np.array(which, np.int64)[within(sections, texts, np.array(limits, np.int64))]] = True
+        return out
+
     def _passages(self, text: str, k: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
         """The nearest passage of a window, and those on either side of it."""
         todo = [(low, high)]
