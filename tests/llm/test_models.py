@@ -200,6 +200,54 @@ def test_rare_contexts_stay_in_the_model_of_a_larger_corpus(spark, monkeypatch,
             assert r["score"] == pytest.approx(model.log10(dict(rows)[r["doc_id"]].encode()), rel=1e-9)
 
 
+def test_grams_of_documents_cross_a_shuffle_packed(spark, monkeypatch):
+    """Many buckets and gatherings, texts that share grams, and a row for each bucket of a gathering, not for each gram of a text."""
+    for name, value in (("SENT", 40), ("_BUCKET", 100), ("_GATHERED", 300), ("_ROWS", 50)):
+        monkeypatch.setattr(ppm, name, value)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    asked = []
+    inner = ppm._gram_scores
+    monkeypatch.setattr(ppm, "_gram_scores", lambda full, packed, buckets, least: asked.append((packed, buckets)) or inner(full, packed, buckets, least))
+    rng = random.Random(26)
+    rows = [(i, "".join(rng.choice("abcdéXŻ ") for _ in range(rng.randrange(60))) + "shared tail " * rng.randrange(3)) for i in range(80)] + [(90, "z" * 400), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = BrutePPM([t.encode() for i, t in rows if i < 40], 1)
+    try:
+        spark.conf.set(batch, 5)
+        out = ppm.lm_scores(docs, F.col("doc_id") < 40)
+        got = {r["doc_id"]: r["score"] for r in out.collect()}
+    finally:
+        spark.conf.set(batch, usual)
+    assert len(got) == len(rows)
+    for i, text in rows:
+        assert got[i] == pytest.approx(model.log10((text or "").encode()), rel=1e-9)
+    ((packed, buckets),) = asked
+    lists = packed.collect()
+    pairs = sum(len(r["owners"]) for r in lists)
+    assert buckets > 9 and len({r["bucket"] for r in lists}) > 9 and len({r["row"] for r in lists}) > 3
+    assert all(sum(r["sizes"]) == len(r["owners"]) == len(r["times"]) and len(r["keys"]) == len(r["sizes"]) for r in lists)
+    assert len(lists) < pairs / 5 and sum(len(r["keys"]) for r in lists) < pairs
+    assert out._jdf.queryExecution().analyzed().toString().count("Generate explode") == 1  # words alone go out one by one
+
+
+def test_packed_grams_are_those_of_each_text():
+    rng = np.random.default_rng(1)
+    keys, docs = rng.choice(rng.integers(0, 1 << 48, 60), 3000), rng.integers(0, ppm._DOCS, 40)[rng.integers(0, 40, 3000)]
+    keys[:200] = (1 << 48) - 1
+    docs[:200] = ppm._DOCS - 1
+    places, lists = ppm._packed(keys * ppm._DOCS + docs, 7)
+    assert len(set(places.tolist())) == len(places) <= 7
+    got = Counter()
+    for place, k, sizes, owners, times in zip(places, *lists, strict=True):
+        assert len(set(k.tolist())) == len(k) and (ppm._bucket(ppm._part(k), 7) == place).all()
+        for key, owner, n in zip(np.repeat(k, sizes).tolist(), owners.tolist(), times.tolist(), strict=True):
+            assert (key, owner) not in got
+            got[key, owner] = n
+    assert got == Counter(zip(keys.tolist(), docs.tolist(), strict=True))
+    assert len(ppm._packed(np.zeros(0, np.int64), 7)[0]) == 0
+
+
 def test_scores_on_edge_rows(edge_docs, edge_rows, no_docs):
     got = ppm.lm_scores(edge_docs).collect()
     assert len(got) == len(edge_rows) and all(r["score"] < 0 and r["base_score"] < 0 and r["n_known"] == r["n_tokens"] for r in got)

@@ -2,11 +2,13 @@
 
 The pretrained model is a trie of byte contexts up to ``ORDER`` long. Its counts come from every byte of the
 training texts, and all of them are kept, in a written table, so the model grows with the corpus. Grams of full
-length that make up at least one in ``SENT`` of the training bytes are sent along with their logs; the distinct
-others of the documents are looked up by a shuffled join. What is asked of contexts of three bytes and more is
-decided by grams that share those three bytes, so each such group is coded on its own; the nodes of shorter
-contexts, few as UTF-8 has few sequences of three bytes, are sent along. ``NODES``, if set, leaves out contexts and
-bytes after a context that make up less than one in ``NODES`` of the training bytes.
+length that make up at least one in ``SENT`` of the training bytes are sent along with their logs. The others of
+the documents are shuffled once to the counts: gathered over many documents, each distinct gram with the documents
+that have it, as lists rather than a row for each gram of a document. What is asked of contexts of three bytes and
+more is decided by grams that share those three bytes, so those that do go to the same bucket, and each bucket is
+coded on its own; the nodes of shorter contexts, few as UTF-8 has few sequences of three bytes, are sent along.
+``NODES``, if set, leaves out contexts and bytes after a context that make up less than one in ``NODES`` of the
+training bytes.
 
 A byte is coded in the longest context of the trie that precedes it. With T occurrences of the context, n of
 them before its d child bytes, a child seen c times has probability c/(T+d), and the escape (T-n+d)/(T+d).
@@ -28,6 +30,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,9 @@ NODES: int | None = None
 SENT = 1 << 20
 SHORT = 2  # contexts up to this length are sent along
 _ROWS = 400_000
+_BUCKET = 1 << 17  # grams of the model in a bucket, on average
+_GATHERED = 1 << 20  # grams of the documents gathered before they are packed
+_DOCS = 1 << 14  # documents they may come from; fits 16 bits
 START, END = 0xFE, 0xFF
 _CHUNK = 1 << 18
 _KEPT = 2_000_000
@@ -206,41 +212,96 @@ def _head(full: DataFrame, bytes_: int, least: int) -> tuple[np.ndarray, np.ndar
     return keys, np.log10(counts / (facts["n"] + facts["d"]).to_numpy(np.int64)[own]) if len(keys) else np.zeros(0)
 
 
-def _gram_logs(full: DataFrame, asked: DataFrame, least: int) -> DataFrame:
-    """Log probability (key, log) of the distinct grams ``asked`` (key)."""
+def _bucket(part, buckets: int):
+    """The bucket of the three bytes before a byte, as a number, for arrays and Spark columns alike."""
+    return part * 0x9E3779B1 % (1 << 32) % 1_000_003 % buckets
+
+
+def _part(keys: np.ndarray) -> np.ndarray:
+    return keys >> (8 * (ORDER - SHORT - 1)) & ((1 << 8 * (SHORT + 1)) - 1)
+
+
+def _packed(marks: np.ndarray, buckets: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Grams of documents, as gram * ``_DOCS`` + document, with repeats: the buckets that occur, and the lists of each.
+
+    The lists are the distinct grams, how many documents have each, those documents, and how often they have it.
+    """
+    marks = np.sort(marks)
+    new = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])[: len(marks)])
+    times = np.diff(np.append(new, len(marks))).astype(np.int32)
+    marks = marks[new]
+    keys = marks // _DOCS
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    sizes, keys = np.diff(np.append(first, len(keys))), keys[first]
+    place = _bucket(_part(keys), buckets)
+    order = np.argsort(place, kind="stable")
+    keys, place, ends = keys[order], place[order], np.cumsum(sizes[order])
+    pairs = np.repeat(first[order] - ends + sizes[order], sizes[order]) + np.arange(len(marks))
+    cut = np.flatnonzero(place[1:] != place[:-1]) + 1
+    far = ends[cut - 1]
+    lists = [
+        np.split(keys, cut), np.split(sizes[order].astype(np.int16), cut),
+        np.split((marks[pairs] % _DOCS).astype(np.int16), far), np.split(times[pairs], far),
+    ]
+    return place[np.append(0, cut)] if len(place) else place, lists
+
+
+def _gram_scores(full: DataFrame, asked: DataFrame, buckets: int, least: int) -> DataFrame:
+    """Log probability (row, log) of the packed grams ``asked``; a row has several, to be added."""
     short = local(full.groupBy(F.shiftright("key", 8 * (ORDER - SHORT)).alias("key")).agg(F.sum("n").alias("n")))
     top = short["key"].to_numpy(np.int64), short["n"].to_numpy(np.int64)
-    levels = {n: _level(*top, SHORT, n, least) if len(top[0]) else ((np.zeros(0, np.int64),) * 2,) * 2 for n in range(SHORT + 1)}
-    sent = full.sparkSession.sparkContext.broadcast(levels)
+    none = ((np.zeros(0, np.int64),) * 2,) * 2
+    sent = full.sparkSession.sparkContext.broadcast({n: _level(*top, SHORT, n, least) if len(top[0]) else none for n in range(SHORT + 1)})
     part = F.shiftright("key", 8 * (ORDER - SHORT - 1)).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
-    both = full.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("bigint").alias("n"))).withColumn("part", part)
+    taught = full.select(_bucket(part, buckets).cast("int").alias("bucket"), F.lit(-1).cast("bigint").alias("row"), "key", "n")
+    lists = ("keys", "sizes", "owners", "times")
+    # Empty lists, because Spark goes over all null ones of an Arrow batch again for every further row.
+    taught = taught.withColumns({c: F.array().cast(asked.schema[c].dataType) for c in lists})
+    both = taught.unionByName(asked.select("bucket", "row", F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), *lists))
 
-    def code(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        wanted = keys[counts == 0]
+    def model_of(taught: list[tuple[np.ndarray, np.ndarray]]) -> PartialMatching:
         levels = dict(sent.value)
-        if len(wanted):
-            taught = counts > 0
-            for n in range(SHORT + 1, ORDER + 1):
-                levels[n] = _level(keys[taught], counts[taught], ORDER, n, least) if taught.any() else ((np.zeros(0, np.int64),) * 2,) * 2
-        model = PartialMatching({n: x[0] for n, x in levels.items()}, {n: x[1] for n, x in levels.items()})
-        return pd.DataFrame({"key": wanted, "log": model.log10(wanted) if len(wanted) else np.zeros(0)})
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        for n in range(SHORT + 1, ORDER + 1):
+            levels[n] = _level(*map(np.concatenate, zip(*taught, strict=True)), ORDER, n, least) if taught else none
+        return PartialMatching({n: x[0] for n, x in levels.items()}, {n: x[1] for n, x in levels.items()})
+
+    def scores(model: PartialMatching, asked: list[tuple]) -> pa.RecordBatch:
+        unique, at = np.unique(np.concatenate([keys for _, keys, *_ in asked]), return_inverse=True)
+        logs = np.split(model.log10(unique)[at], np.cumsum([len(keys) for _, keys, *_ in asked])[:-1])
+        rows, sums = [], []
+        for log, (start, _, sizes, owners, times) in zip(logs, asked, strict=True):
+            here = np.flatnonzero(np.bincount(owners))
+            rows.append(start + here)
+            sums.append(np.bincount(owners, np.repeat(log, sizes) * times)[here])
+        return pa.RecordBatch.from_pydict({"row": np.concatenate(rows), "log": np.concatenate(sums)})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, model = None, None
+        taught: list[tuple[np.ndarray, np.ndarray]] = []
+        asked: list[tuple] = []
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= _ROWS:
-                rows = pd.concat(held, ignore_index=True)
-                open_ = rows["part"] == rows["part"].iloc[-1]
-                held, size = [rows[open_]], 0  # the last group may go on
-                if not open_.all():
-                    yield code(rows[~open_])
-        if held:
-            yield code(pd.concat(held, ignore_index=True))
-
-    return both.repartition("part").sortWithinPartitions("part").mapInPandas(walk, "key long, log double")
+            buckets, starts = batch["bucket"].to_numpy(), batch["row"].to_numpy()
+            kind = starts >= 0  # the counts of a bucket come before what is asked of it
+            cut = np.flatnonzero((buckets[1:] != buckets[:-1]) | kind[1:] | kind[:-1]) + 1
+            for low, high in zip([0, *cut], [*cut, len(starts)], strict=True):
+                if high == low:
+                    continue
+                if buckets[low] != bucket:
+                    if asked:
+                        yield scores(model or model_of(taught), asked)
+                    bucket, model, taught, asked = buckets[low], None, [], []
+                if not kind[low]:
+                    taught.append(tuple(batch[c].slice(low, high - low).to_numpy().copy() for c in ("key", "n")))
+                    continue
+                asked.append((starts[low], *(batch[c][low].values.to_numpy() for c in lists)))
+                if sum(len(x[1]) for x in asked) >= _ROWS:
+                    model = model or model_of(taught)
+                    yield scores(model, asked)
+                    asked = []
+        if asked:
+            yield scores(model or model_of(taught), asked)
+
+    return both.repartition("bucket").sortWithinPartitions("bucket", "row").mapInArrow(walk, "row long, log double")
 
 
 def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
@@ -256,7 +317,8 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = math.log10(total + 0.5 * (distinct + 1))
     often = max(1, -(-total // SENT))
-    bytes_ = full.agg(F.sum("n")).first()[0] or 0
+    bytes_, grams_known = full.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = -(-grams_known // _BUCKET) or 1
     least = max(1, -(-bytes_ // NODES)) if NODES else 1
     heavy = local(words.where((F.col("n") >= often) | (F.col("key") == 0))).sort_values("key")  # at most SENT rows and the end
     context = docs.sparkSession.sparkContext
@@ -266,16 +328,33 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
         (known_grams, gram_logs), keys, counts = sent.value
         gram_logs = np.append(gram_logs, 0.0)  # of those looked up later
         logs = np.append(np.log10(counts + 0.5), 0.0)
+        marks, start, size = [], 0, 0
+
+        def gathered() -> Iterator[pd.DataFrame]:
+            places, (keys, sizes, owners, times) = _packed(np.concatenate(marks) if marks else np.zeros(0, np.int64), buckets)
+            if len(places):
+                yield pd.DataFrame({
+                    "row": start, "doc_id": 0, "null": True, "n_tokens": 0, "known": 0, "base": 0.0, "score": 0.0, "rare": None, "rare_n": None,
+                    "bucket": places, "keys": keys, "sizes": sizes, "owners": owners, "times": times,
+                })
+
         for batch in batches:
             for low in _ranges(batch["text"]):
                 part = batch.iloc[low]
+                rows = part["row"].to_numpy()
+                if size >= _GATHERED or rows[-1] - start >= _DOCS:
+                    yield from gathered()
+                    marks, size = [], 0
+                if not size:
+                    marks, start = [], rows[0]
                 texts = [t.encode("utf-8", "replace") for t in part["text"]]
                 sizes = np.array([len(t) for t in texts])
                 coded = grams(texts)
                 place = _places(known_grams, coded)
                 bits = np.concatenate([[0.0], np.cumsum(gram_logs[place])])
                 ends = np.cumsum(sizes + 1)
-                far, far_n = _rare(np.repeat(np.arange(len(texts)), sizes + 1)[place < 0], coded[place < 0], len(texts))
+                marks.append(coded[place < 0] * _DOCS + np.repeat(rows - start, sizes + 1)[place < 0])
+                size += len(marks[-1])
                 lists = [word_hashes(t) for t in texts]
                 n = np.array([len(x) for x in lists], np.int64)
                 codes, hashes = _Hasher().many([w for x in lists for w in x])
@@ -286,25 +365,27 @@ def lm_scores(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
                 end = _places(keys, np.array([END_WORD]).view(np.int64))[0]
                 rare, rare_n = _rare(owner[token < 0], hashes[codes[token < 0]], len(texts))
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "null": part["null"].to_numpy(), "n_tokens": n + 1,
+                    "row": rows, "doc_id": part["doc_id"].to_numpy(), "null": part["null"].to_numpy(), "n_tokens": n + 1,
                     "known": np.bincount(owner[token >= 0], minlength=len(texts)) + (end >= 0),
                     "base": np.bincount(owner, logs[token] * (token >= 0), len(texts)) + logs[end] * (end >= 0),
-                    "score": bits[ends] - bits[ends - sizes - 1], "rare": rare, "rare_n": rare_n, "far": far, "far_n": far_n,
+                    "score": bits[ends] - bits[ends - sizes - 1], "rare": rare, "rare_n": rare_n,
+                    "bucket": -1, "keys": None, "sizes": None, "owners": None, "times": None,
                 })
+        yield from gathered()
 
-    ready = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null"), F.coalesce("text", F.lit("")).alias("text"))
-    fields = "doc_id long, null boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>, far array<long>, far_n array<int>"
-    first = staged(ready.mapInPandas(score, fields).withColumn("row", F.monotonically_increasing_id()), "scores")
+    ready = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    fields = "row long, doc_id long, null boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>"
+    packed = "bucket int, keys array<long>, sizes array<short>, owners array<short>, times array<int>"
+    written = staged(ready.mapInPandas(score, f"{fields}, {packed}"), "scores")
     sent.destroy()
+    first = written.where("bucket < 0").drop("bucket", "keys", "sizes", "owners", "times")  # a row for each document
     asked = first.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("times"))
     rare_words = words.where((F.col("n") < often) & (F.col("key") != 0)).withColumnRenamed("n", "count")
     found = asked.join(rare_words, "key").groupBy("row").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10((F.col("count") + 0.5) / 0.5)).alias("above")
     )
-    grams_asked = first.select("row", F.explode(F.arrays_zip("far", "far_n")).alias("x")).select("row", F.col("x.far").alias("key"), F.col("x.far_n").alias("times"))
-    logs = staged(_gram_logs(full, grams_asked.select("key").distinct(), least), "logs")
-    coded = grams_asked.join(logs, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("far_score"))
-    out = first.drop("rare", "rare_n", "far", "far_n").join(found, "row", "left").join(coded, "row", "left")
+    coded = _gram_scores(full, written.where("bucket >= 0"), buckets, least).groupBy("row").agg(F.sum("log").alias("far_score"))
+    out = first.drop("rare", "rare_n").join(found, "row", "left").join(coded, "row", "left")
     zero = F.lit(0)
     unknown = F.lit(math.log10(0.5))
     # Words sent along have their logs in base; all others start as unknown ones and gain from the join.
@@ -330,7 +411,7 @@ def _ranges(texts: pd.Series) -> Iterator[slice]:
     begin, size = 0, 0
     for k, text in enumerate(texts):
         size += len(text)
-        if size >= _CHUNK:
+        if size >= _CHUNK or k + 1 - begin == _DOCS:
             yield slice(begin, k + 1)
             begin, size = k + 1, 0
     if begin < len(texts):
