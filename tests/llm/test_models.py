@@ -231,6 +231,12 @@ def test_grams_of_documents_cross_a_shuffle_packed(spark, monkeypatch):
     assert out._jdf.queryExecution().analyzed().toString().count("Generate explode") == 1  # words alone go out one by one
 
 
+def test_only_words_are_looked_up_row_by_row(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, "other text")], "doc_id long, text string")
+    plan = ppm.lm_scores(docs, F.col("doc_id") == 1)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_packed_grams_are_those_of_each_text():
     rng = np.random.default_rng(1)
     keys, docs = rng.choice(rng.integers(0, 1 << 48, 60), 3000), rng.integers(0, ppm._DOCS, 40)[rng.integers(0, 40, 3000)]
